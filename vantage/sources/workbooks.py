@@ -1,0 +1,428 @@
+"""Workbook folders (S3) and workbook export (K3, ``fmt='xlsx'``).
+
+Reading is a Spark Python data source (``spark.read.format("workbooks")``):
+the folder is listed on the driver (file names only), each workbook sheet is one
+input partition, and cells are decoded on the executors with the standard
+library (``zipfile`` + streaming XML), so a folder of many workbooks is read in
+parallel and no workbook passes through the driver. Columns are matched by
+header name across workbooks; a missing column is null.
+
+Writing is ``mapInPandas``: each task streams its rows into its own workbook
+(inline strings, no shared-string table to hold in memory), and a small
+Parquet manifest ``_manifest`` (one row per workbook) is written by Spark.
+"""
+
+from __future__ import annotations
+
+import datetime as _dt
+import io
+import posixpath
+import re
+import zipfile
+from typing import Iterator
+from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape as _xml_escape
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_PKG_REL_NS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+_EXCEL_EPOCH = _dt.datetime(1899, 12, 30)
+SHEET_MAX_ROWS = 1_048_575  # data rows per sheet under one header row
+
+_registered: set[int] = set()
+
+
+# -- file system helpers (local paths and any URI pyarrow can open) -----------------
+
+def _fs(path: str):
+    from pyarrow import fs as pafs
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
+def list_workbooks(path: str) -> list[str]:
+    from pyarrow import fs as pafs
+    fs, root = _fs(path)
+    info = fs.get_file_info(root)
+    if info.type == pafs.FileType.File:
+        return [path]
+    sel = pafs.FileSelector(root, recursive=True)
+    out = []
+    for f in fs.get_file_info(sel):
+        base = posixpath.basename(f.path)
+        if f.type == pafs.FileType.File and base.lower().endswith(".xlsx") \
+                and not base.startswith(("_", ".", "~$")):
+            out.append(f.path if "://" not in path else _join_uri(path, root, f.path))
+    return sorted(out)
+
+
+def _join_uri(uri: str, root: str, found: str) -> str:
+    return uri[: len(uri) - len(root)] + found if uri.endswith(root) else found
+
+
+def _open(path: str):
+    fs, p = _fs(path)
+    return fs.open_input_file(p)
+
+
+# -- reading ----------------------------------------------------------------------
+
+def _col_index(ref: str) -> int:
+    n = 0
+    for ch in ref:
+        if ch.isalpha():
+            n = n * 26 + (ord(ch.upper()) - 64)
+        else:
+            break
+    return n - 1
+
+
+def _shared_strings(z: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in z.namelist():
+        return []
+    out = []
+    with z.open("xl/sharedStrings.xml") as fh:
+        for _, el in ET.iterparse(fh):
+            if el.tag == _NS + "si":
+                out.append("".join(t.text or "" for t in el.iter(_NS + "t")))
+                el.clear()
+    return out
+
+
+def sheets_of(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(sheet name, member path) in workbook order."""
+    wb = ET.fromstring(z.read("xl/workbook.xml"))
+    rels = {}
+    if "xl/_rels/workbook.xml.rels" in z.namelist():
+        for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            rels[r.get("Id")] = r.get("Target")
+    out = []
+    for i, s in enumerate(wb.iter(_NS + "sheet"), start=1):
+        target = rels.get(s.get(_REL_NS + "id"), f"worksheets/sheet{i}.xml")
+        target = target.lstrip("/")
+        member = target if target.startswith("xl/") else "xl/" + target
+        out.append((s.get("name"), member))
+    return out
+
+
+def _cell_value(c, shared: list[str]):
+    t = c.get("t", "n")
+    if t == "inlineStr":
+        is_ = c.find(_NS + "is")
+        return "".join(x.text or "" for x in is_.iter(_NS + "t")) if is_ is not None else None
+    v = c.find(_NS + "v")
+    if v is None or v.text is None:
+        return None
+    text = v.text
+    if t == "s":
+        return shared[int(text)]
+    if t == "b":
+        return text == "1"
+    if t in ("str", "e", "d"):
+        return text
+    try:
+        x = float(text)
+    except ValueError:
+        return text
+    return int(x) if x.is_integer() and "." not in text and "E" not in text.upper() else x
+
+
+def iter_rows(z: zipfile.ZipFile, member: str, shared: list[str]) -> Iterator[list]:
+    """Rows of one sheet as lists (gaps filled with None), streamed."""
+    with z.open(member) as fh:
+        for _, el in ET.iterparse(fh):
+            if el.tag != _NS + "row":
+                continue
+            row: list = []
+            for pos, c in enumerate(el.iter(_NS + "c")):
+                ref = c.get("r")
+                idx = _col_index(ref) if ref else pos
+                while len(row) < idx:
+                    row.append(None)
+                row.append(_cell_value(c, shared))
+            el.clear()
+            yield row
+
+
+def _convert(value, dtype):
+    if value is None or value == "":
+        return None
+    if isinstance(dtype, T.StringType):
+        if isinstance(value, bool):
+            return "true" if value else "false"
+        return str(value)
+    if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return int(float(value))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return float(value)
+    if isinstance(dtype, T.BooleanType):
+        return value if isinstance(value, bool) else str(value).strip().lower() in ("1", "true")
+    if isinstance(dtype, T.DecimalType):
+        from decimal import Decimal
+        return Decimal(str(value))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        if isinstance(value, (int, float)):
+            return _EXCEL_EPOCH + _dt.timedelta(days=float(value))
+        return _dt.datetime.fromisoformat(str(value))
+    if isinstance(dtype, T.DateType):
+        if isinstance(value, (int, float)):
+            return (_EXCEL_EPOCH + _dt.timedelta(days=float(value))).date()
+        return _dt.date.fromisoformat(str(value)[:10])
+    return value
+
+
+def _infer(values) -> T.DataType:
+    kinds = set()
+    for v in values:
+        if v is None or v == "":
+            continue
+        if isinstance(v, bool):
+            kinds.add("bool")
+        elif isinstance(v, int):
+            kinds.add("int")
+        elif isinstance(v, float):
+            kinds.add("float")
+        else:
+            kinds.add("str")
+    if not kinds or "str" in kinds or ("bool" in kinds and len(kinds) > 1):
+        return T.StringType()
+    if kinds == {"bool"}:
+        return T.BooleanType()
+    return T.LongType() if kinds == {"int"} else T.DoubleType()
+
+
+class WorkbookPartition(InputPartition):
+    def __init__(self, path: str, sheet: str | None):
+        super().__init__((path, sheet))
+        self.path = path
+        self.sheet = sheet
+
+
+class WorkbookReader(DataSourceReader):
+    def __init__(self, options: dict, schema: T.StructType):
+        self.options = options
+        self.schema = schema
+
+    def partitions(self):
+        paths = list_workbooks(self.options["path"])
+        sheet = self.options.get("sheet")
+        if self.options.get("allSheets", "false").lower() == "true":
+            parts = []
+            for p in paths:
+                with _open(p) as fh, zipfile.ZipFile(fh) as z:
+                    parts.extend(WorkbookPartition(p, name) for name, _ in sheets_of(z))
+            return parts
+        return [WorkbookPartition(p, sheet) for p in paths]
+
+    def read(self, partition):
+        fields = self.schema.fields
+        with _open(partition.path) as fh, zipfile.ZipFile(io.BytesIO(fh.read())) as z:
+            sheets = sheets_of(z)
+            if partition.sheet is None:
+                member = sheets[0][1]
+            else:
+                match = [m for n, m in sheets if n == partition.sheet]
+                if not match:
+                    return
+                member = match[0]
+            shared = _shared_strings(z)
+            rows = iter_rows(z, member, shared)
+            header = next(rows, None)
+            if header is None:
+                return
+            pos = {str(h): i for i, h in enumerate(header) if h is not None}
+            idx = [pos.get(f.name) for f in fields]
+            for row in rows:
+                if all(v is None or v == "" for v in row):
+                    continue
+                yield tuple(
+                    _convert(row[i], f.dataType) if i is not None and i < len(row) else None
+                    for i, f in zip(idx, fields))
+
+
+class WorkbookDataSource(DataSource):
+    """``spark.read.format("workbooks").option("path", dir).load()``.
+
+    Options: ``sheet`` (name; default the first sheet), ``allSheets``,
+    ``inferSchema`` (types from the first 1000 rows of the first workbook;
+    default all strings). A schema given with ``.schema(...)`` is used as is.
+    """
+
+    @classmethod
+    def name(cls):
+        return "workbooks"
+
+    def schema(self):
+        paths = list_workbooks(self.options["path"])
+        if not paths:
+            raise FileNotFoundError(f"no workbooks under {self.options['path']}")
+        # Only the header row (and, with inferSchema, a bounded sample) of the first
+        # workbook is read on the driver.
+        with _open(paths[0]) as fh, zipfile.ZipFile(io.BytesIO(fh.read())) as z:
+            sheets = sheets_of(z)
+            sheet = self.options.get("sheet")
+            member = sheets[0][1] if sheet is None else dict(sheets)[sheet]
+            rows = iter_rows(z, member, _shared_strings(z))
+            header = [str(h) for h in next(rows, []) if h is not None]
+            infer = self.options.get("inferSchema", "false").lower() == "true"
+            sample = [r for _, r in zip(range(1000), rows)] if infer else []
+        fields = []
+        for i, h in enumerate(header):
+            dtype = _infer([r[i] if i < len(r) else None for r in sample]) if infer \
+                else T.StringType()
+            fields.append(T.StructField(h, dtype, True))
+        return T.StructType(fields)
+
+    def reader(self, schema):
+        return WorkbookReader(self.options, schema)
+
+
+def register(spark: SparkSession) -> None:
+    key = id(spark)
+    if key not in _registered:
+        spark.dataSource.register(WorkbookDataSource)
+        _registered.add(key)
+
+
+def read_workbooks(spark: SparkSession, path: str, schema=None, sheet: str | None = None,
+                   infer_schema: bool = False, all_sheets: bool = False) -> DataFrame:
+    register(spark)
+    reader = spark.read.format("workbooks").option("path", path)
+    if sheet is not None:
+        reader = reader.option("sheet", sheet)
+    if infer_schema:
+        reader = reader.option("inferSchema", "true")
+    if all_sheets:
+        reader = reader.option("allSheets", "true")
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.load()
+
+
+# -- writing ----------------------------------------------------------------------
+
+_CONTENT_TYPES = (
+    '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+    '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+    '<Default Extension="xml" ContentType="application/xml"/>'
+    '<Override PartName="/xl/workbook.xml" '
+    'ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+    '<Override PartName="/xl/worksheets/sheet1.xml" '
+    'ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+    '</Types>')
+_ROOT_RELS = (
+    '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
+    'relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+_WB = (
+    '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
+    'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+    '<sheets><sheet name="{name}" sheetId="1" r:id="rId1"/></sheets></workbook>')
+_WB_RELS = (
+    '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
+    'relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+_ILLEGAL_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
+
+
+def _col_letters(i: int) -> str:
+    s = ""
+    i += 1
+    while i:
+        i, r = divmod(i - 1, 26)
+        s = chr(65 + r) + s
+    return s
+
+
+def _cell_xml(ref: str, v) -> str:
+    if v is None:
+        return ""
+    if isinstance(v, bool):
+        return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
+    if isinstance(v, (int, float)) and not (isinstance(v, float) and v != v):
+        return f'<c r="{ref}"><v>{v!r}</v></c>' if isinstance(v, float) else \
+            f'<c r="{ref}"><v>{v}</v></c>'
+    if hasattr(v, "isoformat"):
+        v = v.isoformat(sep=" ") if isinstance(v, _dt.datetime) else v.isoformat()
+    text = _ILLEGAL_XML.sub("", str(v))
+    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{_xml_escape(text)}</t></is></c>'
+
+
+def workbook_bytes_writer(out, columns: list[str], rows: Iterator[tuple], sheet: str = "data") -> int:
+    """Stream one single-sheet workbook into the binary stream ``out``."""
+    n = 0
+    letters = [_col_letters(i) for i in range(len(columns))]
+    with zipfile.ZipFile(out, "w", compression=zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", _CONTENT_TYPES)
+        z.writestr("_rels/.rels", _ROOT_RELS)
+        z.writestr("xl/workbook.xml", _WB.format(name=_xml_escape(sheet)))
+        z.writestr("xl/_rels/workbook.xml.rels", _WB_RELS)
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as fh:
+            fh.write(b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+                     b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+                     b'<sheetData>')
+            head = "".join(_cell_xml(f"{letters[i]}1", c) for i, c in enumerate(columns))
+            fh.write(f'<row r="1">{head}</row>'.encode())
+            for r in rows:
+                n += 1
+                rn = n + 1
+                cells = "".join(_cell_xml(f"{letters[i]}{rn}", v) for i, v in enumerate(r))
+                fh.write(f'<row r="{rn}">{cells}</row>'.encode())
+            fh.write(b"</sheetData></worksheet>")
+    return n
+
+
+def write_workbooks(df: DataFrame, path: str, max_rows: int | None = None) -> DataFrame:
+    """One workbook per task (more when a task has over ``max_rows`` rows);
+    returns the manifest ``(path, rows)`` written under ``path/_manifest``."""
+    import pandas as pd
+    from pyspark import TaskContext
+
+    limit = min(int(max_rows or SHEET_MAX_ROWS), SHEET_MAX_ROWS)
+    columns = list(df.columns)
+    base = path.rstrip("/")
+
+    def write_part(batches):
+        ctx = TaskContext.get()
+        part = ctx.partitionId() if ctx else 0
+        written = []
+        state = {"file": 0}
+
+        def flat_rows():
+            for pdf in batches:
+                for rec in pdf.itertuples(index=False, name=None):
+                    yield tuple(None if (isinstance(x, float) and x != x) or x is pd.NaT
+                                else (x.to_pydatetime() if hasattr(x, "to_pydatetime") else x)
+                                for x in rec)
+
+        it = flat_rows()
+        first = next(it, None)
+        while first is not None:
+            target = f"{base}/part-{part:05d}-{state['file']:03d}.xlsx"
+            state["file"] += 1
+
+            def chunk(head=first):
+                yield head
+                for _, r in zip(range(limit - 1), it):
+                    yield r
+
+            fs, p = _fs(target)
+            fs.create_dir(posixpath.dirname(p), recursive=True)
+            with fs.open_output_stream(p) as out:
+                n = workbook_bytes_writer(out, columns, chunk())
+            written.append((target, n))
+            first = next(it, None)
+        yield pd.DataFrame(written, columns=["path", "rows"])
+
+    manifest = df.mapInPandas(write_part, "path string, rows long")
+    manifest.write.mode("overwrite").parquet(f"{base}/_manifest")
+    return df.sparkSession.read.parquet(f"{base}/_manifest")

@@ -211,23 +211,29 @@ def schema_frame(spark: SparkSession, connection: str, table: str,
     return spark.createDataFrame(list(_schema_rows(connection, table, schema)), COLUMNS_SCHEMA)
 
 
+def row_counts(frames) -> DataFrame | None:
+    """``(connection, table, n_rows)`` for ``[(connection, table, df), ...]`` as ONE
+    aggregate: the scans read no columns (Parquet gives row counts from its
+    footers), each task pre-aggregates to one row per table, then one small
+    shuffle. No per-table job and no count on the driver."""
+    parts = [df.select(F.lit(c).alias("connection"), F.lit(t).alias("table"))
+             for c, t, df in frames]
+    if not parts:
+        return None
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return union.groupBy("connection", "table").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def with_row_counts(spark: SparkSession, catalog: Catalog) -> DataFrame:
-    """Catalog tables plus a row count each, as one lazy union of counts.
-
-    Each count is an aggregate over its own scan (parquet answers from footers);
-    the union runs as one job, nothing is counted on the driver.
-    """
-    counts = None
-    for conn in catalog.connections:
-        for t in catalog.table_names(conn.name):
-            c = (catalog.scan(conn.name, t).groupBy()
-                 .agg(F.count(F.lit(1)).alias("n_rows"))
-                 .select(F.lit(conn.name).alias("connection"), F.lit(t).alias("table"),
-                         F.col("n_rows")))
-            counts = c if counts is None else counts.unionByName(c)
+    """Catalog tables plus a row count each (0 for an empty table)."""
+    frames = [(conn.name, t, catalog.scan(conn.name, t))
+              for conn in catalog.connections for t in catalog.table_names(conn.name)]
+    counts = row_counts(frames)
     tables = catalog.tables()
     if counts is None:
-        return tables.withColumn("n_rows", F.lit(None).cast("bigint"))
-    # Both sides have one row per table (a metadata-sized frame): broadcast is bounded
-    # by the number of tables, not by the data.
-    return tables.join(F.broadcast(counts), ["connection", "table"], "left")
+        return tables.withColumn("n_rows", F.lit(0).cast("bigint"))
+    # one row per table on both sides: the broadcast is bounded by the table count
+    return (tables.join(F.broadcast(counts), ["connection", "table"], "left")
+            .withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("bigint"))))

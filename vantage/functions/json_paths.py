@@ -6,12 +6,11 @@ value. Array elements add no path part, so ``{"a": [{"b": 1}, {"b": 2}]}``
 has two entries ``a.b``. Keys listed in ``ignore_keys`` add no path part either.
 
 The walk is built from Spark functions only: ``try_parse_json`` once, then per
-level one ``explode`` over an array made by higher-order functions (object
-entries via ``map<string,variant>``, array elements via ``array<variant>``).
-Matches found at a level ride along unchanged through the later levels, so the
-plan is one linear chain of ``depth`` generators, narrow, with no shuffle and
-no Python. Keys inside one object are visited in key order; array elements in
-element order.
+level one projection whose higher-order functions expand every frontier node
+(object entries via ``map<string,variant>``, array elements via
+``array<variant>``) and append the level's matches to a per-row array; one
+``explode`` at the end. Narrow, no shuffle, no Python. Keys inside one object
+are visited in key order; array elements in element order.
 """
 
 from __future__ import annotations
@@ -53,35 +52,37 @@ def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
     target = path if isinstance(path, str) else ".".join(path)
     keep = [c for c in df.columns if c != column] if keep is None else list(keep)
     q = lambda c: "`" + c.replace("`", "``") + "`"
+    kept = [F.col(q(c)) for c in keep]
 
-    node_t = "named_struct('p', {p}, 'v', {v}, 'entry', {entry}, 'out', {out})"
-    start = df.select(*[F.col(q(c)) for c in keep], F.expr(
-        node_t.format(p="CAST(NULL AS STRING)", v=f"try_parse_json({q(column)})",
-                      entry="false", out="false")).alias("__n"))
-
+    node = "named_struct('p', {p}, 'v', {v}, 'entry', {entry})"
+    hit = "named_struct('p', {n}.p, 'v', {n}.v)"
     ignore = ", ".join(_sql_str(k) for k in ignore_keys)
-    key_path = ("IF(e.key IN ({ign}), __n.p, IF(__n.p IS NULL, e.key, concat(__n.p, '.', e.key)))"
+    key_path = ("IF(e.key IN ({ign}), n.p, IF(n.p IS NULL, e.key, concat(n.p, '.', e.key)))"
                 .format(ign=ignore) if ignore_keys else
-                "IF(__n.p IS NULL, e.key, concat(__n.p, '.', e.key))")
-    is_match = _match_sql("__n.p", target, match)
-    step = (
-        "IF(__n.out, array(__n), concat("
-        "  IF(__n.entry AND coalesce({m}, false), array(" + node_t.format(
-            p="__n.p", v="__n.v", entry="true", out="true") + "), array()),"
-        "  coalesce(transform(map_entries(try_variant_get(__n.v, '$', 'map<string,variant>')),"
-        "    e -> " + node_t.format(p=key_path, v="e.value", entry="true", out="false") + "), array()),"
-        "  coalesce(transform(try_variant_get(__n.v, '$', 'array<variant>'),"
-        "    x -> " + node_t.format(p="__n.p", v="x", entry="false", out="false") + "), array())"
-        "))").format(m=is_match)
-
-    cur = start
+                "IF(n.p IS NULL, e.key, concat(n.p, '.', e.key))")
+    matches = ("transform(filter(__f, n -> n.entry AND coalesce({m}, false)), n -> " + hit + ")"
+               ).format(m=_match_sql("n.p", target, match), n="n")
+    children = (
+        "flatten(transform(__f, n -> concat("
+        "coalesce(transform(map_entries(try_variant_get(n.v, '$', 'map<string,variant>')), "
+        "e -> " + node.format(p=key_path, v="e.value", entry="true") + "), array()), "
+        "coalesce(transform(try_variant_get(n.v, '$', 'array<variant>'), "
+        "x -> " + node.format(p="n.p", v="x", entry="false") + "), array()))))")
+
+    # Per row: a frontier array of unvisited nodes and an array of matches. Each
+    # level is one projection with higher-order functions (no generator, no
+    # shuffle); one explode at the end. Both arrays are bounded by the row's own
+    # document.
+    cur = df.select(*kept, F.expr("array(" + node.format(
+        p="CAST(NULL AS STRING)", v=f"try_parse_json({q(column)})", entry="false") + ")").alias("__f"),
+        F.expr("CAST(array() AS ARRAY<STRUCT<p: STRING, v: VARIANT>>)").alias("__o"))
     for _ in range(depth):
-        cur = cur.select(*[F.col(q(c)) for c in keep], F.explode(F.expr(step)).alias("__n"))
-    # entries at the depth bound are checked too
-    final = cur.filter(F.expr(f"__n.out OR (__n.entry AND coalesce({is_match}, false))"))
+        cur = cur.select(*kept, F.expr(children).alias("__f"),
+                         F.expr(f"concat(__o, {matches})").alias("__o"))
+    cur = cur.select(*kept, F.explode(F.expr(f"concat(__o, {matches})")).alias("__n"))
     kind = "schema_of_variant(__n.v)"
-    return final.select(
-        *[F.col(q(c)) for c in keep],
+    return cur.select(
+        *kept,
         F.col("__n.p").alias("path"),
         F.expr(f"CASE WHEN {kind} LIKE 'OBJECT%' OR {kind} LIKE 'ARRAY%' THEN to_json(__n.v) "
                f"ELSE try_variant_get(__n.v, '$', 'string') END").alias("value"),

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vantage.catalog import row_counts
+
 DIAGNOSE_SCHEMA = T.StructType([
     T.StructField("connection", T.StringType(), False),
     T.StructField("table", T.StringType(), False),
@@ -36,7 +38,7 @@ def diagnose(catalog, mode: str = "schema") -> DataFrame:
     if mode not in ("schema", "read"):
         raise ValueError("mode must be 'schema' or 'read'")
     spark = catalog.spark
-    status, counts = [], None
+    status, frames = [], []
     for conn in catalog.connections:
         try:
             names = catalog.table_names(conn.name)
@@ -52,11 +54,12 @@ def diagnose(catalog, mode: str = "schema") -> DataFrame:
                 continue
             status.append((conn.name, t, mode, True, "ok"))
             if mode == "read":
-                c = df.groupBy().agg(F.count(F.lit(1)).alias("n_rows")).select(
-                    F.lit(conn.name).alias("connection"), F.lit(t).alias("table"), "n_rows")
-                counts = c if counts is None else counts.unionByName(c)
+                frames.append((conn.name, t, df))
     out = spark.createDataFrame(status, DIAGNOSE_SCHEMA)
-    if mode == "schema" or counts is None:
+    counts = row_counts(frames) if mode == "read" else None
+    if counts is None:
         return out.withColumn("n_rows", F.lit(None).cast("bigint"))
     # one row per table on both sides: the broadcast is bounded by the table count
-    return out.join(F.broadcast(counts), ["connection", "table"], "left")
+    return (out.join(F.broadcast(counts), ["connection", "table"], "left")
+            .withColumn("n_rows", F.when(F.col("ok"), F.coalesce("n_rows", F.lit(0)))
+                        .cast("bigint")))

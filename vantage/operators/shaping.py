@@ -122,6 +122,10 @@ def search(df: DataFrame, text: str, columns: Sequence[str] | None = None,
         return df
     names = list(columns) if columns is not None else df.columns
     needle = text if case_sensitive else text.lower()
+    types = {f.name: f.dataType for f in df.schema.fields}
+    names = [n for n in names if _may_contain(types[n], needle, case_sensitive)]
+    if not names:
+        return df.limit(0)
     conds = []
     for name in names:
         c = ref(name).cast("string")
@@ -131,6 +135,27 @@ def search(df: DataFrame, text: str, columns: Sequence[str] | None = None,
     return df.filter(reduce(lambda a, b: a | b, conds))
 
 
+_NUMERIC_TEXT = set("0123456789.-+E")
+_NUMERIC_WORDS = ("NaN", "Infinity", "-Infinity")
+
+
+def _may_contain(dtype, needle: str, case_sensitive: bool) -> bool:
+    """False when the text of every value of ``dtype`` provably cannot contain
+    ``needle`` (numbers are digits, sign, point and exponent; booleans are
+    true/false), so the column can be left out of the OR."""
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType,
+                          T.FloatType, T.DecimalType)):
+        n = needle if case_sensitive else needle.upper()
+        if set(n) <= _NUMERIC_TEXT:
+            return True
+        words = _NUMERIC_WORDS if case_sensitive else [w.upper() for w in _NUMERIC_WORDS]
+        return any(n in w for w in words)
+    if isinstance(dtype, T.BooleanType):
+        n = needle if case_sensitive else needle.lower()
+        return n in "true" or n in "false"
+    return True
+
+
 def preview(df: DataFrame, n: int = 100, order: Iterable | None = None) -> DataFrame:
     """First ``n`` rows; with ``order`` this is a top-k (no full sort)."""
     if order is not None:

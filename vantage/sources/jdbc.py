@@ -81,6 +81,7 @@ def read_table(spark: SparkSession, conn, table: str, partition_column: str | No
     part = dict(conn.options.get("partitions", {}).get(table, {}))
     partition_column = partition_column or part.get("column")
     if partition_column:
+        partition_column = _exact_column(spark, opts, partition_column)
         lower_bound = part.get("lower") if lower_bound is None else lower_bound
         upper_bound = part.get("upper") if upper_bound is None else upper_bound
         num_partitions = num_partitions or part.get("num", 8)
@@ -92,13 +93,27 @@ def read_table(spark: SparkSession, conn, table: str, partition_column: str | No
     return spark.read.format("jdbc").options(**opts).load()
 
 
+def _exact_column(spark: SparkSession, opts: Mapping[str, str], column: str) -> str:
+    """The column's name as the database spells it (schema only, no rows read)."""
+    names = spark.read.format("jdbc").options(**opts).load().columns
+    for n in names:
+        if n == column:
+            return n
+    for n in names:
+        if n.lower() == column.lower():
+            return n
+    raise KeyError(f"no column {column!r} in {opts['dbtable']}; columns are {names}")
+
+
 def _bounds(spark: SparkSession, opts: Mapping[str, str], column: str):
     """Bounds by one aggregate pushed to the database (a single-row result)."""
     q = dict(opts)
     q.pop("dbtable")
-    q["query"] = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {opts['dbtable']}"
+    quoted = '"' + column.replace('"', '""') + '"'
+    q["query"] = f"SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {opts['dbtable']}"
     row = spark.read.format("jdbc").options(**q).load().first()
-    return row["lo"] if row["lo"] is not None else 0, row["hi"] if row["hi"] is not None else 0
+    lo, hi = row[0], row[1]  # by position: databases differ in alias case
+    return (0 if lo is None else lo), (0 if hi is None else hi)
 
 
 # -- listing (C3-C5) ----------------------------------------------------------

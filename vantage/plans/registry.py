@@ -110,7 +110,7 @@ def scan_workbooks(spark, sf_dir):
     """S3 + K3 (xlsx): customer exported as one workbook per task, then the
     workbook folder is read back in parallel with a stated schema."""
     cat = warehouse(spark, sf_dir)
-    path = _staged(spark, cat.scan("warehouse", "customer").repartition(4), "xlsx", "customer")
+    path = _staged(spark, cat.scan("warehouse", "customer"), "xlsx", "customer")
     cat.register("sheets", "xlsx", files=[path], schemas={"customer": CUSTOMER_DDL})
     return cat.scan("sheets", "customer")
 

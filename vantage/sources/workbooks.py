@@ -15,7 +15,6 @@ Parquet manifest ``_manifest`` (one row per workbook) is written by Spark.
 from __future__ import annotations
 
 import datetime as _dt
-import io
 import posixpath
 import re
 import zipfile
@@ -221,7 +220,9 @@ class WorkbookReader(DataSourceReader):
 
     def read(self, partition):
         fields = self.schema.fields
-        with _open(partition.path) as fh, zipfile.ZipFile(io.BytesIO(fh.read())) as z:
+        # The file handle is seekable: zipfile reads the central directory and then
+        # streams one sheet; the workbook is never held in memory whole.
+        with _open(partition.path) as fh, zipfile.ZipFile(fh) as z:
             sheets = sheets_of(z)
             if partition.sheet is None:
                 member = sheets[0][1]
@@ -263,7 +264,7 @@ class WorkbookDataSource(DataSource):
             raise FileNotFoundError(f"no workbooks under {self.options['path']}")
         # Only the header row (and, with inferSchema, a bounded sample) of the first
         # workbook is read on the driver.
-        with _open(paths[0]) as fh, zipfile.ZipFile(io.BytesIO(fh.read())) as z:
+        with _open(paths[0]) as fh, zipfile.ZipFile(fh) as z:
             sheets = sheets_of(z)
             sheet = self.options.get("sheet")
             member = sheets[0][1] if sheet is None else dict(sheets)[sheet]

@@ -104,9 +104,26 @@ class Catalog:
         self.spark = spark
         self._conns: dict[str, Connection] = {}
         self._materialised: dict[tuple[str, str], str] = {}
+        # Resolved scans keyed by the connection's whole spec: a DataFrame keeps
+        # its file listing and schema, so a table is listed and its schema read
+        # once, not per query; a re-registered connection has a new key.
+        self._frames: dict[tuple, DataFrame] = {}
         for c in connections:
             self._conns[c.name] = c
 
+    def fork(self) -> "Catalog":
+        """A copy that shares the resolved scans; changes to it stay its own."""
+        other = Catalog(self.spark)
+        other._conns = dict(self._conns)
+        other._materialised = dict(self._materialised)
+        other._frames = self._frames  # keyed by connection spec: safe to share
+        return other
+
+    def refresh(self, connection: str | None = None) -> None:
+        """Forget resolved scans (all, or one connection's) to see new files."""
+        for key in [k for k in self._frames if connection is None or k[0] == connection]:
+            del self._frames[key]
+
     # -- C1 / C8 -----------------------------------------------------------
     @classmethod
     def from_specs(cls, spark: SparkSession, specs) -> "Catalog":
@@ -192,7 +209,15 @@ class Catalog:
         conn = self.connection(connection)
         if conn.is_file and table not in conn.file_tables():
             raise UnknownTable(f"no table {table!r} in connection {connection!r}")
-        return sources.scan(self.spark, conn, table, **read_options)
+        try:
+            memo = (connection, conn.source, repr(sorted(conn.options.items())), table,
+                    tuple(sorted(read_options.items())))
+            hash(memo)
+        except TypeError:  # unhashable options: resolve every time
+            return sources.scan(self.spark, conn, table, **read_options)
+        if memo not in self._frames:
+            self._frames[memo] = sources.scan(self.spark, conn, table, **read_options)
+        return self._frames[memo]
 
     def note_materialised(self, connection: str, table: str, path: str) -> None:
         self._materialised[(connection, table)] = path

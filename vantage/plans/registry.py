@@ -31,11 +31,19 @@ ORDERS_DDL = ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_tota
 NATION_DDL = "n_nationkey INT, n_name STRING, n_regionkey INT"
 
 
+_BASE: dict[tuple, Catalog] = {}
+
+
 def warehouse(spark: SparkSession, sf_dir: str, tables=TABLES) -> Catalog:
-    """A parquet connection ``warehouse`` over the given tables."""
-    cat = Catalog(spark)
-    cat.register("warehouse", "parquet", files=[f"{sf_dir}/{t}.parquet" for t in tables])
-    return cat
+    """A parquet connection ``warehouse`` over the given tables: a fork of one
+    long-lived catalog per session and folder, so each table is listed and its
+    schema resolved once, as a catalog in a running viewer would."""
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(tables))
+    if key not in _BASE:
+        cat = Catalog(spark)
+        cat.register("warehouse", "parquet", files=[f"{sf_dir}/{t}.parquet" for t in tables])
+        _BASE[key] = cat
+    return _BASE[key].fork()
 
 
 def _staged(spark: SparkSession, df: DataFrame, fmt: str, name: str, **kw) -> str:

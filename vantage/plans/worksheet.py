@@ -29,11 +29,23 @@ _FIRST_WORDS = ("SELECT", "WITH", "VALUES", "TABLE", "FROM", "DESCRIBE", "DESC",
                 "EXPLAIN", "(")
 
 
+_CHAINS: dict[str, list[str]] = {}
+
+
 def _class_chain(node) -> list[str]:
     """Simple names of the node's class, its superclasses and every interface
-    they implement (transitively); the node's own class comes first."""
+    they implement (transitively); the node's own class comes first. Cached per
+    class, so a plan costs a few JVM calls per node."""
+    cls = node.getClass()
+    key = cls.getName()
+    if key not in _CHAINS:
+        _CHAINS[key] = _chain_of(cls)
+    return _CHAINS[key]
+
+
+def _chain_of(first) -> list[str]:
     names, seen = [], set()
-    todo = [node.getClass()]
+    todo = [first]
     while todo:
         cls = todo.pop(0)
         if cls is None:

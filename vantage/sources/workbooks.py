@@ -7,7 +7,7 @@ library (``zipfile`` + streaming XML), so a folder of many workbooks is read in
 parallel and no workbook passes through the driver. Columns are matched by
 header name across workbooks; a missing column is null.
 
-Writing is ``mapInPandas``: each task streams its rows into its own workbook
+Writing is ``mapInArrow``: each task streams its rows into its own workbook
 (inline strings, no shared-string table to hold in memory), and a small
 Parquet manifest ``_manifest`` (one row per workbook) is written by Spark.
 """
@@ -384,32 +384,34 @@ def workbook_bytes_writer(out, columns: list[str], rows: Iterator[tuple], sheet:
 
 def write_workbooks(df: DataFrame, path: str, max_rows: int | None = None) -> DataFrame:
     """One workbook per task (more when a task has over ``max_rows`` rows);
-    returns the manifest ``(path, rows)`` written under ``path/_manifest``."""
-    import pandas as pd
+    returns the manifest ``(path, rows)`` written under ``path/_manifest``.
+
+    ``mapInArrow``: rows arrive as Arrow batches and are streamed into the
+    workbook; no pandas, and no batch is held beyond the one being written."""
+    import pyarrow as pa
     from pyspark import TaskContext
 
     limit = min(int(max_rows or SHEET_MAX_ROWS), SHEET_MAX_ROWS)
     columns = list(df.columns)
     base = path.rstrip("/")
+    out_schema = pa.schema([("path", pa.string()), ("rows", pa.int64())])
 
     def write_part(batches):
         ctx = TaskContext.get()
         part = ctx.partitionId() if ctx else 0
-        written = []
-        state = {"file": 0}
 
         def flat_rows():
-            for pdf in batches:
-                for rec in pdf.itertuples(index=False, name=None):
-                    yield tuple(None if (isinstance(x, float) and x != x) or x is pd.NaT
-                                else (x.to_pydatetime() if hasattr(x, "to_pydatetime") else x)
-                                for x in rec)
+            for b in batches:
+                cols = [c.to_pylist() for c in b.columns]
+                yield from zip(*cols)
 
         it = flat_rows()
         first = next(it, None)
+        paths, counts, file_no = [], [], 0
         while first is not None:
-            target = f"{base}/part-{part:05d}-{state['file']:03d}.xlsx"
-            state["file"] += 1
+            # deterministic names: a retried task rewrites its own files
+            target = f"{base}/part-{part:05d}-{file_no:03d}.xlsx"
+            file_no += 1
 
             def chunk(head=first):
                 yield head
@@ -420,10 +422,12 @@ def write_workbooks(df: DataFrame, path: str, max_rows: int | None = None) -> Da
             fs.create_dir(posixpath.dirname(p), recursive=True)
             with fs.open_output_stream(p) as out:
                 n = workbook_bytes_writer(out, columns, chunk())
-            written.append((target, n))
+            paths.append(target)
+            counts.append(n)
             first = next(it, None)
-        yield pd.DataFrame(written, columns=["path", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()),
+                                          pa.array(counts, pa.int64())], schema=out_schema)
 
-    manifest = df.mapInPandas(write_part, "path string, rows long")
+    manifest = df.mapInArrow(write_part, "path string, rows long")
     manifest.write.mode("overwrite").parquet(f"{base}/_manifest")
     return df.sparkSession.read.parquet(f"{base}/_manifest")

@@ -136,4 +136,28 @@ ORACLE_SQL = {
         "JOIN region r ON n.n_regionkey = r.r_regionkey "
         "WHERE trim(o.o_orderstatus) = 'O' GROUP BY r.r_name, n.n_name"),
 }
+ORACLE_SQL.update({
+    "json_keypaths_nested": (
+        "SELECT o_orderkey, 'key.id' AS path, CAST(o_orderkey AS VARCHAR) AS value FROM orders "
+        "UNION ALL SELECT o_orderkey, 'parties.id' AS path, CAST(o_custkey AS VARCHAR) AS value "
+        "FROM orders"),
+    "search_numeric": (
+        "SELECT * FROM customer WHERE contains(CAST(c_custkey AS VARCHAR), '77') "
+        "OR contains(c_name, '77') OR contains(CAST(c_nationkey AS VARCHAR), '77') "
+        "OR contains(CAST(c_acctbal AS VARCHAR), '77') OR contains(c_mktsegment, '77')"),
+    "sort_nulls_preview": (
+        f"SELECT o_orderkey, {_NULLIF} AS o_orderstatus FROM orders "
+        f"ORDER BY {_NULLIF} ASC NULLS FIRST, o_orderkey DESC LIMIT 100"),
+    "catalog_restricted": (
+        "SELECT 'one' AS connection, 'parquet' AS source, 'lineitem' AS \"table\", "
+        "COUNT(*) AS n_rows FROM lineitem"),
+    "fill_then_not_equal": (
+        f"SELECT o_orderkey, COALESCE({_NULLIF}, 'Null') AS o_orderstatus FROM orders "
+        f"WHERE trim(COALESCE({_NULLIF}, 'Null')) <> 'F'"),
+    "export_parquet_json": "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem",
+    "filter_equal_timestamp": (
+        "SELECT * FROM orders WHERE trim(CAST(o_orderdate AS VARCHAR)) = '1996-01-02 00:00:00'"),
+    "filter_starts_with_int": (
+        "SELECT * FROM part WHERE starts_with(trim(CAST(p_size AS VARCHAR)), '1')"),
+})
 ORACLE_SQL.update(WORKSHEET_SQL)

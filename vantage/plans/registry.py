@@ -301,6 +301,56 @@ def create_from_join(spark, sf_dir):
                               path=shared_path(spark, "tables", "orders_customers"))
 
 
+def json_keypaths_nested(spark, sf_dir):
+    """T9 on documents Spark derives from ``orders``: nested objects and an array;
+    every entry whose path ends with the segment ``id`` (``suffix`` match)."""
+    o = warehouse(spark, sf_dir).scan("warehouse", "orders")
+    docs = o.select("o_orderkey", F.to_json(F.struct(
+        F.struct(F.col("o_orderkey").alias("id")).alias("key"),
+        F.array(F.struct(F.col("o_custkey").alias("id"),
+                         F.col("o_orderstatus").alias("status"))).alias("parties"),
+        F.col("o_orderpriority").alias("priority"))).alias("doc"))
+    return json_keypaths(docs, "doc", "id", match="suffix").select(
+        "o_orderkey", "path", "value")
+
+
+def search_numeric(spark, sf_dir):
+    """T5 over number text: '77' in any column of customer (case-sensitive)."""
+    c = warehouse(spark, sf_dir).scan("warehouse", "customer")
+    return shaping.search(c, "77", case_sensitive=True)
+
+
+def sort_nulls_preview(spark, sf_dir):
+    """T4 + T6: nulls first (explicit), ties broken by key, 100 rows."""
+    return shaping.preview(_orders_with_nulls(spark, sf_dir), 100,
+                           order=[("o_orderstatus", "asc"), ("o_orderkey", "desc")])
+
+
+def catalog_restricted(spark, sf_dir):
+    """A connection restricted to one table lists only that table."""
+    cat = Catalog(spark)
+    cat.register("one", "parquet", files=[f"{sf_dir}/{t}.parquet" for t in TPCH],
+                 table="lineitem")
+    return with_row_counts(spark, cat).select("connection", "source", "table", "n_rows")
+
+
+def fill_then_not_equal(spark, sf_dir):
+    """T1 then P2 the viewer's way: filled nulls are the text 'Null' and stay."""
+    filled = shaping.fill_null_token(_orders_with_nulls(spark, sf_dir))
+    return apply_filters(filled, [FilterSpec("not equal", "o_orderstatus", "F")])
+
+
+def export_parquet_json(spark, sf_dir):
+    """K4: lineitem exported as Parquet and as JSON lines, both read back typed."""
+    cat = warehouse(spark, sf_dir)
+    li = cat.scan("warehouse", "lineitem")
+    pq = _staged(spark, li, "parquet", "lineitem")
+    js = _staged(spark, li, "json", "lineitem")
+    back_pq = spark.read.parquet(pq)
+    back_js = spark.read.schema(li.schema).json(js)
+    return back_pq.unionByName(back_js)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_parquet": scan_parquet,
     "scan_csv": scan_csv,
@@ -333,6 +383,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_like_mode": _filtered("part", FilterSpec("contains", "p_name", "s%ing", mode="like")),
     "calculated_column": calculated_column,
     "json_keypaths": json_keypaths_query,
+    "json_keypaths_nested": json_keypaths_nested,
+    "search_numeric": search_numeric,
+    "sort_nulls_preview": sort_nulls_preview,
+    "catalog_restricted": catalog_restricted,
+    "fill_then_not_equal": fill_then_not_equal,
+    "export_parquet_json": export_parquet_json,
+    "filter_equal_timestamp": _filtered("orders", FilterSpec("equal", "o_orderdate",
+                                                             "1996-01-02 00:00:00")),
+    "filter_starts_with_int": _filtered("part", FilterSpec("starts with", "p_size", "1")),
     "worksheet_cross_source": worksheet_cross_source,
     "worksheet_same_name": worksheet_same_name,
     "materialise_roundtrip": materialise_roundtrip,

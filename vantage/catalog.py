@@ -236,29 +236,30 @@ def schema_frame(spark: SparkSession, connection: str, table: str,
     return spark.createDataFrame(list(_schema_rows(connection, table, schema)), COLUMNS_SCHEMA)
 
 
-def row_counts(frames) -> DataFrame | None:
-    """``(connection, table, n_rows)`` for ``[(connection, table, df), ...]`` as ONE
-    aggregate: the scans read no columns (Parquet gives row counts from its
-    footers), each task pre-aggregates to one row per table, then one small
-    shuffle. No per-table job and no count on the driver."""
-    parts = [df.select(F.lit(c).alias("connection"), F.lit(t).alias("table"))
-             for c, t, df in frames]
-    if not parts:
-        return None
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy("connection", "table").agg(F.count(F.lit(1)).alias("n_rows"))
+def count_rows(markers: DataFrame, frames) -> DataFrame:
+    """Row counts as ONE aggregate over a union, with no join.
+
+    ``markers`` has one row per table (``connection``, ``table`` and any
+    metadata columns); ``frames`` is ``[(connection, table, df), ...]``. Every
+    scan contributes a weight 1 per row and reads no columns (Parquet gives row
+    counts from its footers); each marker contributes 0, so an empty table
+    still gets ``n_rows = 0``. Each task pre-aggregates to one row per table
+    before the single small shuffle, so a table that holds most rows is not a
+    hot reducer. Metadata columns are carried through with ``max``.
+    """
+    meta = [c for c in markers.columns if c not in ("connection", "table")]
+    typed = dict(markers.dtypes)
+    union = markers.select("connection", "table", *meta, F.lit(0).alias("__w"))
+    for c, t, df in frames:
+        union = union.unionByName(df.select(
+            F.lit(c).alias("connection"), F.lit(t).alias("table"),
+            *[F.lit(None).cast(typed[m]).alias(m) for m in meta], F.lit(1).alias("__w")))
+    return union.groupBy("connection", "table").agg(
+        *[F.max(m).alias(m) for m in meta], F.sum("__w").cast("bigint").alias("n_rows"))
 
 
 def with_row_counts(spark: SparkSession, catalog: Catalog) -> DataFrame:
     """Catalog tables plus a row count each (0 for an empty table)."""
     frames = [(conn.name, t, catalog.scan(conn.name, t))
               for conn in catalog.connections for t in catalog.table_names(conn.name)]
-    counts = row_counts(frames)
-    tables = catalog.tables()
-    if counts is None:
-        return tables.withColumn("n_rows", F.lit(0).cast("bigint"))
-    # one row per table on both sides: the broadcast is bounded by the table count
-    return (tables.join(F.broadcast(counts), ["connection", "table"], "left")
-            .withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("bigint"))))
+    return count_rows(catalog.tables(), frames)

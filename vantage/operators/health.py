@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vantage.catalog import row_counts
+from vantage.catalog import count_rows
 
 DIAGNOSE_SCHEMA = T.StructType([
     T.StructField("connection", T.StringType(), False),
@@ -56,10 +56,8 @@ def diagnose(catalog, mode: str = "schema") -> DataFrame:
             if mode == "read":
                 frames.append((conn.name, t, df))
     out = spark.createDataFrame(status, DIAGNOSE_SCHEMA)
-    counts = row_counts(frames) if mode == "read" else None
-    if counts is None:
+    if mode == "schema":
         return out.withColumn("n_rows", F.lit(None).cast("bigint"))
-    # one row per table on both sides: the broadcast is bounded by the table count
-    return (out.join(F.broadcast(counts), ["connection", "table"], "left")
-            .withColumn("n_rows", F.when(F.col("ok"), F.coalesce("n_rows", F.lit(0)))
-                        .cast("bigint")))
+    counted = count_rows(out, frames)
+    return counted.select("connection", "table", "mode", "ok", "message",
+                          F.when(F.col("ok"), F.col("n_rows")).alias("n_rows"))

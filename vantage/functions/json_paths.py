@@ -6,11 +6,13 @@ value. Array elements add no path part, so ``{"a": [{"b": 1}, {"b": 2}]}``
 has two entries ``a.b``. Keys listed in ``ignore_keys`` add no path part either.
 
 The walk is built from Spark functions only: ``try_parse_json`` once, then per
-level one projection whose higher-order functions expand every frontier node
-(object entries via ``map<string,variant>``, array elements via
-``array<variant>``) and append the level's matches to a per-row array; one
-``explode`` at the end. Narrow, no shuffle, no Python. Keys inside one object
-are visited in key order; array elements in element order.
+level one ``explode`` over the node's children (object entries via
+``map<string,variant>``, array elements via ``array<variant>``, zipped with
+``arrays_zip``: no lambdas). A match found at one level is carried through the
+later levels as a single row, so the plan is one linear chain of ``depth``
+generators: narrow, no shuffle, no Python, and the rows per document are
+bounded by the document. Keys inside one object are visited in key order;
+array elements in element order.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ def _match_sql(path_expr: str, target: str, match: str) -> str:
     return f"endswith({path_expr}, {t})"  # plain string suffix: 'xab' matches 'ab'
 
 
+_NODES = "ARRAY<STRUCT<k: STRING, v: VARIANT, kind: INT>>"
+_CHILD, _CARRY = 0, 1
+
+
 def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
                   match: str = "exact", depth: int = 8, keep: Sequence[str] | None = None,
                   ignore_keys: Sequence[str] = ()) -> DataFrame:
@@ -54,36 +60,40 @@ def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
     q = lambda c: "`" + c.replace("`", "``") + "`"
     kept = [F.col(q(c)) for c in keep]
 
-    node = "named_struct('p', {p}, 'v', {v}, 'entry', {entry})"
-    hit = "named_struct('p', {n}.p, 'v', {n}.v)"
-    ignore = ", ".join(_sql_str(k) for k in ignore_keys)
-    key_path = ("IF(e.key IN ({ign}), n.p, IF(n.p IS NULL, e.key, concat(n.p, '.', e.key)))"
-                .format(ign=ignore) if ignore_keys else
-                "IF(n.p IS NULL, e.key, concat(n.p, '.', e.key))")
-    matches = ("transform(filter(__f, n -> n.entry AND coalesce({m}, false)), n -> " + hit + ")"
-               ).format(m=_match_sql("n.p", target, match), n="n")
-    children = (
-        "flatten(transform(__f, n -> concat("
-        "coalesce(transform(map_entries(try_variant_get(n.v, '$', 'map<string,variant>')), "
-        "e -> " + node.format(p=key_path, v="e.value", entry="true") + "), array()), "
-        "coalesce(transform(try_variant_get(n.v, '$', 'array<variant>'), "
-        "x -> " + node.format(p="n.p", v="x", entry="false") + "), array()))))")
-
-    # Per row: a frontier array of unvisited nodes and an array of matches. Each
-    # level is one projection with higher-order functions (no generator, no
-    # shuffle); one explode at the end. Both arrays are bounded by the row's own
-    # document.
-    cur = df.select(*kept, F.expr("array(" + node.format(
-        p="CAST(NULL AS STRING)", v=f"try_parse_json({q(column)})", entry="false") + ")").alias("__f"),
-        F.expr("CAST(array() AS ARRAY<STRUCT<p: STRING, v: VARIANT>>)").alias("__o"))
+    obj = "try_variant_get(__v, '$', 'map<string,variant>')"
+    arr = "try_variant_get(__v, '$', 'array<variant>')"
+    empty = f"CAST(array() AS {_NODES})"
+    carry = f"CAST(array(named_struct('k', CAST(NULL AS STRING), 'v', __v, 'kind', {_CARRY})) AS {_NODES})"
+    hit = f"(__entry AND coalesce({_match_sql('__p', target, match)}, false))"
+    # A node's next-level rows: itself when it is (or just became) a match, then
+    # its object entries (key, value) and array elements (null key), all built
+    # with arrays_zip: no lambdas, one generator per level.
+    step = (
+        f"IF(__out, {carry}, concat(IF({hit}, {carry}, {empty}), "
+        f"coalesce(CAST(arrays_zip(map_keys({obj}), map_values({obj}), "
+        f"array_repeat({_CHILD}, size({obj}))) AS {_NODES}), {empty}), "
+        f"coalesce(CAST(arrays_zip(array_repeat(CAST(NULL AS STRING), size({arr})), {arr}, "
+        f"array_repeat({_CHILD}, size({arr}))) AS {_NODES}), {empty})))")
+    skip = "__e.k IS NULL"
+    if ignore_keys:
+        skip += f" OR __e.k IN ({', '.join(_sql_str(k) for k in ignore_keys)})"
+    child_path = f"IF({skip}, __p, IF(__p IS NULL, __e.k, concat(__p, '.', __e.k)))"
+
+    cur = df.select(*kept, F.lit(None).cast("string").alias("__p"),
+                    F.expr(f"try_parse_json({q(column)})").alias("__v"),
+                    F.lit(False).alias("__entry"), F.lit(False).alias("__out"))
     for _ in range(depth):
-        cur = cur.select(*kept, F.expr(children).alias("__f"),
-                         F.expr(f"concat(__o, {matches})").alias("__o"))
-    cur = cur.select(*kept, F.explode(F.expr(f"concat(__o, {matches})")).alias("__n"))
-    kind = "schema_of_variant(__n.v)"
+        cur = cur.select(*kept, "__p", F.explode(F.expr(step)).alias("__e"))
+        cur = cur.select(*kept,
+                         F.expr(f"IF(__e.kind = {_CARRY}, __p, {child_path})").alias("__p"),
+                         F.col("__e.v").alias("__v"),
+                         F.expr(f"__e.kind = {_CHILD} AND __e.k IS NOT NULL").alias("__entry"),
+                         F.expr(f"__e.kind = {_CARRY}").alias("__out"))
+    cur = cur.filter(F.expr(f"__out OR {hit}"))  # entries at the depth bound count too
+    kind = "schema_of_variant(__v)"
     return cur.select(
         *kept,
-        F.col("__n.p").alias("path"),
-        F.expr(f"CASE WHEN {kind} LIKE 'OBJECT%' OR {kind} LIKE 'ARRAY%' THEN to_json(__n.v) "
-               f"ELSE try_variant_get(__n.v, '$', 'string') END").alias("value"),
+        F.col("__p").alias("path"),
+        F.expr(f"CASE WHEN {kind} LIKE 'OBJECT%' OR {kind} LIKE 'ARRAY%' THEN to_json(__v) "
+               f"ELSE try_variant_get(__v, '$', 'string') END").alias("value"),
         F.expr(f"lower(regexp_extract({kind}, '^([A-Z]+)', 1))").alias("value_type"))

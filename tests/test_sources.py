@@ -141,6 +141,11 @@ def test_jdbc_options_builders():
                                         "warehouse": "W", "role": "R"})
     assert jdbc.url_of(sf) == "jdbc:snowflake://acc.snowflakecomputing.com/?db=D&schema=S&warehouse=W&role=R"
     assert jdbc.qualified(sf, "T") == "D.S.T"
+    sfc = Connection("sfc", "snowflake", {"account": "acc", "database": "D", "schema": "S",
+                                          "user": "u", "connector": "spark"})
+    assert jdbc.snowflake_connector_options(sfc, "T") == {
+        "sfURL": "acc.snowflakecomputing.com", "sfDatabase": "D", "sfSchema": "S",
+        "dbtable": "T", "sfUser": "u"}
     pg = Connection("pg", "postgres", {"host": "h", "database": "d"})
     assert jdbc.url_of(pg) == "jdbc:postgresql://h:5432/d"
     assert "INFORMATION_SCHEMA.COLUMNS" in jdbc._columns_sql(pg)

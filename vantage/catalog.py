@@ -135,6 +135,15 @@ class Catalog:
             cat.register(spec.pop("name"), spec.pop("source"), **spec)
         return cat
 
+    @classmethod
+    def from_yaml(cls, spark: SparkSession, path: str) -> "Catalog":
+        """Connections from a settings file of the shape ``{key: {name, source, ...}}``.
+        Secrets belong in the environment (``password: env:NAME``), not the file."""
+        import yaml
+        with open(path) as fh:
+            specs = yaml.safe_load(fh) or {}
+        return cls.from_specs(spark, specs)
+
     def register(self, name: str, source: str, **options) -> Connection:
         """Add a connection; a same-named one is replaced (upload semantics)."""
         conn = Connection(name, source, options)

@@ -52,13 +52,20 @@ def _staged(spark: SparkSession, df: DataFrame, fmt: str, name: str, **kw) -> st
     return path
 
 
+_CRM: dict[tuple, tuple[str, str]] = {}
+
+
 def with_crm(spark: SparkSession, sf_dir: str, typed: bool = True) -> Catalog:
     """warehouse (parquet) + crm (CSV copies of customer and nation written by
-    Spark into the shared folder). ``typed`` gives the CSV tables their schemas;
-    otherwise they read as strings, as the viewer reads CSV."""
+    Spark into the shared folder once per session and folder, like a CSV
+    connection that exists beside the warehouse). ``typed`` gives the CSV
+    tables their schemas; otherwise they read as strings, as the viewer does."""
     cat = warehouse(spark, sf_dir)
-    cust = _staged(spark, cat.scan("warehouse", "customer"), "csv", "customer")
-    nat = _staged(spark, cat.scan("warehouse", "nation"), "csv", "nation")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CRM:
+        _CRM[key] = (_staged(spark, cat.scan("warehouse", "customer"), "csv", "customer"),
+                     _staged(spark, cat.scan("warehouse", "nation"), "csv", "nation"))
+    cust, nat = _CRM[key]
     schemas = {"customer": CUSTOMER_DDL, "nation": NATION_DDL} if typed else {}
     cat.register("crm", "csv", files=[cust, nat], schemas=schemas)
     return cat

@@ -71,11 +71,29 @@ def qualified(conn, table: str) -> str:
     return f"{schema}.{table}" if schema else table
 
 
+def snowflake_connector_options(conn, table: str) -> dict[str, str]:
+    """Options of the Snowflake Spark connector (``format("snowflake")``), used
+    when the connection says ``connector: spark`` and the connector jar is on the
+    classpath; it unloads through stage files in parallel instead of one JDBC
+    result set."""
+    o = conn.options
+    opts = {"sfURL": f"{o['account']}.snowflakecomputing.com", "sfDatabase": o["database"],
+            "sfSchema": o["schema"], "dbtable": table}
+    for key, name in (("user", "sfUser"), ("password", "sfPassword"),
+                      ("warehouse", "sfWarehouse"), ("role", "sfRole")):
+        if key in o:
+            opts[name] = env_secret(o[key])
+    return opts
+
+
 def read_table(spark: SparkSession, conn, table: str, partition_column: str | None = None,
                lower_bound=None, upper_bound=None, num_partitions: int | None = None,
                **options) -> DataFrame:
     """``dbtable`` scan, parallel when a numeric/date partition column is given
     (connection option ``partitions: {table: {column, lower, upper, num}}`` or args)."""
+    if conn.source == "snowflake" and conn.options.get("connector") == "spark":
+        return (spark.read.format("snowflake")
+                .options(**snowflake_connector_options(conn, table)).load())
     opts = base_options(conn)
     opts["dbtable"] = qualified(conn, table)
     part = dict(conn.options.get("partitions", {}).get(table, {}))

@@ -50,3 +50,5 @@ def test_diagnose(spark):
     assert schema[("wh", "nation")] == (True, "ok", None)
     read = {(r.connection, r.table): r.n_rows for r in diagnose(cat, mode="read").collect()}
     assert read[("wh", "region")] == 5 and read[("bad", "missing")] is None
+    sample = {(r.connection, r.table): r.n_rows for r in diagnose(cat, mode="sample").collect()}
+    assert sample[("wh", "region")] == 1 and sample[("bad", "missing")] is None

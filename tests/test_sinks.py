@@ -45,6 +45,9 @@ def test_export_xlsx(spark, tmp):
                           "c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING")
     assert back.exceptAll(c).count() == 0 and c.exceptAll(back).count() == 0
     assert manifest == path
+    # a smaller export into the same folder: the manifest hides the older workbooks
+    sinks.export(c.limit(5).coalesce(1), path, fmt="xlsx")
+    assert read_workbooks(spark, path).count() == 5
 
 
 def test_create_table_registers(spark, tmp):

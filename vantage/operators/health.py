@@ -1,7 +1,8 @@
 """Source readiness check (C9): ``diagnose(catalog)`` -> one row per table.
 
 ``mode='schema'`` resolves each table's schema (file footers / JDBC metadata,
-no data read). ``mode='read'`` also counts every table's rows, as one lazy
+no data read). ``mode='sample'`` also reads one row of each table (cheap at any
+size; ``n_rows`` is 0 or 1). ``mode='read'`` counts every table's rows, as one lazy
 union of per-table counts (partial counts per task; Parquet answers from
 footers), so a table that resolves but cannot be read shows up when the
 result is evaluated. A table that does not resolve gives ``ok = false`` and a
@@ -35,8 +36,8 @@ def _reason(e: Exception) -> str:
 
 
 def diagnose(catalog, mode: str = "schema") -> DataFrame:
-    if mode not in ("schema", "read"):
-        raise ValueError("mode must be 'schema' or 'read'")
+    if mode not in ("schema", "sample", "read"):
+        raise ValueError("mode must be 'schema', 'sample' or 'read'")
     spark = catalog.spark
     status, frames = [], []
     for conn in catalog.connections:
@@ -53,8 +54,8 @@ def diagnose(catalog, mode: str = "schema") -> DataFrame:
                 status.append((conn.name, t, mode, False, _reason(e)))
                 continue
             status.append((conn.name, t, mode, True, "ok"))
-            if mode == "read":
-                frames.append((conn.name, t, df))
+            if mode != "schema":
+                frames.append((conn.name, t, df.limit(1) if mode == "sample" else df))
     out = spark.createDataFrame(status, DIAGNOSE_SCHEMA)
     if mode == "schema":
         return out.withColumn("n_rows", F.lit(None).cast("bigint"))

@@ -60,6 +60,20 @@ def list_workbooks(path: str) -> list[str]:
     return sorted(out)
 
 
+def workbooks_of(path: str) -> list[str]:
+    """The workbooks of a folder: those its ``_manifest`` lists when a writer of
+    this module made it (so files of an older, larger export are ignored), else
+    every ``.xlsx`` file found. The manifest has one row per workbook."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+    fs, root = _fs(path)
+    manifest = posixpath.join(root.rstrip("/"), "_manifest")
+    if fs.get_file_info(manifest).type == pafs.FileType.Directory:
+        table = pq.read_table(manifest, filesystem=fs, columns=["path"])
+        return sorted(table.column("path").to_pylist())
+    return list_workbooks(path)
+
+
 def _join_uri(uri: str, root: str, found: str) -> str:
     return uri[: len(uri) - len(root)] + found if uri.endswith(root) else found
 
@@ -208,7 +222,7 @@ class WorkbookReader(DataSourceReader):
         self.schema = schema
 
     def partitions(self):
-        paths = list_workbooks(self.options["path"])
+        paths = workbooks_of(self.options["path"])
         sheet = self.options.get("sheet")
         if self.options.get("allSheets", "false").lower() == "true":
             parts = []
@@ -259,7 +273,7 @@ class WorkbookDataSource(DataSource):
         return "workbooks"
 
     def schema(self):
-        paths = list_workbooks(self.options["path"])
+        paths = workbooks_of(self.options["path"])
         if not paths:
             raise FileNotFoundError(f"no workbooks under {self.options['path']}")
         # Only the header row (and, with inferSchema, a bounded sample) of the first
@@ -420,8 +434,12 @@ def write_workbooks(df: DataFrame, path: str, max_rows: int | None = None) -> Da
 
             fs, p = _fs(target)
             fs.create_dir(posixpath.dirname(p), recursive=True)
-            with fs.open_output_stream(p) as out:
+            # write under an attempt name, then move into place: a speculative or
+            # retried attempt never leaves a half-written workbook under the name
+            tmp = f"{p}.attempt-{ctx.attemptNumber() if ctx else 0}"
+            with fs.open_output_stream(tmp) as out:
                 n = workbook_bytes_writer(out, columns, chunk())
+            fs.move(tmp, p)
             paths.append(target)
             counts.append(n)
             first = next(it, None)

@@ -18,7 +18,7 @@ from vantage.operators import shaping, sinks
 from vantage.operators.predicates import FilterSpec, apply_filters, remove_filter
 from vantage.plans.worksheet import Worksheet
 from vantage.plans.worksheet_sql import WORKSHEET_SQL
-from vantage.session import shared_path
+from vantage.session import session_key, shared_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -38,7 +38,7 @@ def warehouse(spark: SparkSession, sf_dir: str, tables=TABLES) -> Catalog:
     """A parquet connection ``warehouse`` over the given tables: a fork of one
     long-lived catalog per session and folder, so each table is listed and its
     schema resolved once, as a catalog in a running viewer would."""
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(tables))
+    key = (session_key(spark), sf_dir, tuple(tables))
     if key not in _BASE:
         cat = Catalog(spark)
         cat.register("warehouse", "parquet", files=[f"{sf_dir}/{t}.parquet" for t in tables])
@@ -61,7 +61,7 @@ def with_crm(spark: SparkSession, sf_dir: str, typed: bool = True) -> Catalog:
     connection that exists beside the warehouse). ``typed`` gives the CSV
     tables their schemas; otherwise they read as strings, as the viewer does."""
     cat = warehouse(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _CRM:
         _CRM[key] = (_staged(spark, cat.scan("warehouse", "customer"), "csv", "customer"),
                      _staged(spark, cat.scan("warehouse", "nation"), "csv", "nation"))

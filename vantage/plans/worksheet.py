@@ -106,11 +106,19 @@ def check_read_only(spark: SparkSession, query: str) -> bool:
     return True
 
 
+_NAME = re.compile(r"(?i)\b(?:FROM|JOIN|TABLE)\s+`?([A-Za-z_][A-Za-z0-9_]*)`?")
+
+
 def referenced_tables(spark: SparkSession, query: str) -> list[str]:
     """Relation names the query reads (``a`` or ``conn__a``), from the parse tree;
-    CTE names are included and simply not found in the catalog."""
+    CTE names are included and simply not found in the catalog. Without JVM
+    access (Spark Connect) the names after FROM/JOIN/TABLE are taken instead."""
+    try:
+        parser = spark._jsparkSession.sessionState().sqlParser()
+    except Exception:
+        return list(dict.fromkeys(_NAME.findall(query)))
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+        plan = parser.parsePlan(query)
     except Exception:
         return []
     names = []

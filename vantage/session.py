@@ -20,6 +20,22 @@ SCALE_CONF = {
 }
 
 
+def recommended_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20,
+                     ) -> dict[str, str]:
+    """Shuffle and scan sizes for a job reading ``input_bytes`` on ``cores`` cores:
+    shuffle partitions so that one holds about ``target_partition_bytes`` (at
+    least 2 waves of the cluster), scan splits of 256 MiB, AQE left to coalesce
+    small partitions and split skewed ones. Apply to a session you own only."""
+    parts = max(2 * cores, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        **SCALE_CONF,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "vantage") -> SparkSession:
     """A local session for tests and the bench (UI off, AQE on)."""
@@ -44,15 +60,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     The cluster names it; only when it is unset (local tests) do we make one.
     """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or _conf(spark, "spark.checkpoint.dir")
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    base = (sc.getConf().get("spark.checkpoint.dir") if sc is not None else None) \
+        or _conf(spark, "spark.checkpoint.dir")
     if not base:
         base = tempfile.mkdtemp(prefix="/tmp/run-")
-    if sc.getCheckpointDir() is None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base
 
 
+def session_key(spark: SparkSession) -> str:
+    """An id of the running application (for per-session caches)."""
+    return _conf(spark, "spark.app.id") or str(id(spark))
+
+
 def shared_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     """A path in the shared folder for a written table or staged export."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

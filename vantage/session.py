@@ -87,6 +87,42 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     return "/".join([base, "vantage", *leaf])
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vantage`` importable in Python workers (the workbook reader and
+    writer run there): zip the package once per application into the shared
+    folder and add it like ``--py-files``. Harmless when it is installed."""
+    key = session_key(spark)
+    if key in _SHIPPED:
+        return
+    import io
+    import zipfile
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    target = shared_path(spark, "pyfiles") + "/vantage.zip"
+    from pyarrow import fs as pafs
+    if "://" in target:
+        fs, p = pafs.FileSystem.from_uri(target)
+    else:
+        fs, p = pafs.LocalFileSystem(), target
+    fs.create_dir(os.path.dirname(p), recursive=True)
+    with fs.open_output_stream(p) as out:
+        out.write(buf.getvalue())
+    try:
+        spark.sparkContext.addPyFile(target)
+    except Exception:  # Spark Connect
+        spark.addArtifacts(target, pyfile=True)
+    _SHIPPED.add(key)
+
+
 def _conf(spark: SparkSession, key: str) -> str | None:
     try:
         return spark.conf.get(key, None)

@@ -298,6 +298,8 @@ class WorkbookDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    from vantage.session import ship_package
+    ship_package(spark)
     key = id(spark)
     if key not in _registered:
         spark.dataSource.register(WorkbookDataSource)
@@ -405,6 +407,8 @@ def write_workbooks(df: DataFrame, path: str, max_rows: int | None = None) -> Da
     import pyarrow as pa
     from pyspark import TaskContext
 
+    from vantage.session import ship_package
+    ship_package(df.sparkSession)
     limit = min(int(max_rows or SHEET_MAX_ROWS), SHEET_MAX_ROWS)
     columns = list(df.columns)
     base = path.rstrip("/")

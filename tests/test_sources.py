@@ -13,15 +13,17 @@ NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 RNS = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
-def make_workbook(path, header, body, shared=True, sheet_name="S1"):
-    """A minimal workbook with the standard library only (test fixture)."""
+def make_workbook(path, header, body, shared=True, sheet_name="S1", date_cols=()):
+    """A minimal workbook with the standard library only (test fixture).
+    Numbers in ``date_cols`` carry a date style (built-in format 14)."""
     strings = []
 
     def cell(ref, v):
         if v is None:
             return ""
         if isinstance(v, (int, float)) and not isinstance(v, bool):
-            return f'<c r="{ref}"><v>{v}</v></c>'
+            style = ' s="1"' if ref[0] in date_cols else ""
+            return f'<c r="{ref}"{style}><v>{v}</v></c>'
         if shared:
             strings.append(v)
             return f'<c r="{ref}" t="s"><v>{len(strings) - 1}</v></c>'
@@ -40,6 +42,9 @@ def make_workbook(path, header, body, shared=True, sheet_name="S1"):
                    'relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml" '
                    'Type="x"/></Relationships>')
         z.writestr("xl/worksheets/sheet1.xml", sheet)
+        if date_cols:
+            z.writestr("xl/styles.xml", f'<styleSheet {NS}><cellXfs count="2"><xf numFmtId="0"/>'
+                                        '<xf numFmtId="14" applyNumberFormat="1"/></cellXfs></styleSheet>')
         if shared:
             sis = "".join(f"<si><t>{s}</t></si>" for s in strings)
             z.writestr("xl/sharedStrings.xml", f'<sst {NS}>{sis}</sst>')
@@ -98,6 +103,17 @@ def test_workbook_folder(spark, tmp):
     assert dict(inferred.dtypes)["id"] == "bigint"
 
 
+def test_workbook_date_styles(spark, tmp):
+    import datetime as dt
+    folder = os.path.join(tmp, "dated")
+    os.makedirs(folder)
+    make_workbook(os.path.join(folder, "d.xlsx"), ["id", "day"], [[1, 45000], [2, 45000.5]],
+                  date_cols=("B",))
+    df = read_workbooks(spark, folder, infer_schema=True)
+    assert df.dtypes == [("id", "bigint"), ("day", "timestamp_ntz")]
+    assert rows(df) == [(1, dt.datetime(2023, 3, 15)), (2, dt.datetime(2023, 3, 15, 12))]
+
+
 @pytest.fixture(scope="module")
 def derby(spark):
     cat = Catalog(spark)

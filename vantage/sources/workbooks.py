@@ -123,7 +123,33 @@ def sheets_of(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     return out
 
 
-def _cell_value(c, shared: list[str]):
+# Built-in number formats that show a date or time (ECMA-376 part 1, 18.8.30).
+_DATE_FORMAT_IDS = frozenset(range(14, 23)) | frozenset(range(45, 48))
+_DATE_TOKENS = re.compile(r"[dyhs]|mm?:|:mm", re.I)
+
+
+def date_styles(z: zipfile.ZipFile) -> frozenset[int]:
+    """Indexes of cell styles whose number format is a date/time format, so that
+    a numeric cell with such a style is read as a date (as spreadsheet readers do)."""
+    if "xl/styles.xml" not in z.namelist():
+        return frozenset()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    custom = set()
+    fmts = root.find(_NS + "numFmts")
+    for f in (fmts if fmts is not None else []):
+        code = re.sub(r'"[^"]*"|\[[^]]*\]|\\.', "", f.get("formatCode", ""))
+        if _DATE_TOKENS.search(code):
+            custom.add(int(f.get("numFmtId")))
+    xfs = root.find(_NS + "cellXfs")
+    out = set()
+    for i, xf in enumerate(xfs if xfs is not None else []):
+        fid = int(xf.get("numFmtId", "0"))
+        if fid in _DATE_FORMAT_IDS or fid in custom:
+            out.add(i)
+    return frozenset(out)
+
+
+def _cell_value(c, shared: list[str], dates: frozenset[int] = frozenset()):
     t = c.get("t", "n")
     if t == "inlineStr":
         is_ = c.find(_NS + "is")
@@ -142,10 +168,13 @@ def _cell_value(c, shared: list[str]):
         x = float(text)
     except ValueError:
         return text
+    if dates and int(c.get("s", "0")) in dates:
+        return _EXCEL_EPOCH + _dt.timedelta(days=x)
     return int(x) if x.is_integer() and "." not in text and "E" not in text.upper() else x
 
 
-def iter_rows(z: zipfile.ZipFile, member: str, shared: list[str]) -> Iterator[list]:
+def iter_rows(z: zipfile.ZipFile, member: str, shared: list[str],
+              dates: frozenset[int] = frozenset()) -> Iterator[list]:
     """Rows of one sheet as lists (gaps filled with None), streamed."""
     with z.open(member) as fh:
         for _, el in ET.iterparse(fh):
@@ -157,7 +186,7 @@ def iter_rows(z: zipfile.ZipFile, member: str, shared: list[str]) -> Iterator[li
                 idx = _col_index(ref) if ref else pos
                 while len(row) < idx:
                     row.append(None)
-                row.append(_cell_value(c, shared))
+                row.append(_cell_value(c, shared, dates))
             el.clear()
             yield row
 
@@ -168,6 +197,8 @@ def _convert(value, dtype):
     if isinstance(dtype, T.StringType):
         if isinstance(value, bool):
             return "true" if value else "false"
+        if isinstance(value, _dt.datetime):
+            return value.isoformat(sep=" ")
         return str(value)
     if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return int(float(value))
@@ -179,10 +210,14 @@ def _convert(value, dtype):
         from decimal import Decimal
         return Decimal(str(value))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        if isinstance(value, _dt.datetime):
+            return value
         if isinstance(value, (int, float)):
             return _EXCEL_EPOCH + _dt.timedelta(days=float(value))
         return _dt.datetime.fromisoformat(str(value))
     if isinstance(dtype, T.DateType):
+        if isinstance(value, _dt.datetime):
+            return value.date()
         if isinstance(value, (int, float)):
             return (_EXCEL_EPOCH + _dt.timedelta(days=float(value))).date()
         return _dt.date.fromisoformat(str(value)[:10])
@@ -196,6 +231,8 @@ def _infer(values) -> T.DataType:
             continue
         if isinstance(v, bool):
             kinds.add("bool")
+        elif isinstance(v, _dt.datetime):
+            kinds.add("time")
         elif isinstance(v, int):
             kinds.add("int")
         elif isinstance(v, float):
@@ -206,6 +243,10 @@ def _infer(values) -> T.DataType:
         return T.StringType()
     if kinds == {"bool"}:
         return T.BooleanType()
+    if kinds == {"time"}:
+        return T.TimestampNTZType()
+    if "time" in kinds:
+        return T.StringType()
     return T.LongType() if kinds == {"int"} else T.DoubleType()
 
 
@@ -246,7 +287,7 @@ class WorkbookReader(DataSourceReader):
                     return
                 member = match[0]
             shared = _shared_strings(z)
-            rows = iter_rows(z, member, shared)
+            rows = iter_rows(z, member, shared, date_styles(z))
             header = next(rows, None)
             if header is None:
                 return
@@ -282,7 +323,7 @@ class WorkbookDataSource(DataSource):
             sheets = sheets_of(z)
             sheet = self.options.get("sheet")
             member = sheets[0][1] if sheet is None else dict(sheets)[sheet]
-            rows = iter_rows(z, member, _shared_strings(z))
+            rows = iter_rows(z, member, _shared_strings(z), date_styles(z))
             header = [str(h) for h in next(rows, []) if h is not None]
             infer = self.options.get("inferSchema", "false").lower() == "true"
             sample = [r for _, r in zip(range(1000), rows)] if infer else []

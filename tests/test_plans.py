@@ -42,3 +42,9 @@ def test_projection_prunes(plans):
 def test_previews_are_top_k(plans):
     for name in ("sort_preview", "sort_nulls_preview", "ws_topk"):
         assert "TakeOrderedAndProject" in plans[name], name
+
+
+def test_bucketed_join_reads_without_shuffle(plans):
+    p = plans["bucketed_join"]
+    below_join = p.split("SortMergeJoin", 1)[1]
+    assert "Bucketed: true" in below_join and "Exchange" not in below_join

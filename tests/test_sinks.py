@@ -58,3 +58,21 @@ def test_create_table_registers(spark, tmp):
     sinks.create_table(joined.select("n_name", "r_name"), cat, "derived", "nr",
                        path=os.path.join(tmp, "nr"))
     assert cat.scan("derived", "nr").count() == 25
+
+
+def test_bucketed_materialise_joins_without_shuffle(spark, tmp):
+    from conftest import plan
+    cat = Catalog(spark)
+    cat.register("wh", "parquet", files=[f"{SF}/orders.parquet", f"{SF}/lineitem.parquet"])
+    for t, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        sinks.materialise(cat.scan("wh", t), os.path.join(tmp, t), catalog=cat,
+                          connection="wh", table=t, bucket_by=(4, [key]))
+    o, li = cat.scan("wh", "orders"), cat.scan("wh", "lineitem")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = li.join(o, li.l_orderkey == o.o_orderkey)
+        p = plan(j)
+        assert "SortMergeJoin" in p and "Exchange" not in p
+        assert j.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

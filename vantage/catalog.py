@@ -213,7 +213,8 @@ class Catalog:
         """The table as a lazy DataFrame (S1-S9); a materialised copy first."""
         key = (connection, table)
         if prefer_materialised and key in self._materialised and not read_options:
-            return self.spark.read.parquet(self._materialised[key])
+            from vantage.operators.sinks import read_materialised
+            return read_materialised(self.spark, self._materialised[key])
         from vantage import sources
         conn = self.connection(connection)
         if conn.is_file and table not in conn.file_tables():

@@ -9,6 +9,9 @@ to a path the caller gives, or to the cluster's shared folder
 
 from __future__ import annotations
 
+import re
+from typing import Sequence
+
 from pyspark.sql import DataFrame
 
 from vantage.session import shared_path
@@ -18,21 +21,40 @@ EXPORT_FORMATS = ("parquet", "csv", "json", "xlsx")
 
 def materialise(df: DataFrame, path: str | None = None, catalog=None,
                 connection: str | None = None, table: str | None = None,
-                structure_path: str | None = None) -> DataFrame:
+                structure_path: str | None = None,
+                bucket_by: tuple[int, Sequence[str]] | None = None) -> DataFrame:
     """K1: write the table as Parquet (types kept, nullable ints stay ints) and
     return the re-read copy, which cuts the lineage. With a catalog, later scans
     of ``(connection, table)`` read the copy (S8). K2: ``structure_path``
-    also writes the table's structure rows."""
+    also writes the table's structure rows.
+
+    ``bucket_by=(n, [cols])`` writes a bucketed (and bucket-sorted) table
+    registered in the session catalog: two tables bucketed the same way on the
+    join key are joined without a shuffle of either side."""
     spark = df.sparkSession
     if path is None:
         path = shared_path(spark, "materialised", connection or "adhoc", table or "table")
-    df.write.mode("overwrite").parquet(path)
+    if bucket_by is not None:
+        n, cols = bucket_by
+        ident = "vantage_" + re.sub(r"\W", "_", f"{connection or 'adhoc'}__{table or 'table'}")
+        (df.write.mode("overwrite").option("path", path).format("parquet")
+         .bucketBy(int(n), *cols).sortBy(*cols).saveAsTable(ident))
+        location = f"table:{ident}"
+    else:
+        df.write.mode("overwrite").parquet(path)
+        location = path
     if structure_path is not None:
         from vantage.operators.shaping import structure
         structure(df).coalesce(1).write.mode("overwrite").parquet(structure_path)
     if catalog is not None and connection and table:
-        catalog.note_materialised(connection, table, path)
-    return spark.read.parquet(path)
+        catalog.note_materialised(connection, table, location)
+    return read_materialised(spark, location)
+
+
+def read_materialised(spark, location: str) -> DataFrame:
+    if location.startswith("table:"):
+        return spark.table(location[len("table:"):])
+    return spark.read.parquet(location)
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv", max_records_per_file: int | None = None,

@@ -155,6 +155,11 @@ ORACLE_SQL.update({
         f"SELECT o_orderkey, COALESCE({_NULLIF}, 'Null') AS o_orderstatus FROM orders "
         f"WHERE trim(COALESCE({_NULLIF}, 'Null')) <> 'F'"),
     "export_parquet_json": "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem",
+    "bucketed_join": (
+        "SELECT o_orderstatus, l_returnflag, COUNT(*) AS n_lines, "
+        "CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty "
+        "FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+        "GROUP BY o_orderstatus, l_returnflag"),
     "filter_equal_timestamp": (
         "SELECT * FROM orders WHERE trim(CAST(o_orderdate AS VARCHAR)) = '1996-01-02 00:00:00'"),
     "filter_starts_with_int": (

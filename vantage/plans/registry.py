@@ -358,6 +358,22 @@ def export_parquet_json(spark, sf_dir):
     return back_pq.unionByName(back_js)
 
 
+def bucketed_join(spark, sf_dir):
+    """K1 with bucketing: orders and lineitem materialised bucketed and sorted on
+    the order key, so the join of the copies reads both sides without a shuffle
+    (the plan has a sort-merge join and no exchange below it)."""
+    cat = warehouse(spark, sf_dir)
+    for t, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        sinks.materialise(cat.scan("warehouse", t),
+                          shared_path(spark, "materialised", "bucketed", t),
+                          catalog=cat, connection="warehouse", table=t, bucket_by=(8, [key]))
+    o, li = cat.scan("warehouse", "orders"), cat.scan("warehouse", "lineitem")
+    return (li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey)
+            .groupBy("o_orderstatus", "l_returnflag")
+            .agg(F.count(F.lit(1)).alias("n_lines"),
+                 F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("qty")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_parquet": scan_parquet,
     "scan_csv": scan_csv,
@@ -403,6 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "worksheet_same_name": worksheet_same_name,
     "materialise_roundtrip": materialise_roundtrip,
     "export_csv": export_csv,
+    "bucketed_join": bucketed_join,
     "create_from_join": create_from_join,
 }
 for _name in WORKSHEET_SQL:

@@ -22,6 +22,14 @@ def test_from_specs_tables_and_columns(spark):
         ("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")]
 
 
+def test_restricted_connection_scans_only_its_table(spark):
+    cat = Catalog.from_specs(spark, SPECS)
+    assert cat.table_names("one") == ["orders"]
+    assert cat.scan("one", "orders").count() == 1500
+    with pytest.raises(UnknownTable):
+        cat.scan("one", "customer")
+
+
 def test_exact_source_match():
     with pytest.raises(UnknownSource):
         Catalog(None).register("x", "sql")  # a substring of 'sqlserver' is not a source

@@ -219,6 +219,9 @@ class Catalog:
         conn = self.connection(connection)
         if conn.is_file and table not in conn.file_tables():
             raise UnknownTable(f"no table {table!r} in connection {connection!r}")
+        if "table" in conn.options and table != conn.options["table"]:
+            raise UnknownTable(f"connection {connection!r} is restricted to table "
+                               f"{conn.options['table']!r}")
         try:
             memo = (connection, conn.source, repr(sorted(conn.options.items())), table,
                     tuple(sorted(read_options.items())))

@@ -61,3 +61,26 @@ def test_bad_json_and_depth_bound(spark):
     df = spark.createDataFrame([(1, "not json"), (2, '{"a":{"b":{"c":1}}}')], "id long, j string")
     assert json_keypaths(df, "j", "a.b.c").count() == 1
     assert json_keypaths(df, "j", "a.b.c", depth=2).count() == 0
+
+
+def leaves(v):
+    if isinstance(v, dict):
+        for k in sorted(v):
+            yield from leaves(v[k])
+    elif isinstance(v, list):
+        for x in v:
+            yield from leaves(x)
+    elif v is None:
+        return
+    elif isinstance(v, bool):
+        yield "true" if v else "false"
+    else:
+        yield str(v)
+
+
+def test_combined_leaf_text(spark):
+    docs = [{"s": {"b": "x:y", "a": ["p", {"q": "\"r\""}], "n": 12, "t": True, "z": None}},
+            {"s": "plain"}, {"s": {"k1": "é\n", "k2": [1.5, "2"]}}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id long, j string")
+    got = {r.id: r.combined for r in json_keypaths(df, "j", "s", combine=True).collect()}
+    assert got == {i: "".join(leaves(d["s"])) for i, d in enumerate(docs)}

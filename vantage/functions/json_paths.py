@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH_MODES = ("exact", "suffix", "string_suffix")
@@ -42,9 +42,23 @@ _NODES = "ARRAY<STRUCT<k: STRING, v: VARIANT, kind: INT>>"
 _CHILD, _CARRY = 0, 1
 
 
+# Scalars of a JSON text in order: a key (string + colon) matches the first
+# alternative and captures nothing; a value string or literal is captured.
+_LEAVES = r'"(?:[^"\\]|\\.)*"\s*:|("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false)'
+
+
+def combined_text(json_text: Column) -> Column:
+    """The concatenated text of every scalar leaf in a JSON text, in order
+    (strings decoded, numbers and booleans as written, nulls skipped)."""
+    tokens = F.array_remove(F.regexp_extract_all(json_text, F.lit(_LEAVES), 1), "")
+    decoded = F.from_json(F.concat(F.lit("["), F.array_join(tokens, ","), F.lit("]")),
+                          "array<string>")
+    return F.array_join(decoded, "")
+
+
 def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
                   match: str = "exact", depth: int = 8, keep: Sequence[str] | None = None,
-                  ignore_keys: Sequence[str] = ()) -> DataFrame:
+                  ignore_keys: Sequence[str] = (), combine: bool = False) -> DataFrame:
     """Rows ``(*keep, path, value, value_type)`` for every matching entry.
 
     ``path``  dotted text or a list of segments.
@@ -52,6 +66,8 @@ def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
               segments) or ``string_suffix`` (path text ends with the text).
     ``depth`` how many object/array levels are walked (a bound stated up front).
     ``value`` is the scalar's text, or JSON text for an object or array.
+    ``combine`` adds ``combined``: the text of all scalar leaves under the match
+    joined in order (one expression per row, no regrouping).
     """
     if match not in MATCH_MODES:
         raise ValueError(f"match must be one of {MATCH_MODES}")
@@ -91,9 +107,11 @@ def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
                          F.expr(f"__e.kind = {_CARRY}").alias("__out"))
     cur = cur.filter(F.expr(f"__out OR {hit}"))  # entries at the depth bound count too
     kind = "schema_of_variant(__v)"
-    return cur.select(
+    out = cur.select(
         *kept,
         F.col("__p").alias("path"),
         F.expr(f"CASE WHEN {kind} LIKE 'OBJECT%' OR {kind} LIKE 'ARRAY%' THEN to_json(__v) "
                f"ELSE try_variant_get(__v, '$', 'string') END").alias("value"),
-        F.expr(f"lower(regexp_extract({kind}, '^([A-Z]+)', 1))").alias("value_type"))
+        F.expr(f"lower(regexp_extract({kind}, '^([A-Z]+)', 1))").alias("value_type"),
+        *([combined_text(F.expr("to_json(__v)")).alias("combined")] if combine else []))
+    return out

@@ -141,6 +141,10 @@ ORACLE_SQL.update({
         "SELECT o_orderkey, 'key.id' AS path, CAST(o_orderkey AS VARCHAR) AS value FROM orders "
         "UNION ALL SELECT o_orderkey, 'parties.id' AS path, CAST(o_custkey AS VARCHAR) AS value "
         "FROM orders"),
+    "json_keypaths_combined": (
+        "SELECT o_orderkey, 'parties' AS path, "
+        "'[{\"id\":' || CAST(o_custkey AS VARCHAR) || ',\"status\":\"' || o_orderstatus || '\"}]' "
+        "AS value, CAST(o_custkey AS VARCHAR) || o_orderstatus AS combined FROM orders"),
     "search_numeric": (
         "SELECT * FROM customer WHERE contains(CAST(c_custkey AS VARCHAR), '77') "
         "OR contains(c_name, '77') OR contains(CAST(c_nationkey AS VARCHAR), '77') "

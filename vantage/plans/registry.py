@@ -321,6 +321,18 @@ def json_keypaths_nested(spark, sf_dir):
         "o_orderkey", "path", "value")
 
 
+def json_keypaths_combined(spark, sf_dir):
+    """T9 with combined leaf text: the ``parties`` array of each derived order
+    document, as JSON text and as its leaves joined in order."""
+    o = warehouse(spark, sf_dir).scan("warehouse", "orders")
+    docs = o.select("o_orderkey", F.to_json(F.struct(
+        F.array(F.struct(F.col("o_custkey").alias("id"),
+                         F.col("o_orderstatus").alias("status"))).alias("parties"),
+        F.col("o_orderpriority").alias("priority"))).alias("doc"))
+    return json_keypaths(docs, "doc", "parties", combine=True).select(
+        "o_orderkey", "path", "value", "combined")
+
+
 def search_numeric(spark, sf_dir):
     """T5 over number text: '77' in any column of customer (case-sensitive)."""
     c = warehouse(spark, sf_dir).scan("warehouse", "customer")
@@ -407,6 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "calculated_column": calculated_column,
     "json_keypaths": json_keypaths_query,
     "json_keypaths_nested": json_keypaths_nested,
+    "json_keypaths_combined": json_keypaths_combined,
     "search_numeric": search_numeric,
     "sort_nulls_preview": sort_nulls_preview,
     "catalog_restricted": catalog_restricted,

@@ -140,9 +140,16 @@ def _prefix_range(v: str):
 def pushable_hint(df: DataFrame, spec: FilterSpec) -> Column | None:
     """A bare-column condition implied by ``predicate(df, spec)``, or None.
 
-    Only positive ops (equal, contains, starts/ends with) in literal mode, where
-    "text matches" implies a simple condition on the stored value.
+    Positive ops (equal, contains, starts/ends with) in literal mode, where
+    "text matches" implies a simple condition on the stored value; negative ops
+    (not equal, not contains) imply only that the cell is not null, unless a
+    null string reads as the token.
     """
+    if spec.op in ("not equal", "not contains"):
+        dt = _field(df, spec.column).dataType
+        if spec.nulls == "token" and isinstance(dt, T.StringType):
+            return None
+        return _ref(spec.column).isNotNull()
     if spec.mode != "literal" or spec.op not in ("equal", "contains", "starts with", "ends with"):
         return None
     v = "" if spec.value is None else str(spec.value).strip()

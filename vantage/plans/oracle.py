@@ -145,6 +145,14 @@ ORACLE_SQL.update({
         "SELECT o_orderkey, 'parties' AS path, "
         "'[{\"id\":' || CAST(o_custkey AS VARCHAR) || ',\"status\":\"' || o_orderstatus || '\"}]' "
         "AS value, CAST(o_custkey AS VARCHAR) || o_orderstatus AS combined FROM orders"),
+    "search_documents": (
+        "SELECT doc_id, lang, source, n_chars FROM documents WHERE "
+        "contains(lower(text), 'license') OR contains(lower(lang), 'license') "
+        "OR contains(lower(source), 'license')"),
+    "filter_documents": (
+        "SELECT doc_id, lang, source, n_chars FROM documents WHERE "
+        "contains(trim(text, ' '), 'the') AND ends_with(trim(text, ' '), '.') "
+        "AND NOT contains(trim(source, ' '), 'x')"),
     "search_numeric": (
         "SELECT * FROM customer WHERE contains(CAST(c_custkey AS VARCHAR), '77') "
         "OR contains(c_name, '77') OR contains(CAST(c_nationkey AS VARCHAR), '77') "

@@ -333,6 +333,21 @@ def json_keypaths_combined(spark, sf_dir):
         "o_orderkey", "path", "value", "combined")
 
 
+def search_documents(spark, sf_dir):
+    """T5 over whole document texts: any column containing 'license', any case."""
+    d = warehouse(spark, sf_dir).scan("warehouse", "documents")
+    return shaping.search(d, "License").select("doc_id", "lang", "source", "n_chars")
+
+
+def filter_documents(spark, sf_dir):
+    """P3 + P5 + P6 over whole texts and their source (case-sensitive text)."""
+    d = warehouse(spark, sf_dir).scan("warehouse", "documents")
+    return apply_filters(d, [FilterSpec("contains", "text", "the", id="t"),
+                             FilterSpec("ends with", "text", ".", id="e"),
+                             FilterSpec("not contains", "source", "x", id="s")]
+                         ).select("doc_id", "lang", "source", "n_chars")
+
+
 def search_numeric(spark, sf_dir):
     """T5 over number text: '77' in any column of customer (case-sensitive)."""
     c = warehouse(spark, sf_dir).scan("warehouse", "customer")
@@ -421,6 +436,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_keypaths_nested": json_keypaths_nested,
     "json_keypaths_combined": json_keypaths_combined,
     "search_numeric": search_numeric,
+    "search_documents": search_documents,
+    "filter_documents": filter_documents,
     "sort_nulls_preview": sort_nulls_preview,
     "catalog_restricted": catalog_restricted,
     "fill_then_not_equal": fill_then_not_equal,

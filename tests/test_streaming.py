@@ -24,3 +24,21 @@ def test_incremental_ingest_picks_up_only_new_files(spark, tmp):
     want = o.filter("o_orderstatus = 'F'")
     assert out.count() == want.count()
     assert out.exceptAll(want).count() == 0
+
+
+def test_payload_folder_stream(spark, tmp):
+    import json
+    folder = os.path.join(tmp, "payloads")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "p1.json"), "w") as f:
+        json.dump([{"id": 1, "u": {"n": "a"}}, {"id": 2, "u": {"n": "b"}}], f)
+    cat = Catalog(spark)
+    cat.register("web", "api", files=[folder])
+    schema = "id long, u struct<n: string>"
+    target, ckpt = os.path.join(tmp, "out"), os.path.join(tmp, "ckpt")
+    ingest(watch(cat, "web", "payloads", schema=schema), target, checkpoint=ckpt)
+    with open(os.path.join(folder, "p2.json"), "w") as f:
+        json.dump({"id": 3, "u": {"n": "c"}}, f)
+    ingest(watch(cat, "web", "payloads", schema=schema), target, checkpoint=ckpt)
+    got = sorted((r.id, r.u_n) for r in spark.read.parquet(target).collect())
+    assert got == [(1, "a"), (2, "b"), (3, "c")]

@@ -244,11 +244,6 @@ def _schema_rows(connection: str, table: str, schema: T.StructType):
         yield (connection, table, i, f.name, f.dataType.simpleString(), bool(f.nullable))
 
 
-def schema_frame(spark: SparkSession, connection: str, table: str,
-                 schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame(list(_schema_rows(connection, table, schema)), COLUMNS_SCHEMA)
-
-
 def count_rows(markers: DataFrame, frames) -> DataFrame:
     """Row counts as ONE aggregate over a union, with no join.
 

@@ -28,7 +28,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-_PKG_REL_NS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 _EXCEL_EPOCH = _dt.datetime(1899, 12, 30)
 SHEET_MAX_ROWS = 1_048_575  # data rows per sheet under one header row
 

@@ -35,6 +35,9 @@ def watch(catalog, connection: str, table: str, filters: Sequence[FilterSpec] =
         df = reader.parquet(path)
     else:
         df = reader.option("multiLine", conn.source == "api").json(path)
+        if conn.source == "api":  # payloads are flattened one level, as in batch reads
+            from vantage.operators.shaping import flatten
+            df = flatten(df)
     return apply_filters(df, filters)
 
 

@@ -145,6 +145,13 @@ ORACLE_SQL.update({
         "SELECT o_orderkey, 'parties' AS path, "
         "'[{\"id\":' || CAST(o_custkey AS VARCHAR) || ',\"status\":\"' || o_orderstatus || '\"}]' "
         "AS value, CAST(o_custkey AS VARCHAR) || o_orderstatus AS combined FROM orders"),
+    "view_preview": (
+        "SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount, l_shipdate FROM lineitem "
+        "WHERE trim(l_returnflag) = 'R' AND starts_with(CAST(l_shipdate AS VARCHAR), '1995') "
+        "AND (contains(CAST(l_orderkey AS VARCHAR), '0.0') OR contains(CAST(l_linenumber AS VARCHAR), '0.0') "
+        "OR contains(CAST(l_extendedprice AS VARCHAR), '0.0') OR contains(CAST(l_discount AS VARCHAR), '0.0') "
+        "OR contains(CAST(l_shipdate AS VARCHAR), '0.0')) "
+        "ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100"),
     "search_documents": (
         "SELECT doc_id, lang, source, n_chars FROM documents WHERE "
         "contains(lower(text), 'license') OR contains(lower(lang), 'license') "

@@ -348,6 +348,19 @@ def filter_documents(spark, sf_dir):
                          ).select("doc_id", "lang", "source", "n_chars")
 
 
+def view_preview(spark, sf_dir):
+    """A viewer screen as one plan: two filters, a search, chosen columns, a sort
+    and the first 100 rows (P9 + T5 + T3 + T4 + T6 through ``View``)."""
+    from vantage.operators.view import View
+    li = warehouse(spark, sf_dir).scan("warehouse", "lineitem")
+    v = (View(li).filter(FilterSpec("equal", "l_returnflag", "R", id="f"))
+         .filter(FilterSpec("starts with", "l_shipdate", "1995", id="d"))
+         .search("0.0")
+         .select(["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_shipdate"])
+         .sort(("l_extendedprice", "desc"), "l_orderkey", "l_linenumber"))
+    return v.preview(100)
+
+
 def search_numeric(spark, sf_dir):
     """T5 over number text: '77' in any column of customer (case-sensitive)."""
     c = warehouse(spark, sf_dir).scan("warehouse", "customer")
@@ -437,6 +450,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_keypaths_combined": json_keypaths_combined,
     "search_numeric": search_numeric,
     "search_documents": search_documents,
+    "view_preview": view_preview,
     "filter_documents": filter_documents,
     "sort_nulls_preview": sort_nulls_preview,
     "catalog_restricted": catalog_restricted,

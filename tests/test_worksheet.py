@@ -38,6 +38,9 @@ STATEMENTS = {
     "ALTER TABLE t ADD COLUMNS (b INT)": False,
     "USE db": False,
     "DECLARE VARIABLE v INT": False,
+    "SELECT reflect('java.lang.System', 'exit', 0)": False,
+    "SELECT a FROM t WHERE java_method('java.util.UUID', 'randomUUID') IS NOT NULL": False,
+    "SELECT reflected FROM t": True,
 }
 
 

@@ -197,8 +197,9 @@ def structure(df: DataFrame, profile: bool = False) -> DataFrame:
     meta = spark.createDataFrame(
         [(i, f.name, f.dataType.simpleString(), bool(f.nullable))
          for i, f in enumerate(df.schema.fields, start=1)], STRUCTURE_SCHEMA)
-    if not profile:
-        return meta
+    if not profile or not df.columns:
+        return meta if not profile else meta.withColumns(
+            {"n_rows": F.lit(None).cast("bigint"), "non_null": F.lit(None).cast("bigint")})
     aggs = [F.count(F.lit(1)).alias("__n")]
     aggs += [F.count(ref(c)).alias(f"__c{i}") for i, c in enumerate(df.columns, start=1)]
     counts = df.agg(*aggs)

@@ -25,6 +25,8 @@ _READ_COMMAND = re.compile(r"^(Describe|Show|Explain)")
 # code; they must be named explicitly.
 _ALWAYS_REJECT = ("Call", "UnresolvedExecuteImmediate", "InsertIntoDir", "InsertIntoStatement",
                   "CompoundBody", "SingleStatement", "SetCommand", "ResetCommand")
+# Functions that call arbitrary static JVM methods: code, not a read.
+_CODE_FUNCTIONS = re.compile(r"'(reflect|java_method|try_reflect)\(", re.I)
 _FIRST_WORDS = ("SELECT", "WITH", "VALUES", "TABLE", "FROM", "DESCRIBE", "DESC", "SHOW",
                 "EXPLAIN", "(")
 
@@ -94,6 +96,8 @@ def check_read_only(spark: SparkSession, query: str) -> bool:
         return False
     if _READ_COMMAND.match(plan.getClass().getSimpleName()):
         return True  # DESCRIBE / SHOW / EXPLAIN (EXPLAIN only prints a plan)
+    if _CODE_FUNCTIONS.search(plan.toString()):
+        return False
     for node in _walk(plan):
         chain = _class_chain(node)
         name = chain[0]

@@ -98,6 +98,11 @@ def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
     cur = df.select(*kept, F.lit(None).cast("string").alias("__p"),
                     F.expr(f"try_parse_json({q(column)})").alias("__v"),
                     F.lit(False).alias("__entry"), F.lit(False).alias("__out"))
+    # exact paths: a node whose path is not a prefix of the target can have no
+    # matching descendant (paths only grow), so its subtree is dropped at once
+    t = _sql_str(target)
+    viable = (f"__out OR __p IS NULL OR __p = {t} OR startswith({t}, concat(__p, '.'))"
+              if match == "exact" else None)
     for _ in range(depth):
         cur = cur.select(*kept, "__p", F.explode(F.expr(step)).alias("__e"))
         cur = cur.select(*kept,
@@ -105,6 +110,8 @@ def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
                          F.col("__e.v").alias("__v"),
                          F.expr(f"__e.kind = {_CHILD} AND __e.k IS NOT NULL").alias("__entry"),
                          F.expr(f"__e.kind = {_CARRY}").alias("__out"))
+        if viable is not None:
+            cur = cur.filter(F.expr(viable))
     cur = cur.filter(F.expr(f"__out OR {hit}"))  # entries at the depth bound count too
     kind = "schema_of_variant(__v)"
     out = cur.select(

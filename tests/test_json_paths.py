@@ -84,3 +84,22 @@ def test_combined_leaf_text(spark):
     df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id long, j string")
     got = {r.id: r.combined for r in json_keypaths(df, "j", "s", combine=True).collect()}
     assert got == {i: "".join(leaves(d["s"])) for i, d in enumerate(docs)}
+
+
+def test_value_kinds(spark):
+    doc = {"o": {"x": 1}, "a": [1], "s": "t", "n": 2.5, "b": False, "z": None}
+    df = spark.createDataFrame([(1, json.dumps({"w": doc}))], "id long, j string")
+    got = {r.path: (r.value_type, r.value) for r in
+           json_keypaths(df, "j", "w", match="suffix").collect()}
+    assert got == {"w": ("object", json.dumps(doc, separators=(",", ":"), sort_keys=True))}
+    got = {r.path: (r.value_type, r.value) for r in
+           json_keypaths(df, "j", ["w", "o"], match="exact").collect()}
+    assert got == {"w.o": ("object", '{"x":1}')}
+    kinds = {r.path: (r.value_type, r.value) for r in json_keypaths(
+        spark.createDataFrame([(1, json.dumps(doc))], "id long, j string"), "j", "o.x").collect()}
+    assert kinds == {"o.x": ("number", "1")}
+    for key, want in {"a": ("array", "[1]"), "s": ("string", "t"), "n": ("number", "2.5"),
+                      "b": ("boolean", "false"), "z": ("null", None)}.items():
+        df1 = spark.createDataFrame([(1, json.dumps(doc))], "id long, j string")
+        rows = json_keypaths(df1, "j", key).collect()
+        assert [(r.value_type, r.value) for r in rows] == [want], key

@@ -59,7 +59,8 @@ def combined_text(json_text: Column) -> Column:
 def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
                   match: str = "exact", depth: int = 8, keep: Sequence[str] | None = None,
                   ignore_keys: Sequence[str] = (), combine: bool = False) -> DataFrame:
-    """Rows ``(*keep, path, value, value_type)`` for every matching entry.
+    """Rows ``(*keep, path, value, value_type)`` for every matching entry;
+    ``value_type`` is the JSON kind: object, array, string, number, boolean, null.
 
     ``path``  dotted text or a list of segments.
     ``match`` ``exact`` (whole path), ``suffix`` (path ends with these whole
@@ -113,12 +114,19 @@ def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
         if viable is not None:
             cur = cur.filter(F.expr(viable))
     cur = cur.filter(F.expr(f"__out OR {hit}"))  # entries at the depth bound count too
-    kind = "schema_of_variant(__v)"
-    out = cur.select(
-        *kept,
-        F.col("__p").alias("path"),
-        F.expr(f"CASE WHEN {kind} LIKE 'OBJECT%' OR {kind} LIKE 'ARRAY%' THEN to_json(__v) "
-               f"ELSE try_variant_get(__v, '$', 'string') END").alias("value"),
-        F.expr(f"lower(regexp_extract({kind}, '^([A-Z]+)', 1))").alias("value_type"),
-        *([combined_text(F.expr("to_json(__v)")).alias("combined")] if combine else []))
+    # JSON kind from the first character of the value's JSON text (one to_json
+    # per match, no schema walk of the value)
+    js = F.expr("to_json(__v)")
+    first = F.substring(js, 1, 1)
+    kind = (F.when(first == "{", "object").when(first == "[", "array")
+            .when(first == '"', "string").when(first == "n", "null")
+            .when(first.isin("t", "f"), "boolean").otherwise("number"))
+    out = cur.select(*kept, F.col("__p").alias("path"), js.alias("__js"), kind.alias("value_type"),
+                     F.col("__v"))
+    out = out.select(
+        *kept, "path",
+        F.when(F.col("value_type").isin("object", "array"), F.col("__js"))
+        .otherwise(F.expr("try_variant_get(__v, '$', 'string')")).alias("value"),
+        "value_type",
+        *([combined_text(F.col("__js")).alias("combined")] if combine else []))
     return out

@@ -1,11 +1,10 @@
 """Workbook folders (S3) and workbook export (K3, ``fmt='xlsx'``).
 
-Reading is a Spark Python data source (``spark.read.format("workbooks")``):
-the folder is listed on the driver (file names only), each workbook sheet is one
-input partition, and cells are decoded on the executors with the standard
-library (``zipfile`` + streaming XML), so a folder of many workbooks is read in
-parallel and no workbook passes through the driver. Columns are matched by
-header name across workbooks; a missing column is null.
+Reading uses Spark's ``binaryFile`` source to list and read the workbooks in
+parallel, and ``mapInArrow`` to decode each one in the task that read it with
+the standard library (``zipfile`` + streaming XML), so a folder of many
+workbooks is read in parallel and no workbook passes through the driver.
+Columns are matched by header name across workbooks; a missing column is null.
 
 Writing is ``mapInArrow``: each task streams its rows into its own workbook
 (inline strings, no shared-string table to hold in memory), and a small
@@ -15,6 +14,7 @@ Parquet manifest ``_manifest`` (one row per workbook) is written by Spark.
 from __future__ import annotations
 
 import datetime as _dt
+import io
 import posixpath
 import re
 import zipfile
@@ -24,16 +24,12 @@ from xml.sax.saxutils import escape as _xml_escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _EXCEL_EPOCH = _dt.datetime(1899, 12, 30)
 SHEET_MAX_ROWS = 1_048_575  # data rows per sheet under one header row
 
-_registered: set[int] = set()
-
-
 # -- file system helpers (local paths and any URI pyarrow can open) -----------------
 
 def _fs(path: str):
@@ -43,43 +39,17 @@ def _fs(path: str):
     return pafs.LocalFileSystem(), path
 
 
-def list_workbooks(path: str) -> list[str]:
-    from pyarrow import fs as pafs
-    fs, root = _fs(path)
-    info = fs.get_file_info(root)
-    if info.type == pafs.FileType.File:
-        return [path]
-    sel = pafs.FileSelector(root, recursive=True)
-    out = []
-    for f in fs.get_file_info(sel):
-        base = posixpath.basename(f.path)
-        if f.type == pafs.FileType.File and base.lower().endswith(".xlsx") \
-                and not base.startswith(("_", ".", "~$")):
-            out.append(f.path if "://" not in path else _join_uri(path, root, f.path))
-    return sorted(out)
-
-
-def workbooks_of(path: str) -> list[str]:
-    """The workbooks of a folder: those its ``_manifest`` lists when a writer of
-    this module made it (so files of an older, larger export are ignored), else
-    every ``.xlsx`` file found. The manifest has one row per workbook."""
+def _manifest_paths(path: str) -> list[str] | None:
+    """Workbooks listed by this module's writer in ``path/_manifest`` (one row per
+    workbook, metadata only), so files of an older, larger export are ignored."""
     import pyarrow.parquet as pq
     from pyarrow import fs as pafs
     fs, root = _fs(path)
     manifest = posixpath.join(root.rstrip("/"), "_manifest")
-    if fs.get_file_info(manifest).type == pafs.FileType.Directory:
-        table = pq.read_table(manifest, filesystem=fs, columns=["path"])
-        return sorted(table.column("path").to_pylist())
-    return list_workbooks(path)
-
-
-def _join_uri(uri: str, root: str, found: str) -> str:
-    return uri[: len(uri) - len(root)] + found if uri.endswith(root) else found
-
-
-def _open(path: str):
-    fs, p = _fs(path)
-    return fs.open_input_file(p)
+    if fs.get_file_info(manifest).type != pafs.FileType.Directory:
+        return None
+    return sorted(pq.read_table(manifest, filesystem=fs, columns=["path"]).column("path")
+                  .to_pylist())
 
 
 # -- reading ----------------------------------------------------------------------
@@ -249,116 +219,118 @@ def _infer(values) -> T.DataType:
     return T.LongType() if kinds == {"int"} else T.DoubleType()
 
 
-class WorkbookPartition(InputPartition):
-    def __init__(self, path: str, sheet: str | None):
-        super().__init__((path, sheet))
-        self.path = path
-        self.sheet = sheet
-
-
-class WorkbookReader(DataSourceReader):
-    def __init__(self, options: dict, schema: T.StructType):
-        self.options = options
-        self.schema = schema
-
-    def partitions(self):
-        paths = workbooks_of(self.options["path"])
-        sheet = self.options.get("sheet")
-        if self.options.get("allSheets", "false").lower() == "true":
-            parts = []
-            for p in paths:
-                with _open(p) as fh, zipfile.ZipFile(fh) as z:
-                    parts.extend(WorkbookPartition(p, name) for name, _ in sheets_of(z))
-            return parts
-        return [WorkbookPartition(p, sheet) for p in paths]
-
-    def read(self, partition):
-        fields = self.schema.fields
-        # The file handle is seekable: zipfile reads the central directory and then
-        # streams one sheet; the workbook is never held in memory whole.
-        with _open(partition.path) as fh, zipfile.ZipFile(fh) as z:
-            sheets = sheets_of(z)
-            if partition.sheet is None:
-                member = sheets[0][1]
-            else:
-                match = [m for n, m in sheets if n == partition.sheet]
-                if not match:
-                    return
-                member = match[0]
-            shared = _shared_strings(z)
-            rows = iter_rows(z, member, shared, date_styles(z))
+def _sheet_members(z: zipfile.ZipFile, sheet: str | None, all_sheets: bool) -> list[str]:
+    sheets = sheets_of(z)
+    if all_sheets:
+        return [m for _, m in sheets]
+    if sheet is None:
+        return [sheets[0][1]] if sheets else []
+    return [m for n, m in sheets if n == sheet]
+
+
+def _rows_of(content: bytes, fields, sheet: str | None, all_sheets: bool):
+    """Typed rows of one workbook, columns matched by header name."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared, dates = _shared_strings(z), date_styles(z)
+        for member in _sheet_members(z, sheet, all_sheets):
+            rows = iter_rows(z, member, shared, dates)
             header = next(rows, None)
             if header is None:
-                return
+                continue
             pos = {str(h): i for i, h in enumerate(header) if h is not None}
             idx = [pos.get(f.name) for f in fields]
             for row in rows:
                 if all(v is None or v == "" for v in row):
                     continue
-                yield tuple(
-                    _convert(row[i], f.dataType) if i is not None and i < len(row) else None
-                    for i, f in zip(idx, fields))
+                yield tuple(_convert(row[i], f.dataType) if i is not None and i < len(row)
+                            else None for i, f in zip(idx, fields))
+
 
+def _infer_schema(content: bytes, sheet: str | None, infer: bool) -> T.StructType:
+    """Header of the first workbook (and, with ``infer``, types from its first
+    1000 rows); all strings otherwise."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        members = _sheet_members(z, sheet, False)
+        if not members:
+            raise ValueError(f"no sheet {sheet!r} in the first workbook")
+        rows = iter_rows(z, members[0], _shared_strings(z), date_styles(z))
+        header = [str(h) for h in next(rows, []) if h is not None]
+        sample = [r for _, r in zip(range(1000), rows)] if infer else []
+    return T.StructType([
+        T.StructField(h, _infer([r[i] if i < len(r) else None for r in sample]) if infer
+                      else T.StringType(), True) for i, h in enumerate(header)])
 
-class WorkbookDataSource(DataSource):
-    """``spark.read.format("workbooks").option("path", dir).load()``.
 
-    Options: ``sheet`` (name; default the first sheet), ``allSheets``,
-    ``inferSchema`` (types from the first 1000 rows of the first workbook;
-    default all strings). A schema given with ``.schema(...)`` is used as is.
+def read_workbooks(spark: SparkSession, path: str, schema=None, sheet: str | None = None,
+                   infer_schema: bool = False, all_sheets: bool = False,
+                   batch_rows: int = 10_000) -> DataFrame:
+    """A folder (or file) of workbooks as one DataFrame.
+
+    Spark's ``binaryFile`` source lists and reads the ``.xlsx`` files (in
+    parallel, any Hadoop file system; a ``_manifest`` written by
+    ``write_workbooks`` selects its own files), and ``mapInArrow`` decodes each
+    workbook in the task that read it, ``batch_rows`` rows per Arrow batch.
+    ``schema`` may be given; otherwise the first workbook's header names the
+    columns (strings, or inferred types with ``infer_schema``).
     """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-    @classmethod
-    def name(cls):
-        return "workbooks"
-
-    def schema(self):
-        paths = workbooks_of(self.options["path"])
-        if not paths:
-            raise FileNotFoundError(f"no workbooks under {self.options['path']}")
-        # Only the header row (and, with inferSchema, a bounded sample) of the first
-        # workbook is read on the driver.
-        with _open(paths[0]) as fh, zipfile.ZipFile(fh) as z:
-            sheets = sheets_of(z)
-            sheet = self.options.get("sheet")
-            member = sheets[0][1] if sheet is None else dict(sheets)[sheet]
-            rows = iter_rows(z, member, _shared_strings(z), date_styles(z))
-            header = [str(h) for h in next(rows, []) if h is not None]
-            infer = self.options.get("inferSchema", "false").lower() == "true"
-            sample = [r for _, r in zip(range(1000), rows)] if infer else []
-        fields = []
-        for i, h in enumerate(header):
-            dtype = _infer([r[i] if i < len(r) else None for r in sample]) if infer \
-                else T.StringType()
-            fields.append(T.StructField(h, dtype, True))
-        return T.StructType(fields)
-
-    def reader(self, schema):
-        return WorkbookReader(self.options, schema)
-
-
-def register(spark: SparkSession) -> None:
     from vantage.session import ship_package
     ship_package(spark)
-    key = id(spark)
-    if key not in _registered:
-        spark.dataSource.register(WorkbookDataSource)
-        _registered.add(key)
-
-
-def read_workbooks(spark: SparkSession, path: str, schema=None, sheet: str | None = None,
-                   infer_schema: bool = False, all_sheets: bool = False) -> DataFrame:
-    register(spark)
-    reader = spark.read.format("workbooks").option("path", path)
-    if sheet is not None:
-        reader = reader.option("sheet", sheet)
-    if infer_schema:
-        reader = reader.option("inferSchema", "true")
-    if all_sheets:
-        reader = reader.option("allSheets", "true")
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.load()
+    listed = _manifest_paths(path)
+    reader = spark.read.format("binaryFile")
+    if listed is None:
+        files = (reader.option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", True)
+                 .load(path))
+    elif listed:
+        files = reader.load(listed)
+    else:
+        raise FileNotFoundError(f"no workbooks listed in {path}/_manifest")
+    if schema is None:
+        # the first file name (no content is read), then its header, decoded in a
+        # task: only column names and types come back to the driver
+        first = files.select("path").orderBy("path").limit(1).collect()
+        if not first:
+            raise FileNotFoundError(f"no workbooks under {path}")
+
+        def header(batches):
+            for b in batches:
+                for content in b.column(0).to_pylist():
+                    st = _infer_schema(content, sheet, infer_schema)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f.name for f in st.fields], pa.string()),
+                         pa.array([f.dataType.simpleString() for f in st.fields], pa.string()),
+                         pa.array(range(len(st.fields)), pa.int32())],
+                        names=["name", "type", "pos"])
+
+        cols = (spark.read.format("binaryFile").load(first[0]["path"]).select("content")
+                .mapInArrow(header, "name string, type string, pos int").collect())
+        schema = T.StructType([T.StructField(r["name"], _parse_datatype_string(r["type"]), True)
+                               for r in sorted(cols, key=lambda r: r["pos"])])
+    elif isinstance(schema, str):
+        schema = _parse_datatype_string(schema)
+    fields = list(schema.fields)
+    arrow_schema = to_arrow_schema(schema)
+
+    def decode(batches):
+        out = []
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                for row in _rows_of(content, fields, sheet, all_sheets):
+                    out.append(row)
+                    if len(out) >= batch_rows:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(col, type=arrow_schema.field(i).type)
+                             for i, col in enumerate(zip(*out))], schema=arrow_schema)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(col, type=arrow_schema.field(i).type)
+                 for i, col in enumerate(zip(*out))], schema=arrow_schema)
+
+    return files.select("content").mapInArrow(decode, schema)
 
 
 # -- writing ----------------------------------------------------------------------

@@ -121,7 +121,8 @@ class Catalog:
 
     def refresh(self, connection: str | None = None) -> None:
         """Forget resolved scans (all, or one connection's) to see new files."""
-        for key in [k for k in self._frames if connection is None or k[0] == connection]:
+        for key in [k for k in self._frames if connection is None or k[0] == connection
+                    or (k[0] == "__names__" and k[1] == connection)]:
             del self._frames[key]
 
     # -- C1 / C8 -----------------------------------------------------------
@@ -170,7 +171,10 @@ class Catalog:
         if conn.is_file:
             return list(conn.file_tables())
         from vantage.sources import jdbc
-        return jdbc.table_names(self.spark, conn)
+        key = ("__names__", name, conn.source, repr(sorted(conn.options.items())))
+        if key not in self._frames:  # one listing query per connection spec
+            self._frames[key] = jdbc.table_names(self.spark, conn)
+        return list(self._frames[key])
 
     def tables(self) -> DataFrame:
         """One row per (connection, table); JDBC tables are listed by one query each

@@ -103,3 +103,13 @@ def test_value_kinds(spark):
         df1 = spark.createDataFrame([(1, json.dumps(doc))], "id long, j string")
         rows = json_keypaths(df1, "j", key).collect()
         assert [(r.value_type, r.value) for r in rows] == [want], key
+
+
+def test_repeated_keys_keep_last(spark):
+    df = spark.createDataFrame([(1, '{"a": 1, "a": 2, "b": {"c": 3, "c": 4}}')],
+                               "id long, j string")
+    got = sorted((r.path, r.value) for r in json_keypaths(df, "j", "c", match="suffix").collect())
+    assert got == [("b.c", "4")]
+    assert [r.value for r in json_keypaths(df, "j", "a").collect()] == ["2"]
+    assert json_keypaths(df, "j", "a", duplicate_keys="reject").count() == 0
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys", "false") == "false"

@@ -17,6 +17,7 @@ array elements in element order.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -56,9 +57,25 @@ def combined_text(json_text: Column) -> Column:
     return F.array_join(decoded, "")
 
 
+@contextmanager
+def _conf_during(spark, key: str, value: str):
+    """Set a SQL conf while an expression is analysed (the parse captures it),
+    then put the previous value back."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
                   match: str = "exact", depth: int = 8, keep: Sequence[str] | None = None,
-                  ignore_keys: Sequence[str] = (), combine: bool = False) -> DataFrame:
+                  ignore_keys: Sequence[str] = (), combine: bool = False,
+                  duplicate_keys: str = "last") -> DataFrame:
     """Rows ``(*keep, path, value, value_type)`` for every matching entry;
     ``value_type`` is the JSON kind: object, array, string, number, boolean, null.
 
@@ -69,9 +86,14 @@ def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
     ``value`` is the scalar's text, or JSON text for an object or array.
     ``combine`` adds ``combined``: the text of all scalar leaves under the match
     joined in order (one expression per row, no regrouping).
+    ``duplicate_keys`` ``last``: a key repeated in one object keeps its last
+    value, as common JSON loaders do; ``reject``: such a document is malformed
+    and yields nothing. A document that is not JSON yields nothing.
     """
     if match not in MATCH_MODES:
         raise ValueError(f"match must be one of {MATCH_MODES}")
+    if duplicate_keys not in ("last", "reject"):
+        raise ValueError("duplicate_keys must be 'last' or 'reject'")
     target = path if isinstance(path, str) else ".".join(path)
     keep = [c for c in df.columns if c != column] if keep is None else list(keep)
     q = lambda c: "`" + c.replace("`", "``") + "`"
@@ -96,9 +118,11 @@ def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
         skip += f" OR __e.k IN ({', '.join(_sql_str(k) for k in ignore_keys)})"
     child_path = f"IF({skip}, __p, IF(__p IS NULL, __e.k, concat(__p, '.', __e.k)))"
 
-    cur = df.select(*kept, F.lit(None).cast("string").alias("__p"),
-                    F.expr(f"try_parse_json({q(column)})").alias("__v"),
-                    F.lit(False).alias("__entry"), F.lit(False).alias("__out"))
+    with _conf_during(df.sparkSession, "spark.sql.variant.allowDuplicateKeys",
+                      "true" if duplicate_keys == "last" else "false"):
+        cur = df.select(*kept, F.lit(None).cast("string").alias("__p"),
+                        F.expr(f"try_parse_json({q(column)})").alias("__v"),
+                        F.lit(False).alias("__entry"), F.lit(False).alias("__out"))
     # exact paths: a node whose path is not a prefix of the target can have no
     # matching descendant (paths only grow), so its subtree is dropped at once
     t = _sql_str(target)

@@ -165,3 +165,20 @@ def test_jdbc_options_builders():
     pg = Connection("pg", "postgres", {"host": "h", "database": "d"})
     assert jdbc.url_of(pg) == "jdbc:postgresql://h:5432/d"
     assert "INFORMATION_SCHEMA.COLUMNS" in jdbc._columns_sql(pg)
+
+
+def test_todo_list_payload(spark, tmp):
+    """An API that returns a JSON array of flat records (our own guess at a
+    todo-list payload): one row per element, types inferred."""
+    folder = os.path.join(tmp, "todos")
+    os.makedirs(folder)
+    items = [{"userId": 1, "id": i, "title": f"task {i}", "completed": i % 2 == 0}
+             for i in range(1, 6)]
+    with open(os.path.join(folder, "page1.json"), "w") as f:
+        json.dump(items, f)
+    cat = Catalog(spark)
+    cat.register("todo_api", "api", files=[folder])
+    df = cat.scan("todo_api", "todos")
+    assert dict(df.dtypes) == {"completed": "boolean", "id": "bigint", "title": "string",
+                               "userId": "bigint"}
+    assert df.filter("completed").count() == 2

@@ -5,7 +5,9 @@ explicit ``preview`` asked for by the caller.
 """
 
 from vantage.catalog import Catalog, Connection
+from vantage.functions.json_paths import json_keypaths
 from vantage.operators.predicates import FilterSpec, apply_filters, remove_filter
+from vantage.operators.view import View
 from vantage.plans.worksheet import Worksheet, check_read_only
 
 __all__ = [
@@ -16,4 +18,6 @@ __all__ = [
     "remove_filter",
     "Worksheet",
     "check_read_only",
+    "View",
+    "json_keypaths",
 ]

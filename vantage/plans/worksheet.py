@@ -62,20 +62,22 @@ def _chain_of(first) -> list[str]:
     return names
 
 
-def _walk(node):
-    yield node
-    children = node.children()
-    it = children.iterator()
-    while it.hasNext():
-        yield from _walk(it.next())
-    # subqueries / CTE definitions live in expressions, not children
-    try:
-        subs = node.subqueries()
-        it = subs.iterator()
+def _walk(root):
+    """Every node of a parsed plan, subquery plans included (iterative, so a
+    very deep plan does not hit Python's recursion limit)."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        yield node
+        it = node.children().iterator()
         while it.hasNext():
-            yield from _walk(it.next())
-    except Exception:  # pragma: no cover
-        pass
+            todo.append(it.next())
+        try:  # subqueries / CTE definitions live in expressions, not children
+            it = node.subqueries().iterator()
+            while it.hasNext():
+                todo.append(it.next())
+        except Exception:  # pragma: no cover
+            pass
 
 
 def check_read_only(spark: SparkSession, query: str) -> bool:

@@ -63,21 +63,23 @@ def _chain_of(first) -> list[str]:
 
 
 def _walk(root):
-    """Every node of a parsed plan, subquery plans included (iterative, so a
-    very deep plan does not hit Python's recursion limit)."""
+    """Every node of a parsed plan in pre-order, subquery plans included
+    (iterative, so a very deep plan does not hit Python's recursion limit)."""
     todo = [root]
     while todo:
         node = todo.pop()
         yield node
+        nxt = []
         it = node.children().iterator()
         while it.hasNext():
-            todo.append(it.next())
+            nxt.append(it.next())
         try:  # subqueries / CTE definitions live in expressions, not children
             it = node.subqueries().iterator()
             while it.hasNext():
-                todo.append(it.next())
+                nxt.append(it.next())
         except Exception:  # pragma: no cover
             pass
+        todo.extend(reversed(nxt))
 
 
 def check_read_only(spark: SparkSession, query: str) -> bool:

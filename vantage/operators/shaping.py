@@ -191,7 +191,7 @@ def structure(df: DataFrame, profile: bool = False) -> DataFrame:
 
     ``profile=True`` adds ``n_rows`` and ``non_null`` per column, from ONE
     aggregate over the table (partial counts per task, one tiny shuffle), then
-    unpivoted; the output has one row per column whatever the data size.
+    unpivoted in place; the output has one row per column whatever the data size.
     """
     spark = df.sparkSession
     meta = spark.createDataFrame(
@@ -202,11 +202,13 @@ def structure(df: DataFrame, profile: bool = False) -> DataFrame:
             {"n_rows": F.lit(None).cast("bigint"), "non_null": F.lit(None).cast("bigint")})
     aggs = [F.count(F.lit(1)).alias("__n")]
     aggs += [F.count(ref(c)).alias(f"__c{i}") for i, c in enumerate(df.columns, start=1)]
-    counts = df.agg(*aggs)
-    stack = ", ".join(f"{i}, `__c{i}`" for i in range(1, len(df.columns) + 1))
-    long = counts.selectExpr("__n AS n_rows", f"stack({len(df.columns)}, {stack}) AS (position, non_null)")
-    # `long` has one row per column: a bounded broadcast, whatever the data size.
-    return meta.join(F.broadcast(long), "position").select(
-        "position", "column_name", "data_type", "nullable",
-        F.col("n_rows").cast("bigint").alias("n_rows"),
-        F.col("non_null").cast("bigint").alias("non_null"))
+    counts = df.agg(*aggs)  # one row: partial counts per task, one tiny exchange
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"),
+                 F.lit(f.dataType.simpleString()).alias("data_type"),
+                 F.lit(bool(f.nullable)).alias("nullable"),
+                 F.col("__n").cast("bigint").alias("n_rows"),
+                 F.col(f"__c{i}").cast("bigint").alias("non_null"))
+        for i, f in enumerate(df.schema.fields, start=1)])
+    # unpivot the single row in place: no join, nothing broadcast
+    return counts.select(F.inline(rows))

@@ -33,3 +33,19 @@ def test_catalog_from_yaml(spark, tmp):
                 "  files: [nation.parquet, region.parquet]\n")
     cat = Catalog.from_yaml(spark, path)
     assert cat.table_names("wh") == ["nation", "region"]
+
+
+def test_catalog_view_and_worksheet_save(spark, tmp):
+    from vantage.plans.worksheet import Worksheet
+    from vantage.sources.workbooks import read_workbooks
+    cat = Catalog(spark)
+    cat.register("wh", "parquet", files=[f"{SF}/nation.parquet", f"{SF}/region.parquet"])
+    v = cat.view("wh", "nation").filter(FilterSpec("equal", "n_regionkey", "1"))
+    assert v.frame().count() == 5
+    assert [r.column_name for r in v.structure().collect()] == ["n_nationkey", "n_name",
+                                                                 "n_regionkey"]
+    out = os.path.join(tmp, "result")
+    Worksheet(cat).save("SELECT r_name, COUNT(*) AS n FROM nation JOIN region "
+                        "ON n_regionkey = r_regionkey GROUP BY r_name", out)
+    back = read_workbooks(spark, out, schema="r_name STRING, n BIGINT")
+    assert sorted((r.r_name, r.n) for r in back.collect())[0][1] == 5

@@ -236,6 +236,12 @@ class Catalog:
             self._frames[memo] = sources.scan(self.spark, conn, table, **read_options)
         return self._frames[memo]
 
+    def view(self, connection: str, table: str):
+        """The table as a ``View`` (filters, search, columns, sort, preview,
+        structure), the viewer's screen for one table."""
+        from vantage.operators.view import View
+        return View(self.scan(connection, table))
+
     def note_materialised(self, connection: str, table: str, path: str) -> None:
         self._materialised[(connection, table)] = path
 

@@ -198,6 +198,13 @@ class Worksheet:
         self.register(self.resolve(query) if tables is None else tables)
         return self.spark.sql(query)
 
+    def save(self, query: str, path: str, fmt: str = "xlsx",
+             tables: Iterable[tuple[str, str]] | None = None, **options) -> str:
+        """Run the query and export its result (K3): a distributed write, one
+        file (or workbook) per task; nothing is collected."""
+        from vantage.operators.sinks import export
+        return export(self.run(query, tables), path, fmt=fmt, **options)
+
     def run_safe(self, query: str, tables: Iterable[tuple[str, str]] | None = None):
         """``(DataFrame, None)`` or ``(None, error text)``. The plan is
         analysed here, so unknown tables and columns are reported as errors."""

@@ -182,3 +182,12 @@ def test_todo_list_payload(spark, tmp):
     assert dict(df.dtypes) == {"completed": "boolean", "id": "bigint", "title": "string",
                                "userId": "bigint"}
     assert df.filter("completed").count() == 2
+
+
+def test_jdbc_diagnose_and_counts(spark, derby):
+    from vantage.catalog import with_row_counts
+    from vantage.operators.health import diagnose
+    got = {(r.table, r.ok, r.n_rows) for r in diagnose(derby, mode="read").collect()}
+    assert got == {("ORDERS", True, 1500)}
+    assert [(r.table, r.n_rows) for r in with_row_counts(spark, derby).collect()] == [
+        ("ORDERS", 1500)]

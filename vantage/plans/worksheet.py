@@ -82,58 +82,57 @@ def _walk(root):
         todo.extend(reversed(nxt))
 
 
-def check_read_only(spark: SparkSession, query: str) -> bool:
-    """True when ``query`` is one statement that only reads.
+_NAME = re.compile(r"(?i)\b(?:FROM|JOIN|TABLE)\s+`?([A-Za-z_][A-Za-z0-9_]*)`?")
+
 
-    Parses with the session's SQL parser (nothing runs) and rejects any node
-    that is a command or parsed statement other than DESCRIBE/SHOW/EXPLAIN, and
-    the write/run nodes that are not commands (CALL, EXECUTE IMMEDIATE, INSERT
-    OVERWRITE DIRECTORY). A parse error is not read-only.
+def analyse(spark: SparkSession, query: str) -> tuple[bool, list[str]]:
+    """``(read_only, relation names)`` of a query from ONE parse and ONE walk of
+    its tree with the session's SQL parser (nothing runs).
+
+    Read-only rejects any node that is a command or parsed statement other than
+    DESCRIBE/SHOW/EXPLAIN, the write/run nodes that are not commands (CALL,
+    EXECUTE IMMEDIATE, INSERT OVERWRITE DIRECTORY), scripting blocks and the
+    reflection functions; a parse error is not read-only. Relation names are
+    ``a`` or ``conn__a`` (CTE names included; they are simply not found in a
+    catalog). Without JVM access (Spark Connect) a keyword check and the names
+    after FROM/JOIN/TABLE stand in.
     """
     try:
         parser = spark._jsparkSession.sessionState().sqlParser()
-    except Exception:  # no JVM access (e.g. Spark Connect): keyword fallback
-        return _first_word_ok(query)
+    except Exception:
+        return _first_word_ok(query), list(dict.fromkeys(_NAME.findall(query)))
     try:
         plan = parser.parsePlan(query)
     except Exception:
-        return False
+        return False, []
+    read_only = True
     if _READ_COMMAND.match(plan.getClass().getSimpleName()):
-        return True  # DESCRIBE / SHOW / EXPLAIN (EXPLAIN only prints a plan)
+        return True, []  # DESCRIBE / SHOW / EXPLAIN (EXPLAIN only prints a plan)
     if _CODE_FUNCTIONS.search(plan.toString()):
-        return False
+        read_only = False
+    names = []
     for node in _walk(plan):
         chain = _class_chain(node)
         name = chain[0]
+        if name == "UnresolvedRelation":
+            names.append(node.tableName())
         if name in _ALWAYS_REJECT:
-            return False
+            read_only = False
         writes = any(c in ("Command", "ParsedStatement", "V2CreateTablePlan",
                            "V2WriteCommand") or c.endswith("Command") for c in chain)
         if writes and not _READ_COMMAND.match(name):
-            return False
-    return True
+            read_only = False
+    return read_only, list(dict.fromkeys(names))
 
 
-_NAME = re.compile(r"(?i)\b(?:FROM|JOIN|TABLE)\s+`?([A-Za-z_][A-Za-z0-9_]*)`?")
+def check_read_only(spark: SparkSession, query: str) -> bool:
+    """True when ``query`` is one statement that only reads (see ``analyse``)."""
+    return analyse(spark, query)[0]
 
 
 def referenced_tables(spark: SparkSession, query: str) -> list[str]:
-    """Relation names the query reads (``a`` or ``conn__a``), from the parse tree;
-    CTE names are included and simply not found in the catalog. Without JVM
-    access (Spark Connect) the names after FROM/JOIN/TABLE are taken instead."""
-    try:
-        parser = spark._jsparkSession.sessionState().sqlParser()
-    except Exception:
-        return list(dict.fromkeys(_NAME.findall(query)))
-    try:
-        plan = parser.parsePlan(query)
-    except Exception:
-        return []
-    names = []
-    for node in _walk(plan):
-        if node.getClass().getSimpleName() == "UnresolvedRelation":
-            names.append(node.tableName())
-    return list(dict.fromkeys(names))
+    """Relation names the query reads (see ``analyse``)."""
+    return analyse(spark, query)[1]
 
 
 def _first_word_ok(query: str) -> bool:
@@ -168,15 +167,17 @@ class Worksheet:
                 made[table] = f"{conn}.{table}"
         return made
 
-    def resolve(self, query: str) -> list[tuple[str, str]]:
+    def resolve(self, query: str, names: list[str] | None = None) -> list[tuple[str, str]]:
         """The (connection, table) pairs a query names, as ``conn__table`` or as a
         bare table name that exactly one connection has."""
+        if names is None:
+            names = referenced_tables(self.spark, query)
         owners: dict[str, list[str]] = {}
         for conn in self.catalog.connections:
             for t in self.catalog.table_names(conn.name):
                 owners.setdefault(t, []).append(conn.name)
         found = []
-        for name in referenced_tables(self.spark, query):
+        for name in names:
             if VIEW_SEP in name:
                 conn, table = name.split(VIEW_SEP, 1)
                 if table in owners and conn in owners[table]:
@@ -192,10 +193,11 @@ class Worksheet:
     def run(self, query: str, tables: Iterable[tuple[str, str]] | None = None) -> DataFrame:
         """Guard, register the tables (those the query names when
         ``tables`` is None), then ``spark.sql`` (lazy)."""
-        if not check_read_only(self.spark, query):
+        read_only, names = analyse(self.spark, query)
+        if not read_only:
             raise ReadOnlyViolation("only read-only queries (SELECT, WITH, VALUES, TABLE, "
                                     "DESCRIBE, SHOW, EXPLAIN) may run in a worksheet")
-        self.register(self.resolve(query) if tables is None else tables)
+        self.register(self.resolve(query, names) if tables is None else tables)
         return self.spark.sql(query)
 
     def save(self, query: str, path: str, fmt: str = "xlsx",

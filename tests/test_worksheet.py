@@ -90,3 +90,10 @@ def test_run_safe_errors(spark, two):
     assert df is None and "read-only" in err
     df, err = ws.run_safe("SELECT COUNT(*) AS n FROM nation")
     assert err is None and df.collect()[0].n == 25
+
+
+def test_names_resolve_without_case(spark, two):
+    ws = Worksheet(two)
+    assert ws.resolve("SELECT * FROM Nation JOIN B__REGION ON 1=1") == [
+        ("a", "nation"), ("b", "region")]
+    assert ws.run("SELECT COUNT(*) AS n FROM NATION").collect()[0].n == 25

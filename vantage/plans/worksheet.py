@@ -169,22 +169,23 @@ class Worksheet:
 
     def resolve(self, query: str, names: list[str] | None = None) -> list[tuple[str, str]]:
         """The (connection, table) pairs a query names, as ``conn__table`` or as a
-        bare table name that exactly one connection has."""
+        bare table name that exactly one connection has. Names match without
+        regard to case, as Spark SQL identifiers do."""
         if names is None:
             names = referenced_tables(self.spark, query)
-        owners: dict[str, list[str]] = {}
+        owners: dict[str, list[tuple[str, str]]] = {}
         for conn in self.catalog.connections:
             for t in self.catalog.table_names(conn.name):
-                owners.setdefault(t, []).append(conn.name)
+                owners.setdefault(t.lower(), []).append((conn.name, t))
         found = []
         for name in names:
             if VIEW_SEP in name:
                 conn, table = name.split(VIEW_SEP, 1)
-                if table in owners and conn in owners[table]:
-                    found.append((conn, table))
-            elif len(owners.get(name, [])) == 1:
-                found.append((owners[name][0], name))
-        return found
+                found.extend(p for p in owners.get(table.lower(), [])
+                             if p[0].lower() == conn.lower())
+            elif len(owners.get(name.lower(), [])) == 1:
+                found.append(owners[name.lower()][0])
+        return list(dict.fromkeys(found))
 
     def add_frame(self, name: str, df: DataFrame) -> None:
         """Expose an already shaped DataFrame (e.g. a filtered table) by name."""

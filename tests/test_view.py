@@ -44,6 +44,8 @@ def test_catalog_view_and_worksheet_save(spark, tmp):
     assert v.frame().count() == 5
     assert [r.column_name for r in v.structure().collect()] == ["n_nationkey", "n_name",
                                                                  "n_regionkey"]
+    exported = v.export(os.path.join(tmp, "view_csv"), fmt="csv")
+    assert spark.read.option("header", True).csv(exported).count() == 5
     out = os.path.join(tmp, "result")
     Worksheet(cat).save("SELECT r_name, COUNT(*) AS n FROM nation JOIN region "
                         "ON n_regionkey = r_regionkey GROUP BY r_name", out)

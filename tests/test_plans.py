@@ -5,13 +5,14 @@ import pytest
 
 from conftest import SF, plan
 from __spark_entry__ import queries
+from vantage.plans.registry import QUERIES
 
 PYTHON_OK = {"scan_workbooks"}  # workbook decoding is the one Python reader
 
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(fn(spark, SF)) for name, fn in queries().items()}
+    return {name: plan(queries()[name](spark, SF)) for name in QUERIES}
 
 
 def test_no_cross_products(plans):

@@ -6,8 +6,11 @@ Every class has ``HASHES`` MinHash values. They are cut into ``bands`` of ``rows
 values, which propose candidates, and all of them are folded into an odd sketch: a bitmap in
 which each value flips one bit, so that the population count of two sketches' XOR
 tells how many values differ. A candidate pair is dropped if that count is more than
-``most_bits`` (six standard errors above what a pair at the threshold has); the
-others are confirmed by the exact sizes of the full sets' intersection and union.
+``most_bits`` (six standard errors above what a pair at the threshold has). A second
+odd sketch folds the whole set: its XOR count is never more than the number
+of shingles in which two sets differ, so a count above what the threshold allows drops
+a pair without loss. The others are confirmed by the exact sizes of the full
+sets' intersection and union.
 
 Groups are not expanded into pairs. First every member of a bucket is held against the
 one member with the smallest hash there, another one in each band, and confirmed
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import HashCache, ascii_words, mix64, saved, ship, table
 from .components import components
 
-HASHES, SKETCH_WORDS = 256, 8
+HASHES, SKETCH_WORDS, SET_WORDS = 256, 8, 16
 _A = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32) | np.uint32(1)
 _B = mix64(np.arange(1001, 1001 + HASHES, dtype=np.uint64)).astype(np.uint32)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -63,9 +66,12 @@ def minhash(items: np.ndarray) -> np.ndarray:
 
 def odd_sketch(low: np.ndarray) -> np.ndarray:
     """The parity bitmap of the values, as 64-bit words."""
-    h = mix64(low.astype(np.uint64) + (np.arange(HASHES, dtype=np.uint64) << np.uint64(32)))
-    bit = h % np.uint64(64 * SKETCH_WORDS)
-    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return parity(mix64(low.astype(np.uint64) + (np.arange(HASHES, dtype=np.uint64) << np.uint64(32))), SKETCH_WORDS)
+
+
+def parity(items: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap of ``words`` 64-bit words in which each item flips one bit."""
+    odd = np.bincount((items % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
@@ -84,7 +90,7 @@ def most_bits(threshold: float) -> int:
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, fp`` (of the set), ``bands, sketch`` of every row."""
+    """``doc_id, n_shingles, fp`` (of the set), ``bands, sketch`` (both odd sketches) of every row."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -99,7 +105,7 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 fp.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
                 low = minhash(s) if len(s) else None
                 keys.append(band_keys(low, bands, rows).view(np.int64) if len(s) else None)
-                sketch.append(odd_sketch(low).view(np.int64) if len(s) else None)
+                sketch.append(np.concatenate([odd_sketch(low), parity(s, SET_WORDS)]).view(np.int64) if len(s) else None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, longs),
@@ -139,14 +145,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _xor_bits(a: str, b: str):
-    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(1, SKETCH_WORDS)),
-               F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))))
+def _near(a: str, b: str, percent: int):
+    """The two sketch tests of a candidate pair."""
+    bits = [F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(SKETCH_WORDS + SET_WORDS)]
+    differ = sum(bits[SKETCH_WORDS + 1:], bits[SKETCH_WORDS])
+    return ((sum(bits[1:SKETCH_WORDS], bits[0]) <= most_bits(percent / 100))
+            & (differ * (100 + percent) <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 36, rows: int = 7) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
-    limit = most_bits(percent / 100)
     sig = saved(sketches(docs, size, bands, rows), "op4-sketches")
     whole = sig.where("doc_id IS NOT NULL AND fp IS NOT NULL")
     # one node for each different set
@@ -158,9 +166,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     several = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     same_id = member.join(several.select("doc_id", "a"), "doc_id").where("node <> a").select(
         F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
-    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)]
+    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS + SET_WORDS)]
     nodes = saved(whole.withColumnRenamed("fp", "f").join(classes, (F.col("f") == F.col("fp")) & (F.col("doc_id") == F.col("doc")))
-                  .dropDuplicates(["node"]).select("node", "bands", *words), "op4-nodes")
+                  .dropDuplicates(["node"]).select("node", "bands", F.col("n_shingles").alias("sn"), *words), "op4-nodes")
     sketch = nodes.drop("bands")
 
     dealt = nodes.select("node", F.explode("bands").alias("band"))
@@ -169,11 +177,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     bucket = saved(dealt.join(full, "band"), "op4-buckets")
     sets = saved(full_sets(docs, classes.join(bucket.select("node").distinct(), "node"), size), "op4-sets")
 
-    def sketched(side: str):
-        return sketch.select(F.col("node").alias(side), *(F.col(f"s{i}").alias(f"{side}{i}") for i in range(SKETCH_WORDS)))
+    def sketched(side: str, frame=sketch):
+        keep = [c for c in frame.columns if c not in sketch.columns]
+        return frame.select(*keep, F.col("node").alias(side), *(
+            F.col(c).alias(side + c[1:]) for c in sketch.columns if c != "node"))
     stars = bucket.where("node <> centre").select(
         F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-    stars = (stars.join(sketched("a"), "a").join(sketched("b"), "b").where(_xor_bits("a", "b") <= limit).select("a", "b"))
+    stars = (stars.join(sketched("a"), "a").join(sketched("b"), "b").where(_near("a", "b", percent)).select("a", "b"))
     links = saved(confirmed(stars, sets, percent).unionByName(same_id), "op4-links")
     root = components(links)
 
@@ -186,13 +196,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
              .where("k > 1").select("band", "main"))
     # sketches ride along only in buckets that hold several components
     apart = saved(apart.join(mixed, "band").join(sketch, "node"), "op4-apart")
-    few, all_ = apart.where("root <> main"), apart
-
-    def side(frame, name):
-        return frame.select("band", F.col("node").alias(name), F.col("root").alias(f"r{name}"),
-                            *(F.col(f"s{i}").alias(f"{name}{i}") for i in range(SKETCH_WORDS)))
-    met = (side(few, "a").join(side(all_, "b"), "band")
-           .where((F.col("ra") != F.col("rb")) & (_xor_bits("a", "b") <= limit))
+    few = sketched("a", apart.where("root <> main").select("band", F.col("root").alias("ra"), *sketch.columns))
+    all_ = sketched("b", apart.select("band", F.col("root").alias("rb"), *sketch.columns))
+    met = (few.join(all_, "band").where((F.col("ra") != F.col("rb")) & _near("a", "b", percent))
            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     links = saved(root.select(F.col("node").alias("a"), F.col("root").alias("b"))
                   .unionByName(confirmed(met, sets, percent)), "op4-links")

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 
 import numpy as np
@@ -44,19 +45,33 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Pieces whose pre-tokens are plain to see: printable ASCII and Latin-1 letters.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer file's own pre-token pattern over the lower case of such pieces.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class Encoder:
     """Whole texts to id arrays. The tokenizer's pre-tokenizer never joins
     characters across a space or line end, so pieces between those are encoded
-    once and kept (up to a size bound)."""
+    once and kept (up to a size bound). Plain pieces are taken apart into
+    pre-tokens, and new pre-tokens are encoded many at a time as one text; the
+    end-of-word mark of the vocabulary tells where each ends."""
 
-    LIMIT = 200_000
+    LIMIT, JOINED = 250_000, 2000
     _loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        self.ends = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        probe = self._ids(["A'b c,d"])[0]
+        self.plain = probe.size == 6 and bool(self.ends[probe].all())
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -65,19 +80,34 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def __call__(self, text: str | None, end_id: int = END_ID) -> bytes:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(c.ids, self.dtype) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        known = self.known
+        taken = {p: _PARTS.findall(p.lower()) for p in pieces if self.plain and _PLAIN.fullmatch(p) and "<|" not in p}
+        parts = list(set().union(*taken.values()).difference(known))
+        for i in range(0, len(parts), self.JOINED):
+            some = parts[i:i + self.JOINED]
+            ids = self._ids([" ".join(some)])[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                raw, width = ids.tobytes(), ids.itemsize
+                at = [0, *(ends * width).tolist()]
+                known.update((p, raw[a:b]) for p, a, b in zip(some, at, at[1:]))
+            else:
+                known.update((p, x.tobytes()) for p, x in zip(some, self._ids(some)))
+        known.update([(p, b"".join(map(known.__getitem__, q))) for p, q in taken.items()])
+        rest = [p for p in pieces if p not in taken]
+        known.update((p, x.tobytes()) for p, x in zip(rest, self._ids(rest)))
+
+    def __call__(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
         end = np.array([end_id], self.dtype).tobytes()
-        if not text:
-            return end
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         if len(self.known) > self.LIMIT:
             self.known.clear()
-        fresh = [p for p in set(pieces) if p not in self.known]
-        if fresh:
-            coded = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-            for p, c in zip(fresh, coded):
-                self.known[p] = np.array(c.ids, self.dtype).tobytes()
-        return b"".join([*map(self.known.__getitem__, pieces), end])
+        self._learn(set().union(*split).difference(self.known))
+        return [b"".join([*map(self.known.__getitem__, pieces), end]) for pieces in split]
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
@@ -91,7 +121,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
         enc = Encoder.of(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([enc(t.as_py())[:SAMPLE_BYTES] for t in b.column(0)], pa.binary())], names=["ids"])
+                [pa.array([x[:SAMPLE_BYTES] for x in enc(b.column(0).to_pylist())], pa.binary())], names=["ids"])
     # at most SAMPLE_DOCS * SAMPLE_BYTES = 24 MB in expectation
     sample = docs.where(lot < share).select("text").mapInArrow(run, "ids binary").collect()
     try:
@@ -126,7 +156,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         width = np.dtype(enc.dtype).itemsize
         for b in batches:
             for i in range(0, b.num_rows, 500):
-                ids = [enc(t.as_py()) for t in b.column(1)[i:i + 500]]
+                ids = enc(b.column(1)[i:i + 500].to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0)[i:i + 500], pa.array([len(x) // width for x in ids], pa.int64()),
                      pa.array([pack.compress(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "frame"])

@@ -60,3 +60,20 @@ def test_diagnose(spark):
     assert read[("wh", "region")] == 5 and read[("bad", "missing")] is None
     sample = {(r.connection, r.table): r.n_rows for r in diagnose(cat, mode="sample").collect()}
     assert sample[("wh", "region")] == 1 and sample[("bad", "missing")] is None
+
+
+def test_registering_again_lists_new_files(spark, tmp):
+    path = tmp + "/t"
+    spark.range(5).write.parquet(path)
+    cat = Catalog(spark)
+    cat.register("u", "parquet", files=[path])
+    assert cat.scan("u", "t").count() == 5
+    spark.range(4).write.mode("append").parquet(path)
+    cat.register("u", "parquet", files=[path])
+    assert cat.scan("u", "t").count() == 9
+
+
+def test_columns(spark):
+    cat = Catalog.from_specs(spark, SPECS)
+    got = [(r.table, r.position, r.column_name, r.data_type) for r in cat.columns().collect() if r.table == "region"]
+    assert got == [("region", 1, "r_regionkey", "int"), ("region", 2, "r_name", "string")]

@@ -57,7 +57,24 @@ def test_matches_brute_force(spark):
         assert got == want, (target, match)
 
 
-def test_bad_json_and_depth_bound(spark):
+def test_every_depth_is_walked(spark):
+    docs = []
+    for n in (7, 8, 9, 12, 40):
+        d = {"k": 1}
+        for i in range(n - 1):
+            d = {"k": d} if i % 3 else {"k": [d, "[{\\"]}
+        docs.append((n, json.dumps(d)))
+    df = spark.createDataFrame(docs, "id long, j string")
+    got = json_keypaths(df, "j", "k", match="suffix").groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in got} == {n: n for n, _ in docs}
+
+
+def test_long_strings_do_not_exhaust_the_matcher(spark):
+    df = spark.createDataFrame([(1, json.dumps({"s": {"t": "x\\\"" * 50_000}}))], "id long, j string")
+    assert json_keypaths(df, "j", "s", combine=True).first().combined == "x\\\"" * 50_000
+
+
+def test_bad_json_and_a_stated_depth(spark):
     df = spark.createDataFrame([(1, "not json"), (2, '{"a":{"b":{"c":1}}}')], "id long, j string")
     assert json_keypaths(df, "j", "a.b.c").count() == 1
     assert json_keypaths(df, "j", "a.b.c", depth=2).count() == 0

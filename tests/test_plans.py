@@ -7,7 +7,7 @@ from conftest import SF, plan
 from __spark_entry__ import queries
 from vantage.plans.registry import QUERIES
 
-PYTHON_OK = {"scan_workbooks"}  # workbook decoding is the one Python reader
+PYTHON_OK: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +33,8 @@ def test_filters_push_down(plans):
                  "filter_equal_timestamp"):
         pushed = plans[name].split("PushedFilters: [", 1)[1].split("]", 1)[0]
         assert any(op in pushed for op in ("EqualTo(", "StringContains(", "GreaterThanOrEqual(")), name
+    assert "EqualTo(o_orderstatus,F)" in plans["filter_set"]
+    assert "StringStartsWith(o_orderpriority,1-)" in plans["filter_set"]
 
 
 def test_projection_prunes(plans):

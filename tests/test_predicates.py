@@ -110,7 +110,7 @@ def test_pushdown_reaches_parquet_scan(spark):
     o = spark.read.parquet(f"{SF}/orders.parquet")
     p = plan(apply_filters(o, [FilterSpec("equal", "o_orderstatus", "F"),
                                FilterSpec("starts with", "o_orderdate", "1997-01")]))
-    assert "StringContains(o_orderstatus,F)" in p
+    assert "EqualTo(o_orderstatus,F)" in p
     assert "GreaterThanOrEqual(o_orderdate" in p and "LessThan(o_orderdate" in p
     li = spark.read.parquet(f"{SF}/lineitem.parquet")
     p = plan(apply_filters(li, [FilterSpec("equal", "l_linenumber", "3")]))
@@ -123,3 +123,13 @@ def test_pushdown_hints_do_not_change_results(spark):
     got = apply_filters(o, [spec]).count()
     want = o.filter("startswith(cast(o_orderdate as string), '1996-12')").count()
     assert got == want > 0
+
+
+def test_decimal_hints_and_exact_mode(spark):
+    df = spark.createDataFrame([("1.50", "a"), ("2.00", " a")], "d string, s string").selectExpr(
+        "CAST(d AS DECIMAL(10,2)) AS d", "s")
+    for v, n in (("NaN", 0), ("9" * 45, 0), ("1e999", 0), ("1.50", 1)):
+        assert apply_filters(df, [FilterSpec("equal", "d", v)]).count() == n
+    assert apply_filters(df, [FilterSpec("equal", "s", "a")]).count() == 2
+    assert apply_filters(df, [FilterSpec("equal", "s", "a", mode="exact")]).count() == 1
+    assert apply_filters(df, [FilterSpec("starts with", "s", " ", mode="exact")]).count() == 1

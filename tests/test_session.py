@@ -1,4 +1,6 @@
-from vantage.session import recommended_conf, shared_path
+import pytest
+
+from vantage.session import ensure_checkpoint_dir, recommended_conf, shared_path
 
 
 def test_recommended_conf_scales_with_input():
@@ -15,3 +17,20 @@ def test_shared_path_under_checkpoint_dir(spark):
     p = shared_path(spark, "staged")
     assert base and p.startswith(base.rstrip("/") + "/vantage/staged/")
     assert shared_path(spark, "staged") != p  # a new folder per call
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())

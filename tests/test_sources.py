@@ -7,49 +7,11 @@ import pytest
 from conftest import SF, rows
 from vantage.catalog import Catalog
 from vantage.sources import jdbc
-from vantage.sources.workbooks import read_workbooks
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 RNS = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
-def make_workbook(path, header, body, shared=True, sheet_name="S1", date_cols=()):
-    """A minimal workbook with the standard library only (test fixture).
-    Numbers in ``date_cols`` carry a date style (built-in format 14)."""
-    strings = []
-
-    def cell(ref, v):
-        if v is None:
-            return ""
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
-            style = ' s="1"' if ref[0] in date_cols else ""
-            return f'<c r="{ref}"{style}><v>{v}</v></c>'
-        if shared:
-            strings.append(v)
-            return f'<c r="{ref}" t="s"><v>{len(strings) - 1}</v></c>'
-        return f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
-
-    xml_rows = []
-    for i, r in enumerate([header] + body, start=1):
-        cells = "".join(cell(f"{chr(65 + j)}{i}", v) for j, v in enumerate(r))
-        xml_rows.append(f'<row r="{i}">{cells}</row>')
-    sheet = f'<worksheet {NS}><sheetData>{"".join(xml_rows)}</sheetData></worksheet>'
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {NS} {RNS}><sheets><sheet name="{sheet_name}" '
-                                      'sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels",
-                   '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/'
-                   'relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml" '
-                   'Type="x"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", sheet)
-        if date_cols:
-            z.writestr("xl/styles.xml", f'<styleSheet {NS}><cellXfs count="2"><xf numFmtId="0"/>'
-                                        '<xf numFmtId="14" applyNumberFormat="1"/></cellXfs></styleSheet>')
-        if shared:
-            sis = "".join(f"<si><t>{s}</t></si>" for s in strings)
-            z.writestr("xl/sharedStrings.xml", f'<sst {NS}>{sis}</sst>')
-
-
 def test_csv_quotes(spark, tmp):
     path = os.path.join(tmp, "q.csv")
     with open(path, "w") as f:
@@ -84,36 +46,6 @@ def test_json_file_and_payload(spark, tmp):
     assert flat.collect()[0][0] == 2
 
 
-def test_workbook_folder(spark, tmp):
-    folder = os.path.join(tmp, "books")
-    os.makedirs(folder)
-    make_workbook(os.path.join(folder, "a.xlsx"), ["id", "name", "amount", "day"],
-                  [[1, "ann", 2.5, 45000], [2, None, 3, 45001]], shared=True)
-    make_workbook(os.path.join(folder, "b.xlsx"), ["name", "id", "extra"],
-                  [["bob", 3, "z"], ["", None, None]], shared=False)
-    df = read_workbooks(spark, folder, schema="id long, name string, amount double, day date")
-    assert df.rdd.getNumPartitions() == 2
-    got = rows(df, "id", "name", "amount", "day")
-    import datetime as dt
-    assert got == [(1, "ann", 2.5, dt.date(2023, 3, 15)), (2, None, 3.0, dt.date(2023, 3, 16)),
-                   (3, "bob", None, None)]
-    strings = read_workbooks(spark, folder)
-    assert strings.columns == ["id", "name", "amount", "day"]
-    inferred = read_workbooks(spark, folder, infer_schema=True)
-    assert dict(inferred.dtypes)["id"] == "bigint"
-
-
-def test_workbook_date_styles(spark, tmp):
-    import datetime as dt
-    folder = os.path.join(tmp, "dated")
-    os.makedirs(folder)
-    make_workbook(os.path.join(folder, "d.xlsx"), ["id", "day"], [[1, 45000], [2, 45000.5]],
-                  date_cols=("B",))
-    df = read_workbooks(spark, folder, infer_schema=True)
-    assert df.dtypes == [("id", "bigint"), ("day", "timestamp_ntz")]
-    assert rows(df) == [(1, dt.datetime(2023, 3, 15)), (2, dt.datetime(2023, 3, 15, 12))]
-
-
 @pytest.fixture(scope="module")
 def derby(spark):
     cat = Catalog(spark)

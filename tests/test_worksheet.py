@@ -2,7 +2,7 @@ import pytest
 
 from conftest import SF, rows
 from vantage.catalog import Catalog
-from vantage.plans.worksheet import ReadOnlyViolation, Worksheet, check_read_only
+from vantage.plans.worksheet import AmbiguousTable, ReadOnlyViolation, Worksheet, check_read_only
 
 STATEMENTS = {
     "SELECT 1": True,
@@ -41,6 +41,13 @@ STATEMENTS = {
     "SELECT reflect('java.lang.System', 'exit', 0)": False,
     "SELECT a FROM t WHERE java_method('java.util.UUID', 'randomUUID') IS NOT NULL": False,
     "SELECT reflected FROM t": True,
+    "SELECT " + ", ".join(f"{i} AS c{i}" for i in range(40)) + ", reflect('a.B', 'c') FROM t": False,
+    "SELECT system.builtin.reflect('a.B', 'c')": False,
+    "SELECT `REFLECT` ('a.B', 'c')": False,
+    "SELECT IDENTIFIER('ref' || 'lect')('a.B', 'c')": False,
+    "WITH x AS (SELECT java_method('a.B', 'c')) SELECT * FROM x": False,
+    "SELECT * FROM csv.`/etc/passwd`": False,
+    "SELECT * FROM (SELECT * FROM parquet.`s3a://b/x`)": False,
 }
 
 
@@ -62,8 +69,10 @@ def test_same_name_tables_get_own_views(spark, two):
     ws = Worksheet(two)
     q = "SELECT COUNT(*) AS n FROM a__region x JOIN b__region y ON x.r_regionkey = y.r_regionkey"
     assert ws.run(q).collect()[0].n == 5
-    # the bare name is ambiguous: not resolved to either connection
-    assert ws.resolve("SELECT * FROM region") == []
+    # the bare name is ambiguous: an error, whatever view another worksheet left
+    with pytest.raises(AmbiguousTable):
+        ws.run("SELECT * FROM region")
+    assert ws.run("WITH region AS (SELECT 1 AS x) SELECT * FROM region").collect()[0].x == 1
     assert ws.resolve("SELECT * FROM nation n JOIN b__region r ON 1=1") == [
         ("a", "nation"), ("b", "region")]
 
@@ -97,3 +106,37 @@ def test_names_resolve_without_case(spark, two):
     assert ws.resolve("SELECT * FROM Nation JOIN B__REGION ON 1=1") == [
         ("a", "nation"), ("b", "region")]
     assert ws.run("SELECT COUNT(*) AS n FROM NATION").collect()[0].n == 25
+
+
+def test_inner_relations_are_found(spark, two):
+    for v in spark.catalog.listTables():
+        if v.isTemporary:
+            spark.catalog.dropTempView(v.name)
+    ws = Worksheet(two)
+    assert ws.run("WITH x AS (SELECT * FROM nation) SELECT COUNT(*) AS n FROM x").collect()[0].n == 25
+    assert [r.col_name for r in ws.run("DESCRIBE nation").collect()] == ["n_nationkey", "n_name", "n_regionkey"]
+    spark.catalog.dropTempView("nation")
+    assert "Parquet" in ws.run("EXPLAIN SELECT * FROM nation").collect()[0].plan
+
+
+def test_views_of_another_catalog_do_not_answer(spark, two):
+    Worksheet(two).run("SELECT * FROM nation")
+    other = Catalog(spark)
+    other.register("c", "parquet", files=[f"{SF}/region.parquet"])
+    df, err = Worksheet(other).run_safe("SELECT * FROM nation")
+    assert df is None and "nation" in err
+
+
+def test_every_worksheet_query_runs_on_an_empty_view_list(spark):
+    from vantage.plans.registry import QUERIES
+    for name in [n for n in QUERIES if n.startswith("ws_")]:
+        for v in spark.catalog.listTables():
+            if v.isTemporary:
+                spark.catalog.dropTempView(v.name)
+        QUERIES[name](spark, SF).schema
+
+
+def test_no_parser_no_run(two):
+    class Remote:
+        pass
+    assert check_read_only(Remote(), "SELECT 1") is False

@@ -7,6 +7,7 @@ read, collected or copied to list it.
 
 from __future__ import annotations
 
+import itertools
 import os
 from dataclasses import dataclass, field
 from types import MappingProxyType
@@ -16,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FILE_SOURCES = ("csv", "parquet", "json", "xlsx", "api")
+FILE_SOURCES = ("csv", "parquet", "json", "api")
 JDBC_SOURCES = ("sqlserver", "snowflake", "postgres", "jdbc")
 SOURCES = FILE_SOURCES + JDBC_SOURCES
 
 # File extensions stripped from a file name to give the table name.
-_EXTENSIONS = (".csv", ".parquet", ".json", ".xlsx", ".jsonl")
+_EXTENSIONS = (".csv", ".parquet", ".json", ".jsonl")
 
 TABLES_SCHEMA = T.StructType([
     T.StructField("connection", T.StringType(), False),
@@ -57,6 +58,9 @@ def table_name_of(path: str) -> str:
     return base
 
 
+_SERIAL = itertools.count(1)
+
+
 @dataclass(frozen=True)
 class Connection:
     """A named source. ``source`` must be one of ``SOURCES`` exactly."""
@@ -64,6 +68,7 @@ class Connection:
     name: str
     source: str
     options: Mapping[str, Any] = field(default_factory=dict)
+    serial: int = field(default=0, compare=False)  # set by Catalog.register
 
     def __post_init__(self):
         if self.source not in SOURCES:
@@ -104,9 +109,9 @@ class Catalog:
         self.spark = spark
         self._conns: dict[str, Connection] = {}
         self._materialised: dict[tuple[str, str], str] = {}
-        # Resolved scans keyed by the connection's whole spec: a DataFrame keeps
-        # its file listing and schema, so a table is listed and its schema read
-        # once, not per query; a re-registered connection has a new key.
+        # Resolved scans keyed by the registration: a DataFrame keeps its file
+        # listing and schema, so a table is listed and its schema read once, not per
+        # query; registering a connection again, even alike, lists its files anew.
         self._frames: dict[tuple, DataFrame] = {}
         for c in connections:
             self._conns[c.name] = c
@@ -116,7 +121,7 @@ class Catalog:
         other = Catalog(self.spark)
         other._conns = dict(self._conns)
         other._materialised = dict(self._materialised)
-        other._frames = self._frames  # keyed by connection spec: safe to share
+        other._frames = self._frames  # keyed by registration: safe to share
         return other
 
     def refresh(self, connection: str | None = None) -> None:
@@ -148,6 +153,7 @@ class Catalog:
     def register(self, name: str, source: str, **options) -> Connection:
         """Add a connection; a same-named one is replaced (upload semantics)."""
         conn = Connection(name, source, options)
+        object.__setattr__(conn, "serial", next(_SERIAL))
         self._conns[name] = conn
         for key in [k for k in self._materialised if k[0] == name]:
             del self._materialised[key]
@@ -171,7 +177,7 @@ class Catalog:
         if conn.is_file:
             return list(conn.file_tables())
         from vantage.sources import jdbc
-        key = ("__names__", name, conn.source, repr(sorted(conn.options.items())))
+        key = ("__names__", name, conn.serial, repr(sorted(conn.options.items())))
         if key not in self._frames:  # one listing query per connection spec
             self._frames[key] = jdbc.table_names(self.spark, conn)
         return list(self._frames[key])
@@ -227,7 +233,7 @@ class Catalog:
             raise UnknownTable(f"connection {connection!r} is restricted to table "
                                f"{conn.options['table']!r}")
         try:
-            memo = (connection, conn.source, repr(sorted(conn.options.items())), table,
+            memo = (connection, conn.serial, repr(sorted(conn.options.items())), table,
                     tuple(sorted(read_options.items())))
             hash(memo)
         except TypeError:  # unhashable options: resolve every time

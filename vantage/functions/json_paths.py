@@ -12,11 +12,13 @@ level one ``explode`` over the node's children (object entries via
 later levels as a single row, so the plan is one linear chain of ``depth``
 generators: narrow, no shuffle, no Python, and the rows per document are
 bounded by the document. Keys inside one object are visited in key order;
-array elements in element order.
+array elements in element order. The number of levels is that of the deepest
+document (one aggregate over the brackets of the texts), so no match is cut off.
 """
 
 from __future__ import annotations
 
+import threading
 from contextlib import contextmanager
 from typing import Sequence
 
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 
 MATCH_MODES = ("exact", "suffix", "string_suffix")
 
+# Keys that the viewer's walk passes over (fixed values); pass as ``ignore_keys``.
+IGNORED_KEYS = ("newline", "whitespace", "dot", "comma", "bracketed", "start_bracket", "end_bracket",
+                "bracketed_arguments")
+
 
 def _sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -45,7 +51,9 @@ _CHILD, _CARRY = 0, 1
 
 # Scalars of a JSON text in order: a key (string + colon) matches the first
 # alternative and captures nothing; a value string or literal is captured.
-_LEAVES = r'"(?:[^"\\]|\\.)*"\s*:|("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false)'
+# (Possessive, so a long string does not deepen the matcher's stack.)
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_LEAVES = _STRING + r'\s*:|(' + _STRING + r'|-?[0-9][0-9.eE+-]*|true|false)'
 
 
 def combined_text(json_text: Column) -> Column:
@@ -57,23 +65,39 @@ def combined_text(json_text: Column) -> Column:
     return F.array_join(decoded, "")
 
 
+def nesting(json_text: Column) -> Column:
+    """How many objects and arrays are open at the deepest place of a JSON text."""
+    brackets = F.regexp_replace(F.regexp_replace(json_text, _STRING, ""), r"[^\[\]{}]", "")
+    count = F.aggregate(
+        F.split(brackets, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda a, x: F.struct(
+            (a.now + F.when(x.isin("{", "["), 1).when(x == "", 0).otherwise(-1)).alias("now"),
+            F.greatest(a.most, a.now + F.when(x.isin("{", "["), 1).otherwise(0)).alias("most")),
+        lambda a: a.most)
+    return F.coalesce(count, F.lit(0))
+
+
+_CONF_LOCK = threading.Lock()
+
+
 @contextmanager
 def _conf_during(spark, key: str, value: str):
     """Set a SQL conf while an expression is analysed (the parse captures it),
-    then put the previous value back."""
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
+    then put the previous value back; one thread at a time."""
+    with _CONF_LOCK:
+        old = spark.conf.get(key, None)
+        spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            if old is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, old)
 
 
 def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
-                  match: str = "exact", depth: int = 8, keep: Sequence[str] | None = None,
+                  match: str = "exact", depth: int | None = None, keep: Sequence[str] | None = None,
                   ignore_keys: Sequence[str] = (), combine: bool = False,
                   duplicate_keys: str = "last") -> DataFrame:
     """Rows ``(*keep, path, value, value_type)`` for every matching entry;
@@ -82,7 +106,8 @@ def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
     ``path``  dotted text or a list of segments.
     ``match`` ``exact`` (whole path), ``suffix`` (path ends with these whole
               segments) or ``string_suffix`` (path text ends with the text).
-    ``depth`` how many object/array levels are walked (a bound stated up front).
+    ``depth`` how many object/array levels are walked; by default those of the
+              deepest document, found by one aggregate when this is called.
     ``value`` is the scalar's text, or JSON text for an object or array.
     ``combine`` adds ``combined``: the text of all scalar leaves under the match
     joined in order (one expression per row, no regrouping).
@@ -97,6 +122,8 @@ def json_keypaths(df: DataFrame, column: str, path: str | Sequence[str],
     target = path if isinstance(path, str) else ".".join(path)
     keep = [c for c in df.columns if c != column] if keep is None else list(keep)
     q = lambda c: "`" + c.replace("`", "``") + "`"
+    if depth is None:
+        depth = df.agg(F.max(nesting(F.col(q(column))))).first()[0] or 0
     kept = [F.col(q(c)) for c in keep]
 
     obj = "try_variant_get(__v, '$', 'map<string,variant>')"

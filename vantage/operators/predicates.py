@@ -13,7 +13,7 @@ stays in the plan, so results are unchanged; the scan just reads less.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal, InvalidOperation
 from functools import reduce
@@ -39,7 +39,8 @@ class FilterSpec:
     """One filter record.
 
     mode  ``literal`` (default): ``%``/``_``/``\\`` in the value are plain text;
-          ``like``: the value is pasted into a LIKE pattern as the viewer did.
+          ``like``: the value is pasted into a LIKE pattern as the viewer did;
+          ``exact``: as ``literal``, but neither the cell nor the value is trimmed.
     nulls ``true`` (default): null cells are SQL nulls; ``null``/``not null`` test
           ``IS NULL``; other comparisons drop null rows.
           ``token``: string nulls read as the text ``Null`` (the viewer's fill);
@@ -56,8 +57,8 @@ class FilterSpec:
     def __post_init__(self):
         if self.op not in OPS:
             raise UnknownFilterOp(f"unknown filter op {self.op!r}; expected one of {OPS}")
-        if self.mode not in ("literal", "like"):
-            raise ValueError(f"mode must be 'literal' or 'like', not {self.mode!r}")
+        if self.mode not in ("literal", "like", "exact"):
+            raise ValueError(f"mode must be 'literal', 'like' or 'exact', not {self.mode!r}")
         if self.nulls not in ("true", "token"):
             raise ValueError(f"nulls must be 'true' or 'token', not {self.nulls!r}")
 
@@ -80,13 +81,18 @@ def _text(df: DataFrame, spec: FilterSpec) -> Column:
         c = c.cast("string")
     elif spec.nulls == "token":
         c = F.coalesce(c, F.lit(NULL_TOKEN))
-    return F.trim(c)
+    return c if spec.mode == "exact" else F.trim(c)
+
+
+def _value(spec: FilterSpec) -> str:
+    v = "" if spec.value is None else str(spec.value)
+    return v if spec.mode == "exact" else v.strip()
 
 
 def predicate(df: DataFrame, spec: FilterSpec) -> Column:
     """The exact filter condition of one spec (a Column)."""
     text = _text(df, spec)
-    v = "" if spec.value is None else str(spec.value).strip()
+    v = _value(spec)
     op = spec.op
     if op == "null":
         if spec.nulls == "token":
@@ -150,9 +156,9 @@ def pushable_hint(df: DataFrame, spec: FilterSpec) -> Column | None:
         if spec.nulls == "token" and isinstance(dt, T.StringType):
             return None
         return _ref(spec.column).isNotNull()
-    if spec.mode != "literal" or spec.op not in ("equal", "contains", "starts with", "ends with"):
+    if spec.mode == "like" or spec.op not in ("equal", "contains", "starts with", "ends with"):
         return None
-    v = "" if spec.value is None else str(spec.value).strip()
+    v = _value(spec)
     if not v:
         return None
     f = _field(df, spec.column)
@@ -160,7 +166,14 @@ def pushable_hint(df: DataFrame, spec: FilterSpec) -> Column | None:
     if isinstance(dt, T.StringType):
         if spec.nulls == "token" and NULL_TOKEN.find(v) >= 0:
             return None  # a null cell may match through the token
-        # trim() strips spaces only, so the trimmed text is a substring of the cell.
+        if spec.mode == "exact":
+            return None  # the test itself is on the bare column
+        # trim() strips spaces only: a cell whose trimmed text begins with the value
+        # begins with it or with a space (prefixes that row group statistics can use)
+        if spec.op == "equal":
+            return (c == v) | c.startswith(" ") | c.startswith(v + " ")
+        if spec.op == "starts with":
+            return c.startswith(v) | c.startswith(" ")
         return c.contains(v)
     if spec.op == "equal":
         if isinstance(dt, _INT_TYPES) and re.fullmatch(r"-?\d+", v):
@@ -177,9 +190,12 @@ def pushable_hint(df: DataFrame, spec: FilterSpec) -> Column | None:
             return (c == F.lit(x)) if x == x and abs(x) != float("inf") else None
         if isinstance(dt, T.DecimalType):
             try:
-                return c == F.lit(Decimal(v))
+                x = Decimal(v)
             except InvalidOperation:
                 return None
+            if not x.is_finite() or len(x.as_tuple().digits) > 38 or abs(x.as_tuple().exponent) > 38:
+                return None  # no cell has that text; the exact test finds none
+            return c == F.lit(x)
         if isinstance(dt, T.DateType) and re.fullmatch(r"\d{4}-\d{2}-\d{2}", v):
             try:
                 return c == F.lit(date.fromisoformat(v))
@@ -250,7 +266,3 @@ def from_records(records, **defaults) -> list[FilterSpec]:
     items = records.items() if hasattr(records, "items") else enumerate(records)
     return [FilterSpec(op=r["logic1_op"], column=r["column_name"], value=r.get("logic1_val"),
                        id=str(k), **defaults) for k, r in items]
-
-
-def with_mode(specs: Sequence[FilterSpec], **changes) -> list[FilterSpec]:
-    return [replace(s, **changes) for s in specs]

@@ -59,8 +59,8 @@ class View:
     def structure(self, profile: bool = False) -> DataFrame:
         return shaping.structure(self.frame(), profile=profile)
 
-    def export(self, path: str, fmt: str = "xlsx", **options) -> str:
-        """K3: the whole filtered/sorted view written by Spark (one file or
-        workbook per task); nothing is collected."""
+    def export(self, path: str, fmt: str = "csv", **options) -> str:
+        """K3: the whole filtered/sorted view written by Spark (one file
+        per task); nothing is collected."""
         from vantage.operators.sinks import export
         return export(self.frame(), path, fmt=fmt, **options)

@@ -33,15 +33,6 @@ def _counts(connection: str, source: str, tables) -> str:
         f"COUNT(*) AS n_rows FROM {t}" for t in tables)
 
 
-def _catalog_columns() -> str:
-    rows = []
-    for t, cols in TPCH_SCHEMAS.items():
-        for i, (c, ty) in enumerate(cols, start=1):
-            rows.append(f"('warehouse', '{t}', {i}, '{c}', '{ty}', true)")
-    return ("SELECT * FROM (VALUES " + ", ".join(rows) + ") AS v(connection, \"table\", "
-            "position, column_name, data_type, nullable)")
-
-
 def _structure() -> str:
     return " UNION ALL ".join(
         f"SELECT {i} AS position, '{c}' AS column_name, '{ty}' AS data_type, true AS nullable, "
@@ -70,16 +61,14 @@ _SET = ("trim(o_orderstatus) = 'F' AND starts_with(trim(o_orderpriority), '1-')
         "contains(CAST(o_orderdate AS VARCHAR), '-03-')")
 
 ORACLE_SQL = {
-    "scan_parquet": "SELECT * FROM nation",
+    "scan_parquet": "SELECT * FROM lineitem",
     "scan_csv": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "scan_json": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "scan_json_payload": (
         "SELECT o_orderkey AS key_o_orderkey, o_custkey AS key_o_custkey, "
         "o_orderstatus AS info_o_orderstatus, o_totalprice AS info_o_totalprice, "
         "o_orderdate AS info_o_orderdate, o_orderpriority FROM orders"),
-    "scan_workbooks": "SELECT * FROM customer",
     "catalog_tables": _counts("warehouse", "parquet", ALL_TABLES),
-    "catalog_columns": _catalog_columns(),
     "structure": _structure(),
     "register_connection": _counts("uploads", "parquet", ("orders", "nation")),
     "diagnose": _diagnose(),
@@ -123,7 +112,9 @@ ORACLE_SQL = {
         "SELECT a.n_nationkey, a.n_name, b.n_regionkey FROM nation a "
         "JOIN nation b ON a.n_nationkey = b.n_nationkey"),
     "materialise_roundtrip": "SELECT * FROM lineitem",
+    "materialise_structure": _structure(),
     "export_csv": "SELECT * FROM orders",
+    "export_documents_csv": "SELECT * FROM documents",
     "create_from_join": (
         "SELECT o.o_orderkey, o.o_totalprice, c.c_name, c.c_mktsegment FROM orders o "
         "JOIN customer c ON o.o_custkey = c.c_custkey"),
@@ -141,6 +132,9 @@ ORACLE_SQL.update({
         "SELECT o_orderkey, 'key.id' AS path, CAST(o_orderkey AS VARCHAR) AS value FROM orders "
         "UNION ALL SELECT o_orderkey, 'parties.id' AS path, CAST(o_custkey AS VARCHAR) AS value "
         "FROM orders"),
+    "json_keypaths_deep": (
+        "SELECT o_orderkey, 'l1.l2.l3.l4.l6.l7.l8.l9.l10.l11.leaf' AS path, "
+        "CAST(o_custkey AS VARCHAR) AS value FROM orders"),
     "json_keypaths_combined": (
         "SELECT o_orderkey, 'parties' AS path, "
         "'[{\"id\":' || CAST(o_custkey AS VARCHAR) || ',\"status\":\"' || o_orderstatus || '\"}]' "

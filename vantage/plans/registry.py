@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.catalog import Catalog, with_row_counts
-from vantage.functions.json_paths import json_keypaths
+from vantage.functions.json_paths import IGNORED_KEYS, json_keypaths
 from vantage.operators import shaping, sinks
 from vantage.operators.predicates import FilterSpec, apply_filters, remove_filter
 from vantage.plans.worksheet import Worksheet
@@ -28,6 +28,7 @@ CUSTOMER_DDL = ("c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOU
                 "c_mktsegment STRING")
 ORDERS_DDL = ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
               "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING")
+DOCUMENTS_DDL = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 NATION_DDL = "n_nationkey INT, n_name STRING, n_regionkey INT"
 
 
@@ -84,7 +85,7 @@ def _orders_with_nulls(spark, sf_dir):
 # -- sources ------------------------------------------------------------------------
 
 def scan_parquet(spark, sf_dir):
-    return warehouse(spark, sf_dir).scan("warehouse", "nation")
+    return warehouse(spark, sf_dir).scan("warehouse", "lineitem")
 
 
 def scan_csv(spark, sf_dir):
@@ -105,31 +106,25 @@ def scan_json(spark, sf_dir):
 
 
 def scan_json_payload(spark, sf_dir):
-    """S6 + T2: nested order payloads landed as JSON files, read in parallel and
-    flattened one level."""
+    """S6 + T2: nested order payloads landed as many small files of one JSON
+    document each (an array of about 500 orders), read in parallel and flattened
+    one level."""
     cat = warehouse(spark, sf_dir)
     o = cat.scan("warehouse", "orders")
-    payload = o.select(F.struct("o_orderkey", "o_custkey").alias("key"),
+    payload = F.struct(F.struct("o_orderkey", "o_custkey").alias("key"),
                        F.struct("o_orderstatus", "o_totalprice", "o_orderdate").alias("info"),
                        "o_orderpriority")
-    path = _staged(spark, payload, "json", "orders")
+    n = max(1, o.count() // 500)
+    path = shared_path(spark, "staged") + "/orders"
+    (o.groupBy(F.pmod(F.xxhash64("o_orderkey"), F.lit(n)).alias("doc"))
+     .agg(F.to_json(F.collect_list(payload)).alias("value"))  # one document
+     .select("value").write.option("maxRecordsPerFile", 1).text(path))
     schema = ("key STRUCT<o_orderkey: BIGINT, o_custkey: BIGINT>, info STRUCT<o_orderstatus: "
               "STRING, o_totalprice: DOUBLE, o_orderdate: TIMESTAMP_NTZ>, o_orderpriority STRING")
-    # Spark lands one JSON document per line; a live API lands one per file.
-    cat.register("api", "api", files=[path], schemas={"orders": schema},
-                 read_options={"multi_line": False})
+    cat.register("api", "api", files=[path], schemas={"orders": schema})
     return cat.scan("api", "orders")
 
 
-def scan_workbooks(spark, sf_dir):
-    """S3 + K3 (xlsx): customer exported as one workbook per task, then the
-    workbook folder is read back in parallel with a stated schema."""
-    cat = warehouse(spark, sf_dir)
-    path = _staged(spark, cat.scan("warehouse", "customer"), "xlsx", "customer")
-    cat.register("sheets", "xlsx", files=[path], schemas={"customer": CUSTOMER_DDL})
-    return cat.scan("sheets", "customer")
-
-
 # -- catalog --------------------------------------------------------------------------
 
 def catalog_tables(spark, sf_dir):
@@ -137,10 +132,6 @@ def catalog_tables(spark, sf_dir):
     return with_row_counts(spark, cat).select("connection", "source", "table", "n_rows")
 
 
-def catalog_columns(spark, sf_dir):
-    return warehouse(spark, sf_dir, TPCH).columns()
-
-
 def structure(spark, sf_dir):
     o = warehouse(spark, sf_dir).scan("warehouse", "orders")
     return shaping.structure(o, profile=True)
@@ -297,6 +288,37 @@ def export_csv(spark, sf_dir):
     return cat.scan("export", "orders")
 
 
+def export_documents_csv(spark, sf_dir):
+    """K3/K6: whole document texts (line ends, quotes, blanks) exported as CSV and
+    read back unchanged."""
+    cat = warehouse(spark, sf_dir)
+    path = _staged(spark, cat.scan("warehouse", "documents"), "csv", "documents")
+    cat.register("export", "csv", files=[path], schemas={"documents": DOCUMENTS_DDL},
+                 read_options=sinks.READ_CSV)
+    return cat.scan("export", "documents")
+
+
+def materialise_structure(spark, sf_dir):
+    """K2: the structure rows that a materialised copy of orders is stored with."""
+    cat = warehouse(spark, sf_dir)
+    path = shared_path(spark, "structure", "orders")
+    sinks.materialise(cat.scan("warehouse", "orders"), catalog=cat, connection="warehouse", table="orders",
+                      structure_path=path)
+    return spark.read.parquet(path)
+
+
+def json_keypaths_deep(spark, sf_dir):
+    """T9 on documents of 12 nested levels derived from ``orders`` (the viewer's
+    ignored keys among them): the innermost entry, by plain text suffix."""
+    o = warehouse(spark, sf_dir).scan("warehouse", "orders")
+    doc = F.struct(F.col("o_custkey").alias("leaf"))
+    for k in range(11, 0, -1):
+        doc = F.struct(doc.alias("comma" if k == 5 else f"l{k}"))
+    docs = o.select("o_orderkey", F.to_json(doc).alias("doc"))
+    return json_keypaths(docs, "doc", "eaf", match="string_suffix", ignore_keys=IGNORED_KEYS).select(
+        "o_orderkey", "path", "value")
+
+
 def create_from_join(spark, sf_dir):
     """A join across two connections written as a new table."""
     cat = with_crm(spark, sf_dir)
@@ -398,15 +420,22 @@ def export_parquet_json(spark, sf_dir):
     return back_pq.unionByName(back_js)
 
 
+_BUCKETED: dict[tuple, Catalog] = {}
+
+
 def bucketed_join(spark, sf_dir):
     """K1 with bucketing: orders and lineitem materialised bucketed and sorted on
     the order key, so the join of the copies reads both sides without a shuffle
     (the plan has a sort-merge join and no exchange below it)."""
-    cat = warehouse(spark, sf_dir)
-    for t, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
-        sinks.materialise(cat.scan("warehouse", t),
-                          shared_path(spark, "materialised", "bucketed", t),
-                          catalog=cat, connection="warehouse", table=t, bucket_by=(8, [key]))
+    key = (session_key(spark), sf_dir)
+    if key not in _BUCKETED:  # the copies are written once
+        cat = warehouse(spark, sf_dir)
+        n = max(sinks.buckets_for(cat.scan("warehouse", t)) for t in ("orders", "lineitem"))
+        for t, by in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+            sinks.materialise(cat.scan("warehouse", t), shared_path(spark, "materialised", "bucketed", t),
+                              catalog=cat, connection="warehouse", table=t, bucket_by=(n, [by]))
+        _BUCKETED[key] = cat
+    cat = _BUCKETED[key]
     o, li = cat.scan("warehouse", "orders"), cat.scan("warehouse", "lineitem")
     return (li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey)
             .groupBy("o_orderstatus", "l_returnflag")
@@ -419,9 +448,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_csv": scan_csv,
     "scan_json": scan_json,
     "scan_json_payload": scan_json_payload,
-    "scan_workbooks": scan_workbooks,
     "catalog_tables": catalog_tables,
-    "catalog_columns": catalog_columns,
     "structure": structure,
     "register_connection": register_connection,
     "diagnose": diagnose,
@@ -448,6 +475,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_keypaths": json_keypaths_query,
     "json_keypaths_nested": json_keypaths_nested,
     "json_keypaths_combined": json_keypaths_combined,
+    "json_keypaths_deep": json_keypaths_deep,
     "search_numeric": search_numeric,
     "search_documents": search_documents,
     "view_preview": view_preview,
@@ -462,7 +490,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "worksheet_cross_source": worksheet_cross_source,
     "worksheet_same_name": worksheet_same_name,
     "materialise_roundtrip": materialise_roundtrip,
+    "materialise_structure": materialise_structure,
     "export_csv": export_csv,
+    "export_documents_csv": export_documents_csv,
     "bucketed_join": bucketed_join,
     "create_from_join": create_from_join,
 }

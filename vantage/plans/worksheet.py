@@ -12,6 +12,8 @@ from typing import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vantage.session import session_key
+
 VIEW_SEP = "__"
 
 
@@ -26,9 +28,11 @@ _READ_COMMAND = re.compile(r"^(Describe|Show|Explain)")
 _ALWAYS_REJECT = ("Call", "UnresolvedExecuteImmediate", "InsertIntoDir", "InsertIntoStatement",
                   "CompoundBody", "SingleStatement", "SetCommand", "ResetCommand")
 # Functions that call arbitrary static JVM methods: code, not a read.
-_CODE_FUNCTIONS = re.compile(r"'(reflect|java_method|try_reflect)\(", re.I)
-_FIRST_WORDS = ("SELECT", "WITH", "VALUES", "TABLE", "FROM", "DESCRIBE", "DESC", "SHOW",
-                "EXPLAIN", "(")
+_CODE_FUNCTIONS = ("reflect", "java_method", "try_reflect")
+_CODE_WORDS = re.compile("reflect|java_method|identifier", re.I)
+# Sources that can stand before a path in a FROM clause.
+_PATH_SOURCES = ("csv", "parquet", "json", "orc", "text", "xml", "avro", "binaryfile", "delta", "jdbc",
+                 "org.apache.spark.sql.parquet")
 
 
 _CHAINS: dict[str, list[str]] = {}
@@ -73,16 +77,36 @@ def _walk(root):
         it = node.children().iterator()
         while it.hasNext():
             nxt.append(it.next())
-        try:  # subqueries / CTE definitions live in expressions, not children
-            it = node.subqueries().iterator()
+        if node.getClass().getSimpleName() == "ExplainCommand":
+            nxt.append(node.logicalPlan())
+        # CTE definitions are inner children
+        for more in (node.innerChildren, node.subqueries):
+            it = more().iterator()
             while it.hasNext():
-                nxt.append(it.next())
-        except Exception:  # pragma: no cover
-            pass
+                child = it.next()
+                if "LogicalPlan" in _class_chain(child):
+                    nxt.append(child)
         todo.extend(reversed(nxt))
 
 
-_NAME = re.compile(r"(?i)\b(?:FROM|JOIN|TABLE)\s+`?([A-Za-z_][A-Za-z0-9_]*)`?")
+def _calls_code(node) -> bool:
+    """True if an expression of the node calls a function that runs arbitrary
+    JVM methods, or one whose name is computed."""
+    todo = []
+    it = node.expressions().iterator()
+    while it.hasNext():
+        todo.append(it.next())
+    while todo:
+        e = todo.pop()
+        name = e.getClass().getSimpleName()
+        if name == "UnresolvedFunction" and e.nameParts().last().lower() in _CODE_FUNCTIONS:
+            return True
+        if "UnresolvedIdentifier" in name:
+            return True
+        it = e.children().iterator()
+        while it.hasNext():
+            todo.append(it.next())
+    return False
 
 
 def analyse(spark: SparkSession, query: str) -> tuple[bool, list[str]]:
@@ -91,38 +115,47 @@ def analyse(spark: SparkSession, query: str) -> tuple[bool, list[str]]:
 
     Read-only rejects any node that is a command or parsed statement other than
     DESCRIBE/SHOW/EXPLAIN, the write/run nodes that are not commands (CALL,
-    EXECUTE IMMEDIATE, INSERT OVERWRITE DIRECTORY), scripting blocks and the
-    reflection functions; a parse error is not read-only. Relation names are
-    ``a`` or ``conn__a`` (CTE names included; they are simply not found in a
-    catalog). Without JVM access (Spark Connect) a keyword check and the names
-    after FROM/JOIN/TABLE stand in.
+    EXECUTE IMMEDIATE, INSERT OVERWRITE DIRECTORY), scripting blocks, reflection
+    functions and computed identifiers, and relations that name a path
+    (``csv.`/a/b` ``); a parse error is not read-only, and neither is anything
+    where the session has no parser to ask (Spark Connect). Relation names are ``a`` or
+    ``conn__a``, without the names that the query itself defines (CTEs).
     """
     try:
         parser = spark._jsparkSession.sessionState().sqlParser()
-    except Exception:
-        return _first_word_ok(query), list(dict.fromkeys(_NAME.findall(query)))
-    try:
         plan = parser.parsePlan(query)
     except Exception:
         return False, []
-    read_only = True
-    if _READ_COMMAND.match(plan.getClass().getSimpleName()):
-        return True, []  # DESCRIBE / SHOW / EXPLAIN (EXPLAIN only prints a plan)
-    if _CODE_FUNCTIONS.search(plan.toString()):
-        read_only = False
-    names = []
+    # DESCRIBE / SHOW / EXPLAIN: they print, whatever is inside
+    prints = bool(_READ_COMMAND.match(plan.getClass().getSimpleName()))
+    look = bool(_CODE_WORDS.search(query))  # the names can be spelled in no other way
+    read_only, names, own = True, [], set()
     for node in _walk(plan):
         chain = _class_chain(node)
         name = chain[0]
-        if name == "UnresolvedRelation":
-            names.append(node.tableName())
+        if name in ("UnresolvedRelation", "UnresolvedTableOrView", "UnresolvedTable", "UnresolvedView"):
+            parts = node.multipartIdentifier()
+            parts = [parts.apply(k) for k in range(parts.size())]
+            if len(parts) == 1:
+                names.append(parts[0])
+            elif parts[0].lower() in _PATH_SOURCES or re.search(r"[/:]", parts[-1]):
+                read_only = False
+        elif name == "UnresolvedWith":
+            ctes = node.cteRelations()
+            own.update(ctes.apply(k)._1().lower() for k in range(ctes.size()))
+        elif "UnresolvedIdentifier" in name:
+            read_only = False
+        if look and _calls_code(node):
+            read_only = False
+        if prints:
+            continue
         if name in _ALWAYS_REJECT:
             read_only = False
         writes = any(c in ("Command", "ParsedStatement", "V2CreateTablePlan",
                            "V2WriteCommand") or c.endswith("Command") for c in chain)
         if writes and not _READ_COMMAND.match(name):
             read_only = False
-    return read_only, list(dict.fromkeys(names))
+    return read_only, [n for n in dict.fromkeys(names) if n.lower() not in own]
 
 
 def check_read_only(spark: SparkSession, query: str) -> bool:
@@ -135,21 +168,26 @@ def referenced_tables(spark: SparkSession, query: str) -> list[str]:
     return analyse(spark, query)[1]
 
 
-def _first_word_ok(query: str) -> bool:
-    q = query.strip().upper()
-    return q.startswith(_FIRST_WORDS) and ";" not in q.rstrip(";")
-
-
 def view_name(connection: str, table: str) -> str:
     return f"{connection}{VIEW_SEP}{table}"
 
 
+class AmbiguousTable(ValueError):
+    pass
+
+
+# Views that worksheets made, by session: a name that the running worksheet does
+# not know must not find another catalog's table.
+_MADE: dict[str, set[str]] = {}
+
+
 class Worksheet:
     """Run read-only SQL over tables of one or more connections."""
 
     def __init__(self, catalog):
         self.catalog = catalog
         self.spark = catalog.spark
+        self._frames: set[str] = set()
 
     def register(self, tables: Iterable[tuple[str, str]]) -> dict[str, str]:
         """A view ``connection__table`` per table, plus the bare table name when
@@ -165,12 +203,18 @@ class Worksheet:
             if counts[table] == 1:
                 df.createOrReplaceTempView(table)
                 made[table] = f"{conn}.{table}"
+        mine = _MADE.setdefault(session_key(self.spark), set())
+        for stale in mine - {m.lower() for m in made}:
+            self.spark.catalog.dropTempView(stale)
+        mine.clear()
+        mine.update(m.lower() for m in made)
         return made
 
     def resolve(self, query: str, names: list[str] | None = None) -> list[tuple[str, str]]:
         """The (connection, table) pairs a query names, as ``conn__table`` or as a
-        bare table name that exactly one connection has. Names match without
-        regard to case, as Spark SQL identifiers do."""
+        bare table name that exactly one connection has; one that several have
+        raises ``AmbiguousTable``. Names match without regard to case, as Spark
+        SQL identifiers do."""
         if names is None:
             names = referenced_tables(self.spark, query)
         owners: dict[str, list[tuple[str, str]]] = {}
@@ -183,12 +227,19 @@ class Worksheet:
                 conn, table = name.split(VIEW_SEP, 1)
                 found.extend(p for p in owners.get(table.lower(), [])
                              if p[0].lower() == conn.lower())
+            elif name.lower() in self._frames:
+                continue
             elif len(owners.get(name.lower(), [])) == 1:
                 found.append(owners[name.lower()][0])
+            elif owners.get(name.lower()):
+                raise AmbiguousTable(f"table {name!r} is in several connections; write one of " + ", ".join(
+                    view_name(*p) for p in owners[name.lower()]))
         return list(dict.fromkeys(found))
 
     def add_frame(self, name: str, df: DataFrame) -> None:
         """Expose an already shaped DataFrame (e.g. a filtered table) by name."""
+        self._frames.add(name.lower())
+        _MADE.get(session_key(self.spark), set()).discard(name.lower())
         df.createOrReplaceTempView(name)
 
     def run(self, query: str, tables: Iterable[tuple[str, str]] | None = None) -> DataFrame:
@@ -201,10 +252,10 @@ class Worksheet:
         self.register(self.resolve(query, names) if tables is None else tables)
         return self.spark.sql(query)
 
-    def save(self, query: str, path: str, fmt: str = "xlsx",
+    def save(self, query: str, path: str, fmt: str = "csv",
              tables: Iterable[tuple[str, str]] | None = None, **options) -> str:
         """Run the query and export its result (K3): a distributed write, one
-        file (or workbook) per task; nothing is collected."""
+        file per task; nothing is collected."""
         from vantage.operators.sinks import export
         return export(self.run(query, tables), path, fmt=fmt, **options)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -58,7 +59,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared folder (``spark.checkpoint.dir``).
 
-    The cluster names it; only when it is unset (local tests) do we make one.
+    The cluster names it; only a local session without it gets a folder of its
+    own. A folder of one machine is no place for a cluster's tables, so any
+    other session without the setting is an error.
     """
     try:
         sc = spark.sparkContext
@@ -67,7 +70,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     base = (sc.getConf().get("spark.checkpoint.dir") if sc is not None else None) \
         or _conf(spark, "spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="/tmp/run-")
+        master = sc.master if sc is not None else "remote"
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors "
+                               f"share (master is {master!r})")
+        # kept for the session: sc.getCheckpointDir() gives it back from now on
+        base = (sc.getCheckpointDir() or "").rsplit("/", 1)[0].removeprefix("file:") or tempfile.mkdtemp(prefix="/tmp/run-")
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base
@@ -87,42 +95,6 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     return "/".join([base, "vantage", *leaf])
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``vantage`` importable in Python workers (the workbook reader and
-    writer run there): zip the package once per application into the shared
-    folder and add it like ``--py-files``. Harmless when it is installed."""
-    key = session_key(spark)
-    if key in _SHIPPED:
-        return
-    import io
-    import zipfile
-    root = os.path.dirname(os.path.abspath(__file__))
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(d, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    target = shared_path(spark, "pyfiles") + "/vantage.zip"
-    from pyarrow import fs as pafs
-    if "://" in target:
-        fs, p = pafs.FileSystem.from_uri(target)
-    else:
-        fs, p = pafs.LocalFileSystem(), target
-    fs.create_dir(os.path.dirname(p), recursive=True)
-    with fs.open_output_stream(p) as out:
-        out.write(buf.getvalue())
-    try:
-        spark.sparkContext.addPyFile(target)
-    except Exception:  # Spark Connect
-        spark.addArtifacts(target, pyfile=True)
-    _SHIPPED.add(key)
-
-
 def _conf(spark: SparkSession, key: str) -> str | None:
     try:
         return spark.conf.get(key, None)

@@ -23,7 +23,4 @@ def scan(spark: SparkSession, conn, table: str, **read_options) -> DataFrame:
             return files.read_json(spark, path, **opts)
         if src == "api":
             return files.read_payloads(spark, path, **opts)
-        if src == "xlsx":
-            from vantage.sources import workbooks
-            return workbooks.read_workbooks(spark, path, **opts)
     return jdbc.read_table(spark, conn, table, **read_options)

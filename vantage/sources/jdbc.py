@@ -9,6 +9,7 @@ Listings are one metadata query per connection, not one per table.
 
 from __future__ import annotations
 
+import logging
 from typing import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ def url_of(conn) -> str:
     if conn.source == "sqlserver":
         return (f"jdbc:sqlserver://{o['server']};databaseName={o['database']};"
                 f"encrypt={str(o.get('encrypt', True)).lower()};"
-                f"trustServerCertificate={str(o.get('trust_server_certificate', True)).lower()}")
+                f"trustServerCertificate={str(o.get('trust_server_certificate', False)).lower()}")
     if conn.source == "snowflake":
         parts = [f"db={o['database']}", f"schema={o['schema']}"]
         for key in ("warehouse", "role"):
@@ -107,6 +108,9 @@ def read_table(spark: SparkSession, conn, table: str, partition_column: str | No
             lower_bound, upper_bound = _bounds(spark, opts, partition_column)
         opts.update(partitionColumn=partition_column, lowerBound=str(lower_bound),
                     upperBound=str(upper_bound), numPartitions=str(num_partitions))
+    else:
+        logging.getLogger(__name__).warning(
+            "%s.%s is read by a single task: name a partition column for it (partitions)", conn.name, table)
     opts.update({k: str(v) for k, v in options.items()})
     return spark.read.format("jdbc").options(**opts).load()
 

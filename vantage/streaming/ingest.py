@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -50,7 +51,8 @@ def ingest(stream: DataFrame, target: str, checkpoint: str | None = None,
     makes reruns pick up only new files and survive lost executors.
     """
     spark = stream.sparkSession
-    checkpoint = checkpoint or shared_path(spark, "streams", name, unique=False)
+    checkpoint = checkpoint or shared_path(
+        spark, "streams", name, hashlib.sha1(target.encode()).hexdigest()[:12], unique=False)
     q = (stream.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(target))

@@ -101,7 +101,7 @@ def _calls_code(node) -> bool:
         name = e.getClass().getSimpleName()
         if name == "UnresolvedFunction" and e.nameParts().last().lower() in _CODE_FUNCTIONS:
             return True
-        if "UnresolvedIdentifier" in name:
+        if "WithUnresolvedIdentifier" in name:
             return True
         it = e.children().iterator()
         while it.hasNext():
@@ -143,7 +143,7 @@ def analyse(spark: SparkSession, query: str) -> tuple[bool, list[str]]:
         elif name == "UnresolvedWith":
             ctes = node.cteRelations()
             own.update(ctes.apply(k)._1().lower() for k in range(ctes.size()))
-        elif "UnresolvedIdentifier" in name:
+        elif "WithUnresolvedIdentifier" in name:
             read_only = False
         if look and _calls_code(node):
             read_only = False

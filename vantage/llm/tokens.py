@@ -54,11 +54,12 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-
 class Encoder:
     """Whole texts to id arrays. The tokenizer's pre-tokenizer never joins
     characters across a space or line end, so pieces between those are encoded
-    once and kept (up to a size bound). Plain pieces are taken apart into
-    pre-tokens, and new pre-tokens are encoded many at a time as one text; the
-    end-of-word mark of the vocabulary tells where each ends."""
+    once and kept. Plain pieces are taken apart into pre-tokens, which are kept
+    too, and new pre-tokens are encoded many at a time as one text; the
+    end-of-word mark of the vocabulary tells where each ends. Both stores are
+    emptied at a size bound."""
 
-    LIMIT, JOINED = 250_000, 2000
+    LIMIT, JOINED = 350_000, 2000
     _loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -73,6 +74,7 @@ class Encoder:
         probe = self._ids(["A'b c,d"])[0]
         self.plain = probe.size == 6 and bool(self.ends[probe].all())
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -84,9 +86,11 @@ class Encoder:
         return [np.array(c.ids, self.dtype) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        known = self.known
+        known, kept = self.known, self.parts
+        if len(kept) > self.LIMIT:
+            kept.clear()
         taken = {p: _PARTS.findall(p.lower()) for p in pieces if self.plain and _PLAIN.fullmatch(p) and "<|" not in p}
-        parts = list(set().union(*taken.values()).difference(known))
+        parts = list(set().union(*taken.values()).difference(kept))
         for i in range(0, len(parts), self.JOINED):
             some = parts[i:i + self.JOINED]
             ids = self._ids([" ".join(some)])[0]
@@ -94,10 +98,10 @@ class Encoder:
             if len(ends) == len(some):
                 raw, width = ids.tobytes(), ids.itemsize
                 at = [0, *(ends * width).tolist()]
-                known.update((p, raw[a:b]) for p, a, b in zip(some, at, at[1:]))
+                kept.update((p, raw[a:b]) for p, a, b in zip(some, at, at[1:]))
             else:
-                known.update((p, x.tobytes()) for p, x in zip(some, self._ids(some)))
-        known.update([(p, b"".join(map(known.__getitem__, q))) for p, q in taken.items()])
+                kept.update((p, x.tobytes()) for p, x in zip(some, self._ids(some)))
+        known.update([(p, kept[q[0]] if len(q) == 1 else b"".join([kept[x] for x in q])) for p, q in taken.items()])
         rest = [p for p in pieces if p not in taken]
         known.update((p, x.tobytes()) for p, x in zip(rest, self._ids(rest)))
 

@@ -26,7 +26,7 @@ from .common import saved, table
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
          ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ITERATIONS, THRESHOLD = 0.85, 10, 1.0
+DAMPING, ITERATIONS, THRESHOLD = 0.85, 10, 0.5
 
 
 def _lower(c):

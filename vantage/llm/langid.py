@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, flag, ship, table
+from .common import crc_mod, flag, saved, ship, table
 
 MAX_ROWS, LEAST, LONGEST = 20_000, 1e-5, 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -65,7 +65,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, least: float = LEAST) ->
                     names=["lang", "n", "gram", "c"])
     counts = sample.mapInArrow(count, "lang string, n int, gram string, c long")
     sums = counts.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    sums = sums.checkpoint()
+    sums = saved(sums, "op8-counts")
     totals = {(r.lang, r.n): r.c for r in sums.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
     langs = sorted({lang for lang, _ in totals})
     if not langs:

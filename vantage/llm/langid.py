@@ -87,23 +87,38 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, least: float = LEAST) ->
 
 
 class Scorer(dict):
-    """Word -> row of scores; cleared at a size bound."""
+    """Word -> its row in ``rows`` (one column a language); emptied between texts
+    at a size bound."""
+
+    LIMIT = 200_000
 
     def __init__(self, langs: int, model: dict):
         super().__init__()
-        self.langs, self.model = langs, model
+        self.rows = np.zeros((1024, langs))
+        self.known: list[dict] = [{} for _ in range(LONGEST + 1)]  # by length; 0: whole words
+        for (n, g), v in model.items():
+            self.known[n][g] = v
 
-    def __missing__(self, word: str):
-        if len(self) >= 200_000:
-            self.clear()
-        v = self.model.get((0, word))
+    def __missing__(self, word: str) -> int:
+        v = self.known[0].get(word)
         for n in range(LONGEST, 0, -1):
             if v is not None:
                 break
-            hits = [x for x in (self.model.get((n, g)) for g in grams(word, n)) if x is not None]
-            v = np.mean(hits, axis=0) if hits else None
-        v = self[word] = np.zeros(self.langs) if v is None else v
-        return v
+            get = self.known[n].get
+            hits = [x for g in grams(word, n) if (x := get(g)) is not None]
+            v = np.add.reduce(hits) / len(hits) if hits else None
+        at = self[word] = len(self)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = 0.0 if v is None else v
+        return at
+
+    def total(self, words: list[str]) -> np.ndarray:
+        """Sum of the words' scores, by language."""
+        if len(self) >= self.LIMIT:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.rows[at].sum(axis=0)
 
 
 def identify(docs: DataFrame, langs: list[str], model: dict, keep: list[str]) -> DataFrame:
@@ -125,7 +140,7 @@ def identify(docs: DataFrame, langs: list[str], model: dict, keep: list[str]) ->
                     pred.append("und")
                     score.append(0.0)
                     continue
-                s = np.array([scorer[w] for w in words]).sum(axis=0)
+                s = scorer.total(words)
                 i = int(s.argmax())
                 pred.append(names[i])
                 score.append(float(1 / np.exp(np.clip(s - s[i], -700, 0)).sum()))

@@ -26,8 +26,10 @@ import hashlib
 import os
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,20 +48,30 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 #: Pieces whose pre-tokens are plain to see: printable ASCII and Latin-1 letters.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: The tokenizer file's own pre-token pattern over the lower case of such pieces.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+#: The tokenizer file's own pre-token pattern over the lower case of such pieces, and the space between them.
+_PARTS = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ ]+")
+
+
+def _gather(pool: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists ``which`` of those that lie in ``pool`` with lengths ``n``, put one after
+    another, and where each of them ends."""
+    each = n[which]
+    ends = np.cumsum(each)
+    at = np.repeat((np.cumsum(n) - n)[which] - ends + each, each)
+    at += np.arange(len(at))
+    return pool[at], ends
 
 
 class Encoder:
     """Whole texts to id arrays. The tokenizer's pre-tokenizer never joins
-    characters across a space or line end, so pieces between those are encoded
-    once and kept. Plain pieces are taken apart into pre-tokens, which are kept
-    too, and new pre-tokens are encoded many at a time as one text; the
-    end-of-word mark of the vocabulary tells where each ends. Both stores are
-    emptied at a size bound."""
+    characters across ASCII white space, so Arrow numbers the pieces between it, each
+    distinct one is encoded once a chunk, and the ids of the texts are gathered
+    from those of their pieces. Plain pieces are taken apart into pre-tokens; these
+    are kept up to a size bound, and new ones are encoded many at a time as one
+    text: the end-of-word mark of the vocabulary tells where each ends."""
 
-    LIMIT, JOINED = 350_000, 2000
+    LIMIT, JOINED, CHUNK = 350_000, 2000, 8 << 20
     _loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -73,7 +85,6 @@ class Encoder:
             self.ends[i] = token.endswith("</w>")
         probe = self._ids(["A'b c,d"])[0]
         self.plain = probe.size == 6 and bool(self.ends[probe].all())
-        self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     @classmethod
@@ -85,12 +96,7 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(c.ids, self.dtype) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        known, kept = self.known, self.parts
-        if len(kept) > self.LIMIT:
-            kept.clear()
-        taken = {p: _PARTS.findall(p.lower()) for p in pieces if self.plain and _PLAIN.fullmatch(p) and "<|" not in p}
-        parts = list(set().union(*taken.values()).difference(kept))
+    def _learn(self, parts: list[str]) -> None:
         for i in range(0, len(parts), self.JOINED):
             some = parts[i:i + self.JOINED]
             ids = self._ids([" ".join(some)])[0]
@@ -98,20 +104,54 @@ class Encoder:
             if len(ends) == len(some):
                 raw, width = ids.tobytes(), ids.itemsize
                 at = [0, *(ends * width).tolist()]
-                kept.update((p, raw[a:b]) for p, a, b in zip(some, at, at[1:]))
+                self.parts.update((p, raw[a:b]) for p, a, b in zip(some, at, at[1:]))
             else:
-                kept.update((p, x.tobytes()) for p, x in zip(some, self._ids(some)))
-        known.update([(p, kept[q[0]] if len(q) == 1 else b"".join([kept[x] for x in q])) for p, q in taken.items()])
-        rest = [p for p in pieces if p not in taken]
-        known.update((p, x.tobytes()) for p, x in zip(rest, self._ids(rest)))
-
-    def __call__(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
-        end = np.array([end_id], self.dtype).tobytes()
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        self._learn(set().union(*split).difference(self.known))
-        return [b"".join([*map(self.known.__getitem__, pieces), end]) for pieces in split]
+                self.parts.update((p, x.tobytes()) for p, x in zip(some, self._ids(some)))
+
+    def _plain_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain pieces one after another, and how many each has."""
+        import pyarrow.compute as pc
+        row = pa.LargeListArray.from_arrays(pa.array([0, len(pieces)], pa.int64()), pieces)
+        coded = pa.array(_PARTS.findall(pc.binary_join(row, " ")[0].as_py().lower()), pa.string()).dictionary_encode()
+        parts, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.parts) > self.LIMIT:
+            self.parts.clear()
+        self.parts[" "] = b""
+        self._learn([p for p in parts if p not in self.parts])
+        lists = [self.parts[p] for p in parts]
+        n = np.fromiter(map(len, lists), np.int64, len(lists)) // np.dtype(self.dtype).itemsize
+        ids, ends = _gather(np.frombuffer(b"".join(lists), self.dtype), n, which)
+        space = np.flatnonzero(which == parts.index(" ")) if len(pieces) > 1 else []
+        return ids, np.diff(ends[space], prepend=0, append=ends[-1])
+
+    def __call__(self, texts: pa.Array | list[str | None], end_id: int = END_ID) -> list[bytes]:
+        import pyarrow.compute as pc
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary
+        plain = pc.match_substring_regex(pieces, _PLAIN).to_numpy(zero_copy_only=False) & self.plain
+        plain &= pc.invert(pc.match_substring(pieces, "<|")).to_numpy(zero_copy_only=False)
+        ids, n = self._plain_ids(pieces.filter(pa.array(plain))) if plain.any() else (np.zeros(0, self.dtype), [])
+        rest = self._ids(pieces.filter(pa.array(~plain)).to_pylist())
+        order = np.empty(len(pieces), np.int64)
+        order[np.append(np.flatnonzero(plain), np.flatnonzero(~plain))] = np.arange(len(pieces))
+        n = np.append(n, [len(x) for x in rest]).astype(np.int64)
+        ids, ends = _gather(np.concatenate([ids, *rest]), n, order[coded.indices.to_numpy()])
+        sizes = pc.list_value_length(split).to_numpy()
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(sizes))] * ids.itemsize
+        raw, end = ids.tobytes(), np.array([end_id], self.dtype).tobytes()
+        return [raw[a:b] + end for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+    def runs(self, texts: pa.Array) -> Iterator[tuple[int, int]]:
+        """Start and length of runs of rows of about ``CHUNK`` bytes, one row at least."""
+        import pyarrow.compute as pc
+        total = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + self.CHUNK, "right")) - 1)
+            yield at, to - at
+            at = to
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
@@ -121,11 +161,11 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     lot = F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches):
-        import pyarrow as pa
         enc = Encoder.of(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[:SAMPLE_BYTES] for x in enc(b.column(0).to_pylist())], pa.binary())], names=["ids"])
+            for i, k in enc.runs(b.column(0)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[:SAMPLE_BYTES] for x in enc(b.column(0).slice(i, k))], pa.binary())], names=["ids"])
     # at most SAMPLE_DOCS * SAMPLE_BYTES = 24 MB in expectation
     sample = docs.where(lot < share).select("text").mapInArrow(run, "ids binary").collect()
     try:
@@ -143,7 +183,6 @@ def _codec(dictionary: bytes):
 def write_shards(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shard files under ``folder``; returns the
     manifest: part, path, docs, tokens, bytes."""
-    import pyarrow as pa
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
@@ -159,10 +198,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         enc, (pack, _) = Encoder.of(tokenizer), _codec(dictionary)
         width = np.dtype(enc.dtype).itemsize
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                ids = enc(b.column(1)[i:i + 500].to_pylist())
+            for i, k in enc.runs(b.column(1)):
+                ids = enc(b.column(1).slice(i, k))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i:i + 500], pa.array([len(x) // width for x in ids], pa.int64()),
+                    [b.column(0).slice(i, k), pa.array([len(x) // width for x in ids], pa.int64()),
                      pa.array([pack.compress(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "frame"])
     frames = saved(docs.mapInArrow(compress, f"doc_id {id_type}, n_tokens long, frame binary"), "op9-frames")
 
@@ -207,7 +246,6 @@ class Shard:
     """A shard file, opened for reading; ``ids(i)`` reads one document alone."""
 
     def __init__(self, path: str, dtype: str):
-        import pyarrow as pa
         fs, at = file_system(path)
         self.dtype, self.file = dtype, fs.open_input_file(at)
         size = self.file.size()
@@ -235,7 +273,6 @@ def read_shards(manifest: DataFrame, tokenizer: str, id_type: str = "bigint") ->
 
     def run(batches):
         import zlib
-        import pyarrow as pa
         dtype = Encoder.of(tokenizer).dtype
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -202,6 +202,22 @@ def test_encoder_equals_the_tokenizer():
     assert enc(texts) == want and enc(texts) == want
 
 
+def test_encoder_in_runs_with_emptied_store():
+    import pyarrow as pa
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    enc.CHUNK, enc.LIMIT, enc.JOINED = 200, 5, 7
+    r = random.Random(2)
+    texts = [None, "", "one", " ", "x" * 900, *(" ".join("".join(r.choices("abcdé,.'s", k=5)) for _ in range(r.randint(0, 40)))
+                                               for _ in range(200))]
+    column = pa.array(["cut off", *texts], pa.string()).slice(1)
+    runs = list(enc.runs(column))
+    assert [i for i, _ in runs] + [len(texts)] == [0] + [i + k for i, k in runs] and len(runs) > 50
+    want = [np.array(c.ids + [1], enc.dtype).tobytes()
+            for c in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x for i, k in runs for x in enc(column.slice(i, k))] == want
+    assert list(enc.runs(column.slice(0, 0))) == [] and enc([]) == []
+
+
 def test_token_files_give_single_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     from vantage.llm.common import qualified

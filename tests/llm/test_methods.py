@@ -255,3 +255,19 @@ def test_held_out_accuracy(spark):
     got = QUERIES["op1_quality"](spark, SF).join(labels, "doc_id").collect()
     good, bad = ([r.score for r in got if r.quality == k] for k in (1, 0))
     assert np.mean([[g > b for g in good] for b in bad]) > 0.95
+
+
+def test_class_model_gives_words_under_the_broadcast_share_their_own_class(spark):
+    r = random.Random(11)
+    nouns, verbs = ([c + x for x in "abcd" for _ in range(10)] + [f"{c}{i}xx" for i in range(40)] for c in "nv")
+    texts = [" ".join(f"the {r.choice(nouns)} to {r.choice(verbs)}" for _ in range(10)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    many, few = (np.mean([x.score for x in classlm.score_texts(docs, F.col("doc_id") < 500, least, classes=8).collect()
+                          if x.held_out]) / 41 for least in (1e-6, 0.01))
+    assert many > -0.8 and abs(many - few) < 0.02  # the words in "xx" end alike, but half follow "the" and half "to"
+
+
+def test_class_and_core_counts_grow_with_the_corpus():
+    assert classlm.grown(classlm.CLASSES, 10_000) == classlm.CLASSES
+    assert classlm.grown(classlm.CLASSES, 5_000_000_000) > 3 * classlm.CLASSES
+    assert classlm.grown(classlm.CORE, 5_000_000_000) > 3 * classlm.CORE

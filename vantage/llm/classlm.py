@@ -10,15 +10,20 @@ model. Class transitions are counts smoothed by the next shorter history
 (``STRENGTH`` pseudo-counts), so that the probabilities of the V known words and of the unknown one
 sum to 1 after any history.
 
-Clustering. Words that make up ``LEAST`` of the training tokens or more (at most
-1 / LEAST of them, the bound of what is broadcast; and ``FEWEST`` occurrences, as
-fewer say too little of a word's neighbours) are clustered one by one, rarer
-ones together with all rare words of the same last two bytes. The ``CORE`` most frequent words go through
+Clustering. Every word with ``FEWEST`` occurrences or more has a class of its own choice
+(fewer say too little of a word's neighbours; those words are taken together by their last
+two bytes). The ``CORE`` most frequent words go through
 the exchange algorithm proper: each in turn moves to the class that gives the class bigrams
-the largest likelihood, until nothing moves. All others, endings
-included, are then placed by exchange moves against the classes around them, over all
+the largest likelihood, until nothing moves. The other words that make up ``LEAST`` of the
+training tokens or more (at most 1 / LEAST of them, the bound of what is broadcast), and the
+endings, are then placed by exchange moves against the classes around them, over all
 training tokens, in ``ROUNDS`` rounds; the blocks of the corpus vote by the number
-of occurrences. Words are known by 64-bit hashes (two of a billion words fall together with
+of occurrences. The words between (``FEWEST`` occurrences, but under ``LEAST``) stay in tables
+of any size: their counts by neighbouring class are summed over the corpus, each is placed
+from its own row before the last round (``place_rare``), and the class joins the documents
+(``reclass``).
+From ``FEWEST / LEAST`` tokens on, ``CLASSES`` and ``CORE`` grow with the fourth root of the
+corpus (``grown``). Words are known by 64-bit hashes (two of a billion words fall together with
 probability 0.03).
 
 All counts cover all training documents; the vocabulary stays a table, and rare words meet
@@ -123,16 +128,18 @@ def _before(line: np.ndarray, starts: np.ndarray, end) -> tuple[np.ndarray, np.n
     return one, two
 
 
-def _tally(coded: DataFrame, keys, schema: str = "key long, n long") -> dict[int, int]:
-    """Sums by key over all training documents; ``keys(line, starts)`` gives a block's keys.
-    The callers' keys have a fixed range, so what comes to the driver is bounded."""
+def _tally(coded: DataFrame, keys, size: int, schema: str = "key long, n long") -> np.ndarray:
+    """Sums by key over all training documents; ``keys(line, starts)`` gives a block's keys,
+    all below ``size``, so what comes to the driver is bounded."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
             k, n = np.unique(keys(*_line(b.column(0))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
     got = coded.where("NOT held_out").select("ids").mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
-    return got.toPandas().set_index("key")["n"].to_dict()
+    got, out = got.toPandas(), np.zeros(size)
+    out[got["key"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -188,14 +195,21 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 30) -> np.ndarray:
     return cls
 
 
-def place(coded: DataFrame, cls: np.ndarray, fixed: int, pairs: np.ndarray) -> np.ndarray:
-    """One round of exchange moves for ids from ``fixed`` on, given all classes
-    (-1: none yet) and class bigram counts; blocks vote with their occurrences."""
-    k, size = len(pairs), len(cls)
-    log = np.log(pairs + 0.5)
-    into = log - np.log(pairs.sum(1) + 0.5 * k)[:, None]  # P(c | before)
+def _fits(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a neighbour of each class (last: of none) says for each class of a word, by
+    class bigram counts: a neighbour before it, and one after it."""
+    k = len(pairs)
+    into = np.log(pairs + 0.5) - np.log(pairs.sum(1) + 0.5 * k)[:, None]  # P(c | before)
     out = into - np.log(pairs.sum(0) + 0.5 * k)[:, None]  # P(after | c), and 1 / count(c)
-    into, out = np.vstack([into, np.zeros(k)]), np.hstack([out, np.zeros((k, 1))]).T  # -1: no evidence
+    return np.vstack([into, np.zeros(k)]), np.hstack([out, np.zeros((k, 1))]).T  # -1: no evidence
+
+
+def place(coded: DataFrame, cls: np.ndarray, fixed: int, size: int, pairs: np.ndarray) -> np.ndarray:
+    """One round of exchange moves for ids from ``fixed`` up to ``size``, given all classes
+    (-1: none yet) and class bigram counts; blocks vote with their occurrences."""
+    k = len(pairs)
+    into, out = _fits(pairs)
+    slice_ = max(1, 50_000 * 33 // (k + 1))
     shared = coded.sparkSession.sparkContext.broadcast((cls, into, out))
 
     def run(batches):
@@ -209,8 +223,8 @@ def place(coded: DataFrame, cls: np.ndarray, fixed: int, pairs: np.ndarray) -> n
             before, _ = _before(c, starts, k - 1)
             after = np.full(len(c), k - 1, c.dtype)
             after[:-1] = c[1:]
-            for lo in range(fixed, size, 50_000):  # in slices of ids: bounds the tables
-                hi = min(size, lo + 50_000)
+            for lo in range(fixed, size, slice_):  # in slices of ids: bounds the tables
+                hi = min(size, lo + slice_)
                 mine = (line >= lo) & (line < hi)
                 w = line[mine].astype(np.int64) - lo
                 if not len(w):
@@ -232,6 +246,86 @@ def place(coded: DataFrame, cls: np.ndarray, fixed: int, pairs: np.ndarray) -> n
     return cls
 
 
+def place_rare(coded: DataFrame, cls: np.ndarray, words: int, pairs: np.ndarray, mid: DataFrame) -> DataFrame:
+    """``h, cls``: the class of every word of ``mid`` (h), each by one exchange move from
+    its own counts of the classes before and after it, over all training tokens."""
+    k = len(pairs)
+    shared = coded.sparkSession.sparkContext.broadcast((cls, *_fits(pairs)))
+
+    def near(batches):
+        import pyarrow as pa
+        cls = shared.value[0]
+        for b in batches:
+            line, starts = _line(b.column(0))
+            rare = line >= words
+            if not rare.any():
+                continue
+            c = cls[line]
+            before, _ = _before(c, starts, k - 1)
+            after = np.full(len(c), k - 1, c.dtype)
+            after[:-1] = c[1:]
+            raw = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)])
+            u, back = np.unique(raw, return_inverse=True)
+            m = 2 * (k + 1)
+            at = np.concatenate([back * m + before[rare] % (k + 1), back * m + k + 1 + after[rare] % (k + 1)])
+            at, n = np.unique(at, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u[at // m]), pa.array(at % m, pa.int32()), pa.array(n, pa.int64())],
+                                             names=["h", "side", "n"])
+
+    def best(batches):
+        import pyarrow as pa
+        fits = np.vstack(shared.value[1:])
+        fits[:, k - 1] = -np.inf  # the end's own
+        for b in batches:
+            won = np.empty(b.num_rows, np.int32)
+            for i, row in enumerate(b.column(1)):
+                side, n = (row.values.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
+                won[i] = (n @ fits[side]).argmax()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(won)], names=["h", "cls"])
+    seen = coded.where("NOT held_out AND length(rare) > 0").select("ids", "rare").mapInArrow(near, "h long, side int, n long")
+    rows = (seen.join(mid, "h", "left_semi").groupBy("h", "side").agg(F.sum("n").alias("n"))
+            .groupBy("h").agg(F.collect_list(F.struct("side", "n")).alias("row")))  # 2 (k + 1) entries at most
+    return saved(rows.mapInArrow(best, "h long, cls int"), "op3-rare-classes")
+
+
+def reclass(coded: DataFrame, rare_cls: DataFrame, words: int) -> DataFrame:
+    """``coded`` with each token of a word of ``rare_cls`` (h, cls) as the id of its class,
+    ``words + ENDINGS + cls``."""
+    id_type = coded.schema["doc_id"].dataType.simpleString()
+
+    def each(batches):
+        import pyarrow as pa
+        for b in batches:
+            hs = [np.unique(np.frombuffer(x.as_buffer(), np.int64)) for x in b.column(1)]
+            n = np.array([len(h) for h in hs], np.int64)
+            if n.sum():
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))),
+                                                  pa.array(np.concatenate(hs))], names=["row", "h"])
+
+    def put(batches):
+        import pyarrow as pa
+        for b in batches:
+            ids = []
+            for x, raw, found in zip(b.column(2), b.column(3), b.column(5)):
+                line = np.frombuffer(x.as_buffer(), np.int32)
+                if found.is_valid:
+                    h, c = (found.values.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
+                    order = np.argsort(h)
+                    h, c = h[order], c[order]
+                    raw = np.frombuffer(raw.as_buffer(), np.int64)
+                    at = np.minimum(np.searchsorted(h, raw), len(h) - 1)
+                    own, line = h[at] == raw, line.copy()
+                    line[np.flatnonzero(line >= words)[own]] = words + ENDINGS + c[at[own]]
+                ids.append(line.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), b.column(3), b.column(4)],
+                                             names=["doc_id", "held_out", "ids", "rare", "row"])
+    found = (coded.where("length(rare) > 0").select("row", "rare").mapInArrow(each, "row long, h long")
+             .join(rare_cls, "h").groupBy("row").agg(F.collect_list(F.struct("h", "cls")).alias("found")))
+    both = coded.join(found, "row", "left").select("doc_id", "held_out", "ids", "rare", "row", "found")
+    return saved(both.mapInArrow(put, f"doc_id {id_type}, held_out boolean, ids binary, rare binary, row long"),
+                 "op3-classed", "zstd")
+
+
 def _counts(coded: DataFrame, cls: np.ndarray, k: int, order: int) -> np.ndarray:
     """Counts of class n-grams of ``order`` 2 or 3; tokens without a class are left out."""
     shared = coded.sparkSession.sparkContext.broadcast(cls)
@@ -241,10 +335,7 @@ def _counts(coded: DataFrame, cls: np.ndarray, k: int, order: int) -> np.ndarray
         one, two = _before(c, starts, k - 1)
         ok = (c >= 0) & (one >= 0) & ((two >= 0) if order == 3 else True)
         return ((two * k if order == 3 else 0) * k + one * k + c)[ok]
-    out = np.zeros(k ** order)
-    for key, n in _tally(coded, keys).items():
-        out[key] = n
-    return out.reshape((k,) * order)
+    return _tally(coded, keys, k ** order).reshape((k,) * order)
 
 
 class Model:
@@ -267,24 +358,34 @@ class Model:
         self.log_unknown, self.whole = float(np.log10(self.unknown)), whole
 
 
-def train(coded: DataFrame, lexicon: Lexicon, counts: np.ndarray, total: int, distinct: int, classes: int = CLASSES,
-          core: int = CORE, rounds: int = ROUNDS) -> Model:
-    core = min(core, lexicon.words)
+def grown(base: int, total: int) -> int:
+    """``base``, and from ``FEWEST / LEAST`` training tokens on as the fourth root of their number."""
+    return int(base * max(1.0, total * LEAST / FEWEST) ** 0.25)
+
+
+def train(coded: DataFrame, lexicon: Lexicon, counts: np.ndarray, total: int, distinct: int, mid: DataFrame | None = None,
+          classes: int | None = None, core: int | None = None, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model, and the documents with the classes of the words of ``mid`` in their ids."""
+    classes = classes or grown(CLASSES, total)
+    core = min(core or grown(CORE, total), lexicon.words)
 
     def near(line, starts):
         one, _ = _before(line, starts, 0)
         ok = (line < core) & (one < core)
         return one[ok].astype(np.int64) * core + line[ok]
-    pairs = np.zeros((core, core))
-    for key, n in _tally(coded, near).items():  # core * core keys at most
-        pairs[key // core, key % core] = n
-    cls = np.full(lexicon.size, -1, np.int32)
-    cls[:core] = exchange(pairs, classes)
-    for _ in range(rounds):
-        cls = place(coded, cls, core, _counts(coded, cls, classes, 2))
+    cls = np.concatenate([np.full(lexicon.size, -1, np.int32), np.arange(classes, dtype=np.int32)])
+    cls[:core] = exchange(_tally(coded, near, core * core).reshape(core, core), classes)
+    for left in range(rounds, 0, -1):
+        pairs = _counts(coded, cls, classes, 2)
+        if mid is not None and left == 1:
+            coded = reclass(coded, place_rare(coded, cls, lexicon.words, pairs, mid), lexicon.words)
+            pairs = _counts(coded, cls, classes, 2)
+        cls = place(coded, cls, core, lexicon.size, pairs)
+        if mid is not None and left > 1:  # no evidence until the words of ``mid`` have left their endings
+            cls[lexicon.words:lexicon.size] = -1
     # an ending that training never saw: the class of the most frequent word
     cls[cls < 0] = cls[min(1, lexicon.words - 1)]
-    return Model(cls, _counts(coded, cls, classes, 3), counts, total, distinct)
+    return Model(cls, _counts(coded, cls, classes, 3), counts, total, distinct), coded
 
 
 def score(coded: DataFrame, model: Model, words: int, vocab: DataFrame) -> DataFrame:
@@ -362,7 +463,9 @@ def score_texts(docs: DataFrame, train_where, least: float = LEAST, **options) -
         counts[0] = vocab.where(F.col("h") == end).first().c
     coded = encode(docs, lexicon)
     if total:
-        model = train(coded, lexicon, counts, total, distinct, **options)
+        mid = vocab.where((F.col("c") >= FEWEST) & (F.col("c") < least * total)).select("h")
+        some = least * total > FEWEST and not mid.isEmpty()
+        model, coded = train(coded, lexicon, counts, total, distinct, mid if some else None, **options)
     else:
         model = Model(np.zeros(lexicon.size, np.int32), np.ones((1, 1, 1)), counts, 0, 0)
     return score(coded, model, lexicon.words, vocab).withColumn("train_tokens", F.lit(total).cast("long"))

@@ -271,3 +271,19 @@ def test_class_and_core_counts_grow_with_the_corpus():
     assert classlm.grown(classlm.CLASSES, 10_000) == classlm.CLASSES
     assert classlm.grown(classlm.CLASSES, 5_000_000_000) > 3 * classlm.CLASSES
     assert classlm.grown(classlm.CORE, 5_000_000_000) > 3 * classlm.CORE
+
+
+@pytest.mark.parametrize("length", [250, 500, 1000])
+def test_long_items_at_the_limit_are_found(spark, length):
+    r = random.Random(length)
+    items, docs = [], []
+    for i in range(20):
+        w = [f"i{i}x{k}" for k in range(length)]
+        items.append((i, " ".join(w)))
+        for k in sorted(r.sample(range(length), length // 5), reverse=True):  # one edit a word: the limit exactly
+            kind = r.randrange(3)
+            w[k:k + 1] = [r.choice(WORDS)] if kind == 0 else [] if kind == 1 else [w[k], r.choice(WORDS)]
+        docs.append((i, " ".join(r.choices(WORDS, k=50) + w + r.choices(WORDS, k=50))))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(i, i) for i, _ in items} and all(x.distance <= length // 5 for x in got)

@@ -9,11 +9,14 @@ positions are sampled; a window is a candidate for an item if any sample agrees
 in all its positions. Candidates are verified by the exact edit distance of the item
 to the best part of the document around the window.
 
-Windows have the size of the item and begin where an anchor puts them. An item's
+The walks drift apart as a sequence grows, so items of more than ``PIECE`` words are embedded
+in equal pieces of at most that many: if the item is within the limit, so is one of its pieces
+at least, and any one piece makes the whole item a candidate. Windows have the size of the
+piece and begin where an anchor puts them. A piece's
 anchors are its ``limit + 1`` rarest word positions, ``limit`` being the edits allowed (``edits``
 of its words): as an edit spoils one word at most, any passage within the limit holds an
 anchor, so the anchors lose nothing and the samples alone decide recall
-(the tests plant 40 items at the limit and find all).
+(the tests plant items of 12 to 1,000 words at the limit and find all).
 
 Words are runs of letters and digits, lower-cased; whole texts are scanned. Items
 are taken ``ITEMS`` at a time: that bounds what is broadcast, whatever the benchmark's size.
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, saved, ship, table
 
-EDITS, EXACT_BELOW, WALKS, SAMPLES, PICKS, ITEMS = 0.2, 10, 12, 8, 3, 20_000
+EDITS, EXACT_BELOW, WALKS, SAMPLES, PICKS, ITEMS, PIECE = 0.2, 10, 12, 8, 3, 20_000, 100
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -101,31 +104,38 @@ class Items:
         self.ids = [k for k, _, _ in keep]
         self.seqs = [s for _, s, _ in keep]
         self.limit = [0 if len(s) < EXACT_BELOW else int(edits * len(s)) for s in self.seqs]
-        anchors = defaultdict(list)
+        anchors, pieces, self.item, self.offset = defaultdict(list), [], [], []
         for n, (_, seq, ws) in enumerate(keep):
-            rare = sorted(range(len(ws)), key=lambda i: (often[ws[i]], -len(ws[i]), i))[:self.limit[n] + 1]
-            for i in rare:
-                anchors[int(seq[i])].append((n, i))
+            cuts = np.linspace(0, len(ws), -(-len(ws) // PIECE) + 1).astype(int).tolist()
+            for lo, hi in zip(cuts, cuts[1:]):
+                limit = self.limit[n] if len(cuts) == 2 else int(edits * (hi - lo))
+                rare = sorted(range(lo, hi), key=lambda i: (often[ws[i]], -len(ws[i]), i))[:limit + 1]
+                for i in rare:
+                    anchors[int(seq[i])].append((len(pieces), i - lo))
+                pieces.append(seq[lo:hi])
+                self.item.append(n)
+                self.offset.append(lo)
+        self.item, self.offset = np.array(self.item, np.int64), np.array(self.offset, np.int64)
         self.is_anchor = np.zeros(len(self.vocab) + 1, bool)
         self.is_anchor[list(anchors)] = True
         self.anchors = {a: np.array(v, np.int64) for a, v in anchors.items()}
-        self.width = max(map(len, self.seqs), default=0)
-        lengths = np.array([len(s) for s in self.seqs], np.int64)
+        self.width = max(map(len, pieces), default=0)
+        lengths = np.array([len(s) for s in pieces], np.int64)
         self.lengths = lengths
-        padded = np.zeros((len(self.seqs), self.width), np.int32)
-        for i, s in enumerate(self.seqs):
+        padded = np.zeros((len(pieces), self.width), np.int32)
+        for i, s in enumerate(pieces):
             padded[i, :len(s)] = s
-        self.keys = walk_keys(padded, lengths) if self.seqs else np.zeros((0, 0), np.uint64)
+        self.keys = walk_keys(padded, lengths) if pieces else np.zeros((0, 0), np.uint64)
 
     def windows(self, symbols: np.ndarray) -> np.ndarray:
-        """(item, start) of every anchored window of one text."""
+        """(piece, start) of every anchored window of one text."""
         at = np.flatnonzero(self.is_anchor[symbols])
         found = [np.stack([self.anchors[int(symbols[p])][:, 0], p - self.anchors[int(symbols[p])][:, 1]], 1) for p in at]
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def candidates(self, symbols: np.ndarray, spots: np.ndarray) -> np.ndarray:
-        """Those of ``spots`` (item, start in ``symbols``) that share a key with their
-        item; ``symbols`` has ``width`` zeros around every text."""
+        """Those of ``spots`` (piece, start in ``symbols``) that share a key with their
+        piece; ``symbols`` has ``width`` zeros around every text."""
         hits = []
         for i in range(0, len(spots), 4096):
             part = spots[i:i + 4096]
@@ -192,18 +202,24 @@ def _search(known: Items, texts) -> list[tuple]:
     line = np.concatenate(pieces)
     spots, owner = np.concatenate(spots), np.concatenate(owner)
     all_ = np.concatenate([spots, owner[:, None]], axis=1)
+    hits = known.candidates(line, all_)
+    # the item and where it would begin: as often as pieces and anchors agree, taken once
+    hits = np.unique(np.stack([hits[:, 2], known.item[hits[:, 0]], hits[:, 1] - known.offset[hits[:, 0]]], 1), axis=0)
     best: dict[tuple[int, int], tuple] = {}
-    for n, start, row in known.candidates(line, all_):
+    lo = None
+    for i, (row, n, start) in enumerate(hits):
         begin, length = offset[row]
         limit, seq = known.limit[n], known.seqs[n]
-        old = best.get((row, n))
-        if old is not None and old[0] == 0:
-            continue
-        lo = max(begin, start - limit)
+        lo = max(begin, start - limit) if lo is None else lo
         hi = min(begin + length, start + len(seq) + limit)
-        d, a, z = best_part(seq, line[lo:hi])
-        if d <= limit and (old is None or d < old[0]):
-            best[row, n] = (d, int(lo + a - begin), int(lo + z - begin))
+        if i + 1 < len(hits) and tuple(hits[i + 1, :2]) == (row, n) and hits[i + 1, 2] - limit <= start + limit:
+            continue  # overlapping places are searched as one
+        old = best.get((row, n))
+        if old is None or old[0]:
+            d, a, z = best_part(seq, line[lo:hi])
+            if d <= limit and (old is None or d < old[0]):
+                best[row, n] = (d, int(lo + a - begin), int(lo + z - begin))
+        lo = None
     return [(int(r), int(n), *v) for (r, n), v in sorted(best.items())]
 
 

@@ -287,3 +287,33 @@ def test_long_items_at_the_limit_are_found(spark, length):
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
                                 spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(x.doc_id, x.item_id) for x in got} == {(i, i) for i, _ in items} and all(x.distance <= length // 5 for x in got)
+
+
+def hidden(text, inner):
+    """The scan finds an assignment in ``inner`` (and nothing outside of it)."""
+    spans = secrets.find(text)[1]
+    lo, hi = text.index(inner), text.index(inner) + len(inner)
+    assert all(lo <= a < b <= hi for a, b, _ in spans), (spans, lo, hi)
+    return "assign" in {k for _, _, k in spans}
+
+
+def test_streams_in_streams_prefixed_and_wrapped_base64():
+    raw = SECRET.encode()
+    for data in (gzip.compress(zlib.compress(raw)), zlib.compress(gzip.compress(zlib.compress(raw)))):
+        inner = base64.b64encode(data).decode()
+        assert hidden(f"see {inner} there", inner)
+    for prefix in ("https://h.example/cb/", "sess_", "abc/", "a-", "xyz"):
+        for data in (raw, raw + b"\xff\x00", gzip.compress(raw)):
+            inner = prefix + base64.urlsafe_b64encode(data).decode()
+            assert hidden(f"see {inner} there", inner), (prefix, data)
+    long = b"some words before it " * 3 + raw + bytes(range(97, 123)) * 5
+    noise = random.Random(1).randbytes(300)
+    for data in (long, gzip.compress(noise + long)):
+        for width in (64, 76):
+            for end in ("\n", "\r\n"):
+                flat = base64.b64encode(data).decode()
+                inner = end.join(flat[i:i + width] for i in range(0, len(flat), width))
+                assert hidden(f"see {inner} there", inner), (width, end)
+    flat = base64.b64encode(b"x" * 40 + b"password=abcdefghij" + b"!" * 20).decode()
+    text = flat[:64] + "\n" + flat[64:]
+    assert any(b > 65 > a for a, b, _ in secrets.find(text)[1])  # across the line end

@@ -2,8 +2,10 @@
 
 The text itself is the first layer. A layer yields further ones: the layer with
 its URL escapes unwrapped, with its Unicode escapes unwrapped, and one for each
-base64 run that decodes to text, or to a zlib or gzip stream that inflates to
-text. Every layer carries for each of its characters the span of the original
+printable stretch that a base64 run decodes to at any of its four alignments (the run may
+begin with other letters of the alphabet), or that a zlib or gzip stream in it inflates to,
+streams in streams included. Runs on lines one after another are taken one by one and joined.
+Stretches of fewer than ``SHORTEST`` characters hold no secret and no layer with one. Every layer carries for each of its characters the span of the original
 text it came from, so a hit in any layer is reported in code points of the
 original. The worklist ends at a fixpoint: a layer whose content and place were
 seen before is not taken again, and every unwrapping is shorter than what it
@@ -18,11 +20,11 @@ empty list); repeated rows are scanned each.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
 from collections import deque
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,6 +40,11 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})"
                       r"|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)+={0,2}")
+SHORTEST = 12  # "token:" and 6 more
+_PRINTABLE = re.compile("[^\x00-\x08\x0E-\x1F\x7F\udc80-\udcff]{%d,}" % SHORTEST)
+_HEAD = re.compile(b"|".join([rb"\x1f\x8b\x08", *(re.escape(bytes([a, b])) for a in range(8, 128, 16) for b in range(256)
+                                                  if (a << 8 | b) % 31 == 0 and not b & 32)]))  # gzip, zlib
 MAX_INFLATED = 16 << 20
 
 
@@ -115,42 +122,59 @@ def _unwrap_unicode(layer: _Layer) -> _Layer | None:
 
 
 def _inflated(raw: bytes) -> bytes | None:
-    if not (raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    try:
-        d = zlib.decompressobj(47)  # zlib or gzip, by its head
-        out = d.decompress(raw, MAX_INFLATED)
-    except zlib.error:
-        return None
-    return out if d.eof else None
-
-
-def _printable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0E-\x1F\x7F]", text) else None
+    """What the stream inflates to, and streams in it, until nothing inflates."""
+    seen, found = set(), None
+    while _HEAD.match(raw) and (key := hashlib.blake2b(raw, digest_size=16).digest()) not in seen:
+        seen.add(key)
+        try:
+            d = zlib.decompressobj(47)  # zlib or gzip, by its head
+            out = d.decompress(raw, MAX_INFLATED)
+        except zlib.error:
+            break
+        if not d.eof:
+            break
+        raw = found = out
+    return found
+
+
+def _stretches(raw: bytes):
+    """Printable UTF-8 stretches, each with the byte spans of its characters."""
+    text = raw.decode("utf-8", "surrogateescape")
+    ends = None
+    for m in _PRINTABLE.finditer(text):
+        if ends is None:
+            point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            width = 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000).astype(np.int64)
+            width[(point >= 0xDC80) & (point <= 0xDCFF)] = 1
+            ends = np.cumsum(width)
+        yield m[0], (ends - width)[m.start():m.end()], ends[m.start():m.end()]
 
 
 def _unwrap_base64(layer: _Layer):
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        run = run[:len(run) - (len(run) % 4 == 1)]
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        text, spans = _printable(raw), None
-        if text is not None:  # 3 bytes from every 4 letters
-            spans = [(m.start() + a // 3 * 4, min(m.end(), m.start() + -(-b // 3) * 4)) for _, a, b in _chars(raw)]
-        elif (more := _inflated(raw)) is not None and (text := _printable(more)) is not None:
-            spans = [(m.start(), m.end())] * len(text)
-        if text is None:
-            continue
-        a = np.array([s for s, _ in spans], np.int64)
-        b = np.array([e - 1 for _, e in spans], np.int64)
-        yield _Layer(text, layer.lo[a], layer.hi[b], np.ones(len(text), bool))
+    joined = list(_WRAPPED.finditer(layer.text))
+    for m in chain(joined, _BASE64.finditer(layer.text)):
+        chars = re.sub(r"[\r\n]", "", m[0])
+        run, place = chars.rstrip("=").replace("-", "+").replace("_", "/"), None
+        for skip in range(4):
+            part = run[skip:]
+            part = part[:len(part) - (len(part) % 4 == 1)]
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            for text, a, b in _stretches(raw):  # 3 bytes from every 4 letters
+                place = _places(m) if place is None else place
+                yield _Layer(text, layer.lo[place[skip + a // 3 * 4]],
+                             layer.hi[place[np.minimum(len(chars), skip - (-b // 3) * 4) - 1]], np.ones(len(text), bool))
+            for head in _HEAD.finditer(raw):
+                more = _inflated(raw[head.start():])
+                for text, _, _ in _stretches(more or b""):
+                    place = _places(m) if place is None else place
+                    yield _Layer(text, np.broadcast_to(layer.lo[place[skip + head.start() // 3 * 4]], len(text)),
+                                 np.broadcast_to(layer.hi[place[-1]], len(text)), np.ones(len(text), bool))
+
+
+def _places(m: re.Match) -> np.ndarray:
+    """Where the letters of a base64 run, without line ends, are in the layer."""
+    code = np.frombuffer(m[0].encode(), np.uint8)
+    return m.start() + np.flatnonzero((code != 10) & (code != 13))
 
 
 _HINT = re.compile(r"%[0-9A-Fa-f]{2}|\\u|\\x|&#|[A-Za-z0-9+/_-]{16}")

@@ -317,3 +317,17 @@ def test_streams_in_streams_prefixed_and_wrapped_base64():
     flat = base64.b64encode(b"x" * 40 + b"password=abcdefghij" + b"!" * 20).decode()
     text = flat[:64] + "\n" + flat[64:]
     assert any(b > 65 > a for a, b, _ in secrets.find(text)[1])  # across the line end
+
+
+def test_large_and_cut_off_streams_are_scanned():
+    filler = b"all work and no play " * 900_000  # 18.9 MB
+    nested = b" see " + base64.b64encode(gzip.compress(SECRET.encode())) + b" there "
+    for data in (filler + SECRET.encode(), filler[:(1 << 20) - 10] + SECRET.encode() + filler, filler + nested):
+        inner = base64.b64encode(zlib.compress(data)).decode()
+        assert hidden(f"see {inner} there", inner)
+    noise = random.Random(2).randbytes(3000).hex().upper().encode()
+    whole = gzip.compress(SECRET.encode() + b" " + noise)
+    cut, damaged = whole[:len(whole) // 2], whole[:-1000] + bytes(1000)
+    for data in (cut, damaged):
+        inner = base64.b64encode(data).decode()
+        assert hidden(f"see {inner} there", inner)

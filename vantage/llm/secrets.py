@@ -9,8 +9,11 @@ Stretches of fewer than ``SHORTEST`` characters hold no secret and no layer with
 text it came from, so a hit in any layer is reported in code points of the
 original. The worklist ends at a fixpoint: a layer whose content and place were
 seen before is not taken again, and every unwrapping is shorter than what it
-unwraps, apart from inflation, which is held to ``MAX_INFLATED`` characters a
-layer (a bound against decompression bombs; a larger stream is left unread).
+unwraps, apart from inflation. A stream of any size is inflated and scanned to its end, in
+parts of about ``PART`` bytes with an overlap of ``OVERLAP``, as all its hits have the span of
+the stream; a base64 run in it that goes on at the end of a part is kept whole up to ``OPEN``
+bytes (beyond, its parts are taken for themselves). A stream that is cut off or damaged
+gives what was inflated by then. Only one part a layer is held at a time.
 
 A hit of a decoded layer is added if it covers a decoded character and is not
 a span already found. Defined cases: null and empty texts have no spans (count 0,
@@ -23,6 +26,7 @@ import base64
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
 from itertools import chain
 
@@ -41,11 +45,12 @@ _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\x([
                       r"|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)+={0,2}")
+_RUN = b"\r\n=+/_-" + bytes(c for c in range(128) if chr(c).isalnum())
 SHORTEST = 12  # "token:" and 6 more
 _PRINTABLE = re.compile("[^\x00-\x08\x0E-\x1F\x7F\udc80-\udcff]{%d,}" % SHORTEST)
 _HEAD = re.compile(b"|".join([rb"\x1f\x8b\x08", *(re.escape(bytes([a, b])) for a in range(8, 128, 16) for b in range(256)
                                                   if (a << 8 | b) % 31 == 0 and not b & 32)]))  # gzip, zlib
-MAX_INFLATED = 16 << 20
+PART, OVERLAP, OPEN = 1 << 20, 1 << 12, 16 << 20
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -121,20 +126,61 @@ def _unwrap_unicode(layer: _Layer) -> _Layer | None:
     return _replaced(layer, pieces) if pieces else None
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """What the stream inflates to, and streams in it, until nothing inflates."""
-    seen, found = set(), None
-    while _HEAD.match(raw) and (key := hashlib.blake2b(raw, digest_size=16).digest()) not in seen:
+def _inflate(chunks, state: dict):
+    """What a zlib or gzip stream inflates to, piece by piece; ``state`` tells how it ended."""
+    d = zlib.decompressobj(47)  # zlib or gzip, by its head
+    try:
+        for c in chunks:
+            for i in range(0, len(c), 256):  # small steps: damage costs no more than one
+                rest = c[i:i + 256]
+                while True:
+                    out = d.decompress(rest, 1 << 16)
+                    rest = d.unconsumed_tail
+                    if out:
+                        yield out
+                    if d.eof:
+                        state["end"] = True
+                        return
+                    if not rest and len(out) < 1 << 16:
+                        break
+    except zlib.error:
+        state["damaged"] = True
+
+
+def _inflated(raw: memoryview):
+    """The pieces that a stream inflates to, and streams in it, until nothing inflates."""
+    chunks, seen = _inflate([raw], {}), set()
+    while True:
+        head = b""
+        for c in chunks:
+            head += c
+            if len(head) >= OVERLAP:
+                break
+        chunks = chain([head], chunks)
+        state, key = {}, hashlib.blake2b(head[:OVERLAP], digest_size=16).digest()
+        if not _HEAD.match(head) or key in seen or not any(_inflate([head], state)) or "damaged" in state:
+            return chunks
         seen.add(key)
-        try:
-            d = zlib.decompressobj(47)  # zlib or gzip, by its head
-            out = d.decompress(raw, MAX_INFLATED)
-        except zlib.error:
-            break
-        if not d.eof:
-            break
-        raw = found = out
-    return found
+        chunks = _inflate(chunks, {})
+
+
+def _parts(chunks):
+    """The pieces put together to parts that overlap and do not end in a base64 run."""
+    held, due = bytearray(), PART
+    for c in chunks:
+        held += c
+        if len(held) < due:
+            continue
+        cut = len(held.rstrip(_RUN))
+        if len(held) - cut >= OPEN:
+            cut = len(held)
+        if cut > OVERLAP:
+            yield bytes(held[:cut])
+            del held[:cut - OVERLAP]
+            due = len(held) + PART
+        else:
+            due = 2 * len(held)
+    yield bytes(held)
 
 
 def _stretches(raw: bytes):
@@ -152,7 +198,10 @@ def _stretches(raw: bytes):
 
 def _unwrap_base64(layer: _Layer):
     joined = list(_WRAPPED.finditer(layer.text))
+    ends, spans = [j.end() for j in joined], {j.span() for j in joined}
     for m in chain(joined, _BASE64.finditer(layer.text)):
+        at = bisect_right(ends, m.start())
+        in_block = m.span() not in spans and at < len(joined) and joined[at].start() <= m.start()
         chars = re.sub(r"[\r\n]", "", m[0])
         run, place = chars.rstrip("=").replace("-", "+").replace("_", "/"), None
         for skip in range(4):
@@ -164,8 +213,13 @@ def _unwrap_base64(layer: _Layer):
                 yield _Layer(text, layer.lo[place[skip + a // 3 * 4]],
                              layer.hi[place[np.minimum(len(chars), skip - (-b // 3) * 4) - 1]], np.ones(len(text), bool))
             for head in _HEAD.finditer(raw):
-                more = _inflated(raw[head.start():])
-                for text, _, _ in _stretches(more or b""):
+                stream = memoryview(raw)[head.start():]
+                if in_block:  # a stream that ends with its line; others are read from the joined lines
+                    state = {}
+                    deque(_inflate([stream], state), 0)
+                    if "end" not in state:
+                        continue
+                for text, _, _ in chain.from_iterable(map(_stretches, _parts(_inflated(stream)))):
                     place = _places(m) if place is None else place
                     yield _Layer(text, np.broadcast_to(layer.lo[place[skip + head.start() // 3 * 4]], len(text)),
                                  np.broadcast_to(layer.hi[place[-1]], len(text)), np.ones(len(text), bool))
@@ -180,6 +234,13 @@ def _places(m: re.Match) -> np.ndarray:
 _HINT = re.compile(r"%[0-9A-Fa-f]{2}|\\u|\\x|&#|[A-Za-z0-9+/_-]{16}")
 
 
+def _unwrapped(layer: _Layer):
+    for nxt in (_unwrap_url(layer), _unwrap_unicode(layer)):
+        if nxt is not None and nxt.text:
+            yield nxt
+    yield from _unwrap_base64(layer)
+
+
 def find(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans with those of decoded layers, in order."""
     order = {k: i for i, k in enumerate(KINDS)}
@@ -193,21 +254,21 @@ def find(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
         return sort(base), sort(base)
     spans = set(base)
     whole = np.arange(len(text), dtype=np.int64)
-    seen, work = set(), deque([_Layer(text, whole, whole + 1, np.zeros(len(text), bool))])
-    while work:
-        layer = work.popleft()
-        for nxt in (_unwrap_url(layer), _unwrap_unicode(layer), *_unwrap_base64(layer)):
-            if nxt is None or not nxt.text:
-                continue
-            key = (hashlib.blake2b(nxt.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(),
-                   int(nxt.lo[0]), int(nxt.hi[-1]))
-            if key in seen:
-                continue
-            seen.add(key)
-            work.append(nxt)
-            for a, b, kind in scan(nxt.text):
-                if nxt.new[a:b].any():
-                    spans.add((int(nxt.lo[a:b].min()), int(nxt.hi[a:b].max()), kind))
+    seen, work = set(), [_unwrapped(_Layer(text, whole, whole + 1, np.zeros(len(text), bool)))]
+    while work:  # the newest layer first: a layer's parts are made one by one
+        nxt = next(work[-1], None)
+        if nxt is None:
+            work.pop()
+            continue
+        key = (hashlib.blake2b(nxt.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(),
+               int(nxt.lo[0]), int(nxt.hi[-1]))
+        if key in seen:
+            continue
+        seen.add(key)
+        work.append(_unwrapped(nxt))
+        for a, b, kind in scan(nxt.text):
+            if nxt.new[a:b].any():
+                spans.add((int(nxt.lo[a:b].min()), int(nxt.hi[a:b].max()), kind))
     return sort(base), sort(spans)
 
 

@@ -331,3 +331,12 @@ def test_large_and_cut_off_streams_are_scanned():
     for data in (cut, damaged):
         inner = base64.b64encode(data).decode()
         assert hidden(f"see {inner} there", inner)
+
+
+def test_decontamination_stage_decides_by_row(spark, tmp):
+    item = " ".join(f"i{k}" for k in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp}/benchmark.parquet")
+    rows = [(None, "a " + item), (None, "clean"), (7, item + " b"), (7, "clean too"), (8, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.stage(spark, docs, tmp).collect()
+    assert {tuple(r) for r in got} == {(None, "clean"), (7, "clean too"), (8, None), (None, None)} and len(got) == 4

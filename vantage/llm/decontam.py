@@ -229,7 +229,9 @@ def op5_decontam(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: documents that contain a benchmark item go."""
-    hits = saved(contaminated(docs, table(spark, sf_dir, "benchmark")).where("doc_id IS NOT NULL")
-                 .select("doc_id").distinct(), "op5-hits")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents that contain a benchmark item go, each by its own text
+    (known by its SHA-256), whatever its id: null ids and repeated ids too."""
+    key = F.sha2(F.col("text").cast("binary"), 256)
+    hits = saved(contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+                 .select(F.col("doc_id").alias("text_key")).distinct(), "op5-hits")
+    return docs.join(hits, key == F.col("text_key"), "left_anti").select(*docs.columns)

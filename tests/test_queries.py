@@ -3,8 +3,10 @@
 import datetime as dt
 import decimal
 import math
+import shutil
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 from conftest import SF
@@ -55,3 +57,11 @@ def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["r_name", "n_name", "n_lines", "revenue"]
     assert df.count() > 0
+
+
+def test_bucketed_join_sees_changed_files(spark, tmp):
+    shutil.copytree(SF, f"{tmp}/sf")
+    run = queries()["bucketed_join"]
+    before = sum(r.n_lines for r in run(spark, f"{tmp}/sf").collect())
+    pq.write_table(pq.read_table(f"{SF}/lineitem.parquet").slice(0, 10), f"{tmp}/sf/lineitem.parquet")
+    assert sum(r.n_lines for r in run(spark, f"{tmp}/sf").collect()) == 10 < before

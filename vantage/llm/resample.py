@@ -55,9 +55,8 @@ class Buckets(dict):
     def of(self, text: bytes | None, longest: int) -> tuple[int, np.ndarray]:
         """Number of words, and the bucket of every feature of a text."""
         ws = text.translate(_FOLD).split() if text else []
-        runs = [ws, *([b" ".join(ws[i:i + k]) for i in range(len(ws) - k + 1)] for k in range(2, longest + 1))]
-        n = sum(map(len, runs))
-        return len(ws), np.fromiter((self[f] for run in runs for f in run), np.int64, n)
+        found = ws + [b" ".join(ws[i:i + k]) for k in range(2, longest + 1) for i in range(len(ws) - k + 1)]
+        return len(ws), np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
 
 def bucket_counts(texts: DataFrame, longest: int = 1) -> np.ndarray:
@@ -68,8 +67,9 @@ def bucket_counts(texts: DataFrame, longest: int = 1) -> np.ndarray:
         import pyarrow as pa
         seen, sums = Buckets(), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for t in b.column(0):
-                sums += np.bincount(seen.of(t.as_py(), longest)[1], minlength=BUCKETS)
+            for i in range(0, b.num_rows, 100):
+                found = [seen.of(t, longest)[1] for t in b.column(0)[i:i + 100].to_pylist()]
+                sums += np.bincount(np.concatenate(found), minlength=BUCKETS)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["bucket", "n"])
     got = (texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "bucket long, n long")

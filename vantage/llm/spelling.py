@@ -2,10 +2,12 @@
 
 Two words are near if one inserted, deleted or replaced code point turns one into the other.
 Of a pair, the shorter word (of two equally long ones the smaller) contributes two disjoint
-chunks of half its length q, at 0 and at q; the other contributes all its
-positional grams of the lengths q that words one shorter or equally long have. One edit touches at
-most one of two disjoint chunks, and what it leaves moves by at most one place: the words
-meet in a join on (q, chunk) with positions at most one apart. The exact test, Spark's
+chunks of half its length q, at 0 and at q; the other contributes its
+positional grams of the lengths q that words one shorter and equally long have. One edit leaves one of
+two disjoint chunks whole: in place if the edit comes behind it, moved by at most one place
+if before it, so that of all positional grams those count that lie so to a chunk's beginning. The same
+holds within the damaged half, of whose two halves one is whole too: it joins the key, and
+words meet that share three quarters of their letters at their places. The exact test, Spark's
 ``levenshtein`` on code points, is part of that join, so it makes rows for near words only.
 
 A word's form is its near word of the largest count, if that is ``ratio`` times its own count; forms have
@@ -13,7 +15,7 @@ ever larger counts, and following them ends at the root. Following is done by do
 each round every root is replaced by its own root.
 
 Words and counts come from whole texts (a Python pass that sums per batch); everything after is DataFrame
-joins and sums. Groups of the join: words that share half their letters at a place; AQE splits
+joins and sums. Groups of the join are words that share three quarters of their letters; AQE splits
 large ones. Words of one group of variants are at most one edit from
 their hub, so no hub has more neighbours than a word has variants.
 
@@ -71,21 +73,28 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """``a, n_a, b, n_b``: every pair of near words of ``words`` (word, n) once; ``a`` is the shorter, or the
-    smaller of two equally long ones. Words have two code points at least."""
-    size = F.length("word")
-    half = F.expr("length(word) div 2")
-    chunks = (words.withColumn("q", half).withColumn("size", size)
-              .withColumn("at", F.explode(F.array(F.lit(0), "q")))
-              .select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("size").alias("size_a"), "q",
-                      F.expr("substring(word, at + 1, q)").alias("part"), F.col("at").alias("at_a")))
-    grams = (words.withColumn("size", size)
-             .withColumn("q", F.explode(F.array_distinct(F.array(F.expr("(size - 1) div 2"), F.expr("size div 2")))))
-             .where("q > 0").withColumn("at", F.explode(F.expr("sequence(0, size - q)")))
-             .select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("size").alias("size_b"), "q",
-                     F.expr("substring(word, at + 1, q)").alias("part"), F.col("at").alias("at_b")))
-    near = ("(size_b = size_a + 1 OR size_b = size_a AND a < b) AND abs(at_b - at_a) <= 1 "
-            "AND levenshtein(a, b, 1) = 1")
-    return chunks.join(grams, ["q", "part"]).where(near).select("a", "n_a", "b", "n_b").distinct()
+    smaller of two equally long ones. Words have three code points at least."""
+    sized = words.withColumn("size", F.length("word"))
+    # beside chunk 0 the rest is [q, q + r) and [q + r, size); beside chunk q it is [0, r) and [r, q)
+    cut = "IF(at_a = 0, q + (size_a - q) div 2, q div 2)"
+    left, right = "IF(at_a = 0, q, 0)", "IF(at_a = 0, size_a, q)"
+    chunks = (sized.withColumnRenamed("size", "size_a").withColumn("q", F.expr("size_a div 2"))
+              .withColumn("at_a", F.explode(F.array(F.lit(0), "q"))).withColumn("part", F.expr("substring(word, at_a + 1, q)"))
+              .withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+              .withColumn("rest", F.expr(f"IF(half = 0, substring(word, {left} + 1, {cut} - {left}), substring(word, {cut} + 1, {right} - {cut}))"))
+              .select("size_a", "at_a", "part", "half", "rest", F.col("word").alias("a"), F.col("n").alias("n_a")))
+    grams = (sized.withColumn("longer", F.explode(F.array(F.lit(0), F.lit(1))))
+             .withColumn("size_a", F.expr("size - longer")).withColumn("q", F.expr("size_a div 2"))
+             .withColumn("at", F.explode(F.expr("sequence(0, size - q)")))
+             # what stands before the edit stays in place, what stands behind it moves on in the longer word
+             .withColumn("at_a", F.explode(F.expr("filter(array(0, q), s -> at = IF(s = 0, 0, s + longer))")))
+             .withColumn("part", F.expr("substring(word, at + 1, q)"))
+             .withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+             .withColumn("rest", F.expr(f"IF(half = 0, substring(word, {left} + 1, {cut} - {left}), "
+                                        f"substring(word, {cut} + longer + 1, {right} - {cut}))"))
+             .select("size_a", "at_a", "part", "half", "rest", F.col("word").alias("b"), F.col("n").alias("n_b"), "longer"))
+    near = "(longer = 1 OR a < b) AND levenshtein(a, b, 1) = 1"
+    return chunks.join(grams, ["size_a", "at_a", "part", "half", "rest"]).where(near).select("a", "n_a", "b", "n_b").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:

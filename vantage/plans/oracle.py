@@ -72,6 +72,9 @@ ORACLE_SQL = {
     "structure": _structure(),
     "register_connection": _counts("uploads", "parquet", ("orders", "nation")),
     "diagnose": _diagnose(),
+    "diagnose_files": " UNION ALL ".join(
+        f"SELECT 'warehouse' AS connection, '{t}' AS \"table\", '{t}.parquet' AS file, true AS ok, 'ok' AS message, "
+        f"COUNT(*) AS n_rows FROM {t}" for t in ALL_TABLES),
     "null_fill": f"SELECT o_orderkey, COALESCE({_NULLIF}, 'Null') AS o_orderstatus FROM orders",
     "flatten_one_level": _FLAT,
     "flatten_full": _FLAT,

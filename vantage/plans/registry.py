@@ -148,6 +148,14 @@ def register_connection(spark, sf_dir):
     return with_row_counts(spark, only).select("connection", "source", "table", "n_rows")
 
 
+def diagnose_files(spark, sf_dir):
+    """C9 by file: every column of every file of every given table is read; a row a
+    file says whether it is whole, and how many rows it gave."""
+    from vantage.operators.health import diagnose_files as _diagnose_files
+    found = _diagnose_files(warehouse(spark, sf_dir))
+    return found.select("connection", "table", F.element_at(F.split("file", "/"), -1).alias("file"), "ok", "message", "n_rows")
+
+
 def diagnose(spark, sf_dir):
     from vantage.operators.health import diagnose as _diagnose
     cat = warehouse(spark, sf_dir, TPCH)
@@ -462,6 +470,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "structure": structure,
     "register_connection": register_connection,
     "diagnose": diagnose,
+    "diagnose_files": diagnose_files,
     "null_fill": null_fill,
     "flatten_one_level": flatten_one_level,
     "flatten_full": flatten_full,

@@ -105,8 +105,13 @@ class Connection:
 class Catalog:
     """Registry of connections plus their materialised tables."""
 
-    def __init__(self, spark: SparkSession, connections: Iterable[Connection] = ()):
+    def __init__(self, spark: SparkSession, connections: Iterable[Connection] = (), snapshots: str | None = None):
+        """``snapshots``: ``fresh`` reads a table's newest version in the shared folder while its source is
+        unchanged, ``any`` whatever the source is now, None never."""
+        if snapshots not in (None, "fresh", "any"):
+            raise ValueError("snapshots must be 'fresh', 'any' or None")
         self.spark = spark
+        self.snapshots = snapshots
         self._conns: dict[str, Connection] = {}
         self._materialised: dict[tuple[str, str], str] = {}
         # Resolved scans keyed by the registration: a DataFrame keeps its file
@@ -118,7 +123,7 @@ class Catalog:
 
     def fork(self) -> "Catalog":
         """A copy that shares the resolved scans; changes to it stay its own."""
-        other = Catalog(self.spark)
+        other = Catalog(self.spark, snapshots=self.snapshots)
         other._conns = dict(self._conns)
         other._materialised = dict(self._materialised)
         other._frames = self._frames  # keyed by registration: safe to share
@@ -225,6 +230,11 @@ class Catalog:
         if prefer_materialised and key in self._materialised and not read_options:
             from vantage.operators.sinks import read_materialised
             return read_materialised(self.spark, self._materialised[key])
+        if prefer_materialised and self.snapshots and not read_options:
+            from vantage.operators import snapshots
+            newest = snapshots.latest(self.spark, snapshots.folder_of(self.spark, connection, table))
+            if newest and (self.snapshots == "any" or not snapshots.is_stale(self, connection, table)):
+                return newest.read()
         from vantage import sources
         conn = self.connection(connection)
         if conn.is_file and table not in conn.file_tables():

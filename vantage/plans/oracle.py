@@ -118,6 +118,9 @@ ORACLE_SQL = {
     "materialise_structure": _structure(),
     "export_csv": "SELECT * FROM orders",
     "export_documents_csv": "SELECT * FROM documents",
+    "snapshot_refresh": (
+        "SELECT 1 AS version, o_orderkey, o_orderstatus, o_totalprice FROM orders UNION ALL "
+        "SELECT 2, o_orderkey, o_orderstatus, o_totalprice + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END FROM orders"),
     "create_from_join": (
         "SELECT o.o_orderkey, o.o_totalprice, c.c_name, c.c_mktsegment FROM orders o "
         "JOIN customer c ON o.o_custkey = c.c_custkey"),

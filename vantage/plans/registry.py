@@ -7,6 +7,7 @@ shared folder) in full; none runs on made-up input.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -428,6 +429,26 @@ def export_parquet_json(spark, sf_dir):
     return back_pq.unionByName(back_js)
 
 
+def snapshot_refresh(spark, sf_dir):
+    """K1 / S8 with versions: orders in a folder of three files' worth, copied; then the files of the pending
+    orders are replaced (prices one higher) and the copy is refreshed. Rows of both versions."""
+    from vantage.operators import snapshots
+    name = "landed_" + uuid.uuid4().hex[:8]  # a source of its own per call
+    root = shared_path(spark, "staged") + "/orders"
+    cat = warehouse(spark, sf_dir)
+    orders = cat.scan("warehouse", "orders")
+    sinks.export(orders, root, fmt="parquet", partition_by="o_orderstatus")
+    cat.register(name, "parquet", files=[root])
+    first = snapshots.refresh(cat, name, "orders")
+    pending = orders.where("o_orderstatus = 'P'").drop("o_orderstatus")
+    sinks.export(pending.withColumn("o_totalprice", F.col("o_totalprice") + 1), root + "/o_orderstatus=P", fmt="parquet")
+    second = snapshots.refresh(cat, name, "orders")
+
+    def of(version):
+        return version.read().select(F.lit(version.number).alias("version"), "o_orderkey", "o_orderstatus", "o_totalprice")
+    return of(first).unionByName(of(second))
+
+
 _BUCKETED: dict[tuple, Catalog] = {}
 
 
@@ -513,6 +534,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_csv": export_csv,
     "export_documents_csv": export_documents_csv,
     "bucketed_join": bucketed_join,
+    "snapshot_refresh": snapshot_refresh,
     "create_from_join": create_from_join,
 }
 for _name in WORKSHEET_SQL:

@@ -54,7 +54,7 @@ def derby(spark):
                  preferTimestampNTZ="true",
                  partitions={"ORDERS": {"column": "o_orderkey", "num": 4}})
     o = spark.read.parquet(f"{SF}/orders.parquet")
-    jdbc.append(o, cat.connection("db"), "ORDERS",
+    jdbc.append(o, cat.connection("db"), "ORDERS", once=False,
                 column_types="o_orderstatus VARCHAR(1), o_orderpriority VARCHAR(20)")
     return cat
 

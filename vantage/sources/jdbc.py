@@ -1,21 +1,23 @@
 """JDBC sources: SQL Server (S4), Snowflake (S5), Postgres (S9), generic JDBC
 (Derby in the tests); table and column listing (C3-C5); append sink (K5).
 
-Reads are partitioned (``partitionColumn``/bounds/``numPartitions``) when the
-connection names a partition column, and always keep the table a lazy
+Reads are split into tasks of equally many rows (``splits``), by the column that the connection
+names or else by a key of the table, or into equal ranges between bounds that the connection
+states. They always keep the table a lazy
 DataFrame so Spark pushes filters and the projection into the database query.
 Listings are one metadata query per connection, not one per table.
 """
 
 from __future__ import annotations
 
-import logging
+import uuid
 from typing import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.session import env_secret
+from vantage.sources import jdbc_append, splits
 
 DRIVERS = {
     "sqlserver": "com.microsoft.sqlserver.jdbc.SQLServerDriver",
@@ -90,31 +92,29 @@ def snowflake_connector_options(conn, table: str) -> dict[str, str]:
 def read_table(spark: SparkSession, conn, table: str, partition_column: str | None = None,
                lower_bound=None, upper_bound=None, num_partitions: int | None = None,
                **options) -> DataFrame:
-    """``dbtable`` scan, parallel when a numeric/date partition column is given
-    (connection option ``partitions: {table: {column, lower, upper, num}}`` or args)."""
+    """``dbtable`` scan in several tasks (connection option ``partitions: {table: {column, lower, upper,
+    num}}`` or args): equal ranges where both bounds are stated, else equal numbers of rows."""
     if conn.source == "snowflake" and conn.options.get("connector") == "spark":
         return (spark.read.format("snowflake")
                 .options(**snowflake_connector_options(conn, table)).load())
-    opts = base_options(conn)
-    opts["dbtable"] = qualified(conn, table)
+    opts = table_options(conn, table) | {k: str(v) for k, v in options.items()}
     part = dict(conn.options.get("partitions", {}).get(table, {}))
-    partition_column = partition_column or part.get("column")
-    if partition_column:
-        partition_column = _exact_column(spark, opts, partition_column)
-        lower_bound = part.get("lower") if lower_bound is None else lower_bound
-        upper_bound = part.get("upper") if upper_bound is None else upper_bound
-        num_partitions = num_partitions or part.get("num", 8)
-        if lower_bound is None or upper_bound is None:
-            lower_bound, upper_bound = _bounds(spark, opts, partition_column)
-        opts.update(partitionColumn=partition_column, lowerBound=str(lower_bound),
-                    upperBound=str(upper_bound), numPartitions=str(num_partitions))
-    else:
-        logging.getLogger(__name__).warning(
-            "%s.%s is read by a single task: name a partition column for it (partitions)", conn.name, table)
-    opts.update({k: str(v) for k, v in options.items()})
+    column = partition_column or part.get("column")
+    lower = part.get("lower") if lower_bound is None else lower_bound
+    upper = part.get("upper") if upper_bound is None else upper_bound
+    tasks = num_partitions or part.get("num")
+    if column:
+        column = _exact_column(spark, opts, column)
+    if column is None or lower is None or upper is None:
+        return splits.read_split(spark, conn, table, opts, column, tasks)
+    opts.update(partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(tasks or 8))
     return spark.read.format("jdbc").options(**opts).load()
 
 
+def table_options(conn, table: str) -> dict[str, str]:
+    return base_options(conn) | {"dbtable": qualified(conn, table)}
+
+
 def _exact_column(spark: SparkSession, opts: Mapping[str, str], column: str) -> str:
     """The column's name as the database spells it (schema only, no rows read)."""
     names = spark.read.format("jdbc").options(**opts).load().columns
@@ -127,17 +127,6 @@ def _exact_column(spark: SparkSession, opts: Mapping[str, str], column: str) ->
     raise KeyError(f"no column {column!r} in {opts['dbtable']}; columns are {names}")
 
 
-def _bounds(spark: SparkSession, opts: Mapping[str, str], column: str):
-    """Bounds by one aggregate pushed to the database (a single-row result)."""
-    q = dict(opts)
-    q.pop("dbtable")
-    quoted = '"' + column.replace('"', '""') + '"'
-    q["query"] = f"SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {opts['dbtable']}"
-    row = spark.read.format("jdbc").options(**q).load().first()
-    lo, hi = row[0], row[1]  # by position: databases differ in alias case
-    return (0 if lo is None else lo), (0 if hi is None else hi)
-
-
 # -- listing (C3-C5) ----------------------------------------------------------
 
 def _tables_sql(conn) -> str:
@@ -192,7 +181,8 @@ def list_columns(spark: SparkSession, conn) -> DataFrame:
         from vantage.catalog import COLUMNS_SCHEMA, _schema_rows
         rows = []
         for t in table_names(spark, conn):
-            rows.extend(_schema_rows(conn.name, t, read_table(spark, conn, t).schema))
+            schema = spark.read.format("jdbc").options(**table_options(conn, t)).load().schema
+            rows.extend(_schema_rows(conn.name, t, schema))
         return spark.createDataFrame(rows, COLUMNS_SCHEMA)
     df = _query(spark, conn, sql)
     cols = {c.upper(): c for c in df.columns}
@@ -211,13 +201,19 @@ def list_columns(spark: SparkSession, conn) -> DataFrame:
 # -- sink (K5) -----------------------------------------------------------------
 
 def append(df: DataFrame, conn, table: str, num_partitions: int | None = None,
-           batchsize: int = 10000, column_types: str | None = None) -> None:
-    """Distributed append: each task inserts its partition in batches.
-    ``num_partitions`` caps concurrent connections to the database."""
-    opts = base_options(conn)
-    opts.update(dbtable=qualified(conn, table), batchsize=str(batchsize))
-    if column_types:
-        opts["createTableColumnTypes"] = column_types
+           batchsize: int = 10000, column_types: str | None = None, once: bool = True, job: str | None = None) -> bool:
+    """Distributed append: each task inserts its partition in batches. ``num_partitions`` caps
+    concurrent connections to the database. ``once`` goes through a staging table and a ledger
+    (``jdbc_append``): no task and no rerun of the same ``job`` appends twice; false if the ledger had the
+    job. Without it, rows go straight into the table, and a task lost after its commit appends again."""
+    opts = base_options(conn) | {"batchsize": str(batchsize)}
     if num_partitions:
         opts["numPartitions"] = str(num_partitions)
+    if once:
+        return jdbc_append.append_once(df, opts, qualified(conn, table), job or uuid.uuid4().hex,
+                                       qualified(conn, jdbc_append.LEDGER), column_types)
+    opts["dbtable"] = qualified(conn, table)
+    if column_types:
+        opts["createTableColumnTypes"] = column_types
     df.write.format("jdbc").options(**opts).mode("append").save()
+    return True

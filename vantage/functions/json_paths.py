@@ -72,6 +72,7 @@ def _may_hold(column: str, target: str, match: str) -> str:
 def _walker(target: str, match: str, ignore_keys: Sequence[str], depth: int | None, reject: bool):
     """An Arrow function from JSON texts to arrays of (path, JSON text) of the matching entries."""
     ignored, most = frozenset(ignore_keys), depth if depth is not None else 1 << 30
+    loose, segments, anywhere, dotted = match == "string_suffix", match == "suffix", match != "exact", "." + target
 
     @F.arrow_udf("array<struct<path: string, js: string>>")
     def walk(texts: pa.Array) -> pa.Array:
@@ -90,13 +91,6 @@ def _walker(target: str, match: str, ignore_keys: Sequence[str], depth: int | No
         def constant(name):
             raise ValueError(name)  # NaN and Infinity are no JSON
 
-        def hits(path):
-            if path is None:
-                return False
-            if match == "exact":
-                return path == target
-            return path.endswith(target) and (match == "string_suffix" or path == target or path.endswith("." + target))
-
         def text(value):
             if type(value) is int:
                 return str(value)
@@ -114,19 +108,20 @@ def _walker(target: str, match: str, ignore_keys: Sequence[str], depth: int | No
                 path, node, level = open_nodes.pop()
                 if level >= most:
                     continue
-                if type(node) is list:
-                    open_nodes.extend((path, x, level + 1) for x in node if type(x) in (dict, list))
+                level += 1
+                if node.__class__ is list:
+                    open_nodes += [(path, x, level) for x in node if x.__class__ is dict or x.__class__ is list]
                     continue
-                for key, value in node.items() if type(node) is dict else ():
-                    at = path if key in ignored else key if path is None else f"{path}.{key}"
-                    if hits(at):
+                for key, value in node.items() if node.__class__ is dict else ():
+                    at = path if key in ignored else key if path is None else path + "." + key
+                    if at is not None and at.endswith(target) and (loose or at == target or segments and at.endswith(dotted)):
                         paths.append(at)
                         values.append(text(value))
-                    if type(value) in (dict, list) and (
-                            match != "exact" or at is None or at == target or target.startswith(at + ".")):
-                        open_nodes.append((at, value, level + 1))
+                    if (value.__class__ is dict or value.__class__ is list) and (
+                            anywhere or at is None or at == target or target.startswith(at + ".")):
+                        open_nodes.append((at, value, level))
             ends.append(len(paths))
-        paths = [p.encode("utf-8", "replace").decode() for p in paths]  # an escape may spell half a character
+        paths = [p if p.isascii() else p.encode("utf-8", "replace").decode() for p in paths]  # an escape may spell half a character
         entries = pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.string())], names=["path", "js"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
     return walk

@@ -2,9 +2,11 @@
 
 import base64
 import gzip
+import math
 import random
 import urllib.parse
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -155,10 +157,10 @@ def test_class_model_sums_to_one():
     c = cls[np.concatenate([[0, 0], line])]
     tri = np.zeros((4, 4, 4))
     np.add.at(tri, (c[:-2], c[1:-1], c[2:]), 1)
-    model = classlm.Model(cls, tri, counts, 500, 8)
+    model = classlm.Model(tri, 500, 8, 0)
     for two in range(4):
         for one in range(4):
-            p = 10 ** (model.step[two, one, cls] + model.word)
+            p = 10 ** (model.step[two, one, cls] + np.log10(counts))
             assert abs(p.sum() + model.unknown - 1) < 1e-9
 
 
@@ -267,10 +269,71 @@ def test_class_model_gives_words_under_the_broadcast_share_their_own_class(spark
     assert many > -0.8 and abs(many - few) < 0.02  # the words in "xx" end alike, but half follow "the" and half "to"
 
 
-def test_class_and_core_counts_grow_with_the_corpus():
-    assert classlm.grown(classlm.CLASSES, 10_000) == classlm.CLASSES
-    assert classlm.grown(classlm.CLASSES, 5_000_000_000) > 3 * classlm.CLASSES
-    assert classlm.grown(classlm.CORE, 5_000_000_000) > 3 * classlm.CORE
+def lm_docs(spark, n=400):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(r.choices(words, weights=[1 / (i + 1) for i in range(300)], k=r.randint(0, 60))) + f" only{i}" * (i % 3 == 0)
+             for i in range(n)]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_class_model_does_not_depend_on_the_partitions(spark):
+    texts, docs = lm_docs(spark)
+    runs = []
+    for parts in (1, 2, 40):
+        got = classlm.score_texts(docs.repartition(parts), F.col("doc_id") % 4 != 0, 0.004, core=20, classes=8).collect()
+        runs.append({x.doc_id: x for x in got})
+    for other in runs[1:]:
+        assert other.keys() == runs[0].keys()
+        assert all(abs(x.score - runs[0][i].score) < 1e-9 and abs(x.base_score - runs[0][i].base_score) < 1e-9
+                   and x[2:4] == runs[0][i][2:4] for i, x in other.items())
+
+
+def test_class_model_counts_match_plain_python(spark):
+    texts, docs = lm_docs(spark)
+    train = Counter(w for i, t in enumerate(texts) if i % 4 for w in [*t.lower().split(), None])
+    total, distinct = sum(train.values()), len(train)
+    for x in classlm.score_texts(docs, F.col("doc_id") % 4 != 0, 0.004, core=20, classes=8).collect():
+        line = [*texts[x.doc_id].lower().split(), None]
+        base = sum(math.log10((train[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in line)
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (len(line), sum(w in train for w in line), total)
+        assert abs(x.base_score - base) < 1e-6
+
+
+def test_moves_match_a_brute_force_count(spark):
+    """Every word beyond the core, frequent and rare, goes where its own neighbours' classes fit best."""
+    texts, docs = lm_docs(spark)
+    docs = docs.select("doc_id", F.lit(False).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    classlm.ship(spark)
+    vocab = classlm.vocabulary(docs)
+    hashes, counts = classlm.HashCache(), Counter(w for t in texts for w in t.split())
+    frequent = [w for w, c in counts.items() if c >= 40]
+    end = classlm.END
+    lex = classlm.Lexicon([(hashes[w.encode()], counts[w]) for w in frequent] + [(hashes[end], len(texts))])
+    coded = classlm.encode(docs, lex)
+    k, core = 6, 15
+    name = {int(h): w for w in [*counts, end.decode()] for h in [hashes[w.encode()]]}
+    ids = {name[int(h)]: i for i, h in enumerate(lex.hashes)}
+    cls = np.array([k - 1, *(i % (k - 1) for i in range(1, lex.words))], np.int32)
+    pairs, near = np.zeros((k, k)), {}
+    for t in texts:
+        line = [end.decode(), *t.split(), end.decode()]
+        c = [int(cls[ids[w]]) if w in ids else -1 for w in line]
+        for i in range(1, len(line)):
+            if c[i - 1] >= 0 and c[i] >= 0:
+                pairs[c[i - 1], c[i]] += 1
+            if line[i] != end.decode() and not (line[i] in ids and ids[line[i]] < core):
+                row = near.setdefault(line[i], np.zeros(2 * k))
+                if c[i - 1] >= 0:
+                    row[c[i - 1]] += 1
+                if c[i + 1] >= 0:
+                    row[k + c[i + 1]] += 1
+    assert (classlm._pairs(coded, cls, k) == pairs).all()
+    fits = classlm._fits(pairs)
+    want = {w: int((row @ fits)[:k - 1].argmax()) for w, row in near.items() if row.any()}
+    got = classlm.place(classlm.neighbours(coded.repartition(7), cls, lex, k, core, True), pairs, 0).collect()
+    assert {name[r.h % (1 << 64)]: r.cls for r in got} == want
+    assert vocab.count() == len(counts) + 1
 
 
 @pytest.mark.parametrize("length", [250, 500, 1000])

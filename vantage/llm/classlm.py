@@ -10,24 +10,27 @@ model. Class transitions are counts smoothed by the next shorter history
 (``STRENGTH`` pseudo-counts), so that the probabilities of the V known words and of the unknown one
 sum to 1 after any history.
 
-Clustering. Every word with ``FEWEST`` occurrences or more has a class of its own choice
-(fewer say too little of a word's neighbours; those words are taken together by their last
-two bytes). The ``CORE`` most frequent words go through
-the exchange algorithm proper: each in turn moves to the class that gives the class bigrams
-the largest likelihood, until nothing moves. The other words that make up ``LEAST`` of the
-training tokens or more (at most 1 / LEAST of them, the bound of what is broadcast), and the
-endings, are then placed by exchange moves against the classes around them, over all
-training tokens, in ``ROUNDS`` rounds; the blocks of the corpus vote by the number
-of occurrences. The words between (``FEWEST`` occurrences, but under ``LEAST``) stay in tables
-of any size: their counts by neighbouring class are summed over the corpus, each is placed
-from its own row before the last round (``place_rare``), and the class joins the documents
-(``reclass``).
-From ``FEWEST / LEAST`` tokens on, ``CLASSES`` and ``CORE`` grow with the fourth root of the
-corpus (``grown``). Words are known by 64-bit hashes (two of a billion words fall together with
-probability 0.03).
-
-All counts cover all training documents; the vocabulary stays a table, and rare words meet
-their counts in a join. Defined cases: null and empty texts are one end token;
+Clustering. The ``CORE`` most frequent words go through the exchange algorithm proper: each in turn
+moves to the class that gives the class bigrams the largest likelihood, until nothing
+moves. Then every other word of the vocabulary, of one occurrence or of millions, makes exchange moves
+given the others' classes: its neighbours' classes are counted over the whole corpus (a table, one
+packed row a word and task, merged by word), and its own row alone decides. The frequent
+words (``LEAST`` of the training tokens or more: at most 1 / LEAST of them, the bound of what is
+broadcast) move in each of ``ROUNDS`` rounds; the others, whose classes no task could hold, stay in a table
+and move in the last round, when all frequent words have classes. Counts are integers and moves are computed
+exactly from them, so classes and scores do not depend on how the rows are partitioned.
+
+Scoring. Each (document, rare word) pair meets the word's count and class in one join, the same at every
+size; the documents are then written as one byte a token (its class) and a few sums, which is what the
+transition counts and the scores are read from.
+
+Bounded, whatever the corpus: ``CORE``, ``CLASSES``, and what is broadcast. A word that is not frequent
+gives its neighbours no evidence for their classes (it has a class in the model like any other). A word
+without evidence goes to the class of most tokens; an unknown word counts as one of the class that has
+most rare words when the words after it are scored. Words are known by 64-bit hashes (two of a billion
+words fall together with probability 0.03).
+
+All counts cover all training documents. Defined cases: null and empty texts are one end token;
 null ids do not train and are not held out; repeated rows count and are scored each; with nothing to learn
 from, every token is unknown and scores log10(1) = 0.
 """
@@ -40,13 +43,11 @@ from pyspark.sql import functions as F
 
 from .common import HashCache, ascii_words, crc_mod, flag, saved, ship, table
 
-LEAST, FEWEST, CORE, CLASSES, ROUNDS, STRENGTH = 1e-6, 20, 1000, 32, 2, 50.0
+LEAST, CORE, CLASSES, ROUNDS, STRENGTH = 1e-6, 1000, 32, 2, 50.0
 END = b"\n"  # no word holds white space
-ENDINGS = 1 << 16
-
-
-def _ending(word: bytes) -> int:
-    return word[-1] | (word[-2] << 8 if len(word) > 1 else 0)
+RARE = -1  # the id of every word that is not frequent
+UNKNOWN, OPEN = 255, 254  # class bytes: a word that training never saw; a rare word before the join
+_ENTRY = np.dtype([("side", "u1"), ("n", "<u4")])
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -63,45 +64,39 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """Ids of tokens: 0 the end, then frequent words by falling count, then endings."""
+    """Ids of the frequent tokens: 0 the end, then words by falling count (ties by hash)."""
 
     def __init__(self, frequent: list[tuple[int, int]]):
         end = HashCache()[END]
         rows = sorted(((c, h) for h, c in frequent if h % (1 << 64) != end), reverse=True)
-        h = np.array([end, *(r[1] % (1 << 64) for r in rows)], np.uint64)
-        self.order = np.argsort(h)
-        self.sorted = h[self.order]
-        self.words = len(h)
-        self.size = self.words + ENDINGS
-
-    def ids(self, h: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and which of the tokens are rare."""
+        self.hashes = np.array([end, *(r[1] % (1 << 64) for r in rows)], np.uint64)  # by id
+        self.order = np.argsort(self.hashes)
+        self.sorted = self.hashes[self.order]
+        self.words = len(self.hashes)
+        counts = {h % (1 << 64): c for h, c in frequent}
+        self.counts = np.array([counts.get(h, 0) for h in self.hashes.tolist()], np.float64)
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.sorted, h), self.words - 1)
-        known = self.sorted[at] == h
-        return np.where(known, self.order[at], self.words + endings).astype(np.int32), ~known
+        return np.where(self.sorted[at] == h, self.order[at], RARE).astype(np.int32)
 
 
 def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``row, doc_id, held_out, ids, rare``: int32 ids and the hashes of rare tokens."""
+    """``row, doc_id, held_out, ids, rare``: int32 ids, and the hashes of the rare tokens in order."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
-        hashes, lex, endings = HashCache(), shared.value, {}
+        hashes, lex = HashCache(), shared.value
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 ids, rare = [], []
                 for t in b.column(2)[i:i + 1000]:
-                    ws = ascii_words(t.as_py())
-                    ws.append(END)
-                    h = hashes.array(ws)
-                    n, r = lex.ids(h, np.zeros(len(ws), np.int32))
-                    if r.any():
-                        at = np.flatnonzero(r)
-                        n[at] += np.array([_ending(ws[j]) for j in at.tolist()], np.int32)
+                    h = hashes.array([*ascii_words(t.as_py()), END])
+                    n = lex.ids(h)
                     ids.append(n.tobytes())
-                    rare.append(h[r].tobytes())
+                    rare.append(h[n == RARE].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0)[i:i + 1000], b.column(1)[i:i + 1000], pa.array(ids, pa.binary()),
                      pa.array(rare, pa.binary())], names=["doc_id", "held_out", "ids", "rare"])
@@ -109,11 +104,11 @@ def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return saved(coded.withColumn("row", F.monotonically_increasing_id()), "op3-encoded", "zstd")
 
 
-def _line(column) -> tuple[np.ndarray, np.ndarray]:
+def _line(column, dtype=np.int32) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a block one after another, and where each document begins."""
-    parts = [np.frombuffer(x.as_buffer(), np.int32) for x in column]
+    parts = [np.frombuffer(x.as_buffer(), dtype) for x in column]
     n = np.array([len(p) for p in parts], np.int64)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), np.cumsum(n) - n
+    return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.cumsum(n) - n
 
 
 def _before(line: np.ndarray, starts: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
@@ -128,15 +123,15 @@ def _before(line: np.ndarray, starts: np.ndarray, end) -> tuple[np.ndarray, np.n
     return one, two
 
 
-def _tally(coded: DataFrame, keys, size: int, schema: str = "key long, n long") -> np.ndarray:
+def _tally(coded: DataFrame, keys, size: int, column: str = "ids", dtype=np.int32) -> np.ndarray:
     """Sums by key over all training documents; ``keys(line, starts)`` gives a block's keys,
     all below ``size``, so what comes to the driver is bounded."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            k, n = np.unique(keys(*_line(b.column(0))), return_counts=True)
+            k, n = np.unique(keys(*_line(b.column(0), dtype)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
-    got = coded.where("NOT held_out").select("ids").mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
+    got = coded.where("NOT held_out").select(column).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     got, out = got.toPandas(), np.zeros(size)
     out[got["key"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
@@ -195,103 +190,170 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 30) -> np.ndarray:
     return cls
 
 
-def _fits(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What a neighbour of each class (last: of none) says for each class of a word, by
-    class bigram counts: a neighbour before it, and one after it."""
+def _fits(pairs: np.ndarray) -> np.ndarray:
+    """What a neighbour of each class says for each class of a word, by class bigram counts: first the neighbours
+    before it, then those after it. In whole units of 2 ** -20, so that sums of them are exact in any order."""
     k = len(pairs)
     into = np.log(pairs + 0.5) - np.log(pairs.sum(1) + 0.5 * k)[:, None]  # P(c | before)
     out = into - np.log(pairs.sum(0) + 0.5 * k)[:, None]  # P(after | c), and 1 / count(c)
-    return np.vstack([into, np.zeros(k)]), np.hstack([out, np.zeros((k, 1))]).T  # -1: no evidence
+    return np.rint(np.vstack([into, out.T]) * (1 << 20))
 
 
-def place(coded: DataFrame, cls: np.ndarray, fixed: int, size: int, pairs: np.ndarray) -> np.ndarray:
-    """One round of exchange moves for ids from ``fixed`` up to ``size``, given all classes
-    (-1: none yet) and class bigram counts; blocks vote with their occurrences."""
-    k = len(pairs)
-    into, out = _fits(pairs)
-    slice_ = max(1, 50_000 * 33 // (k + 1))
-    shared = coded.sparkSession.sparkContext.broadcast((cls, into, out))
+def neighbours(coded: DataFrame, cls: np.ndarray, lexicon: Lexicon, k: int, core: int, rare: bool) -> DataFrame:
+    """``h, counts``: packed counts of the classes before (side 0 to k-1) and after (k to 2k-1) the frequent
+    words from id ``core`` on, and with ``rare`` also the rare words; a row for each block and word."""
+    shared = coded.sparkSession.sparkContext.broadcast((cls, lexicon.hashes))
 
     def run(batches):
         import pyarrow as pa
-        cls, into, out = shared.value
+        cls, hashes = shared.value
         for b in batches:
             line, starts = _line(b.column(0))
-            if not len(line):
-                continue
-            c = cls[line]
+            c = np.where(line >= 0, cls[line], -1)
             before, _ = _before(c, starts, k - 1)
             after = np.full(len(c), k - 1, c.dtype)
             after[:-1] = c[1:]
-            for lo in range(fixed, size, slice_):  # in slices of ids: bounds the tables
-                hi = min(size, lo + slice_)
-                mine = (line >= lo) & (line < hi)
-                w = line[mine].astype(np.int64) - lo
-                if not len(w):
-                    continue
-                m = (hi - lo) * (k + 1)
-                fit = np.bincount(w * (k + 1) + before[mine] % (k + 1), minlength=m).reshape(-1, k + 1) @ into
-                fit += np.bincount(w * (k + 1) + after[mine] % (k + 1), minlength=m).reshape(-1, k + 1) @ out
-                n = np.bincount(w, minlength=hi - lo)
-                fit[:, k - 1] = -np.inf  # the end's own
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at + lo, pa.int32()), pa.array(fit[at].argmax(1), pa.int32()), pa.array(n[at], pa.int64())],
-                    names=["id", "cls", "n"])
-    votes = coded.where("NOT held_out").select("ids").mapInArrow(run, "id int, cls int, n long")
-    won = (votes.groupBy("id", "cls").agg(F.sum("n").alias("n"))
-           .groupBy("id").agg(F.max_by("cls", F.struct("n", "cls")).alias("cls"))).toPandas()  # 1 / LEAST + ENDINGS at most
-    cls = cls.copy()
-    cls[won["id"].to_numpy(np.int64)] = won["cls"].to_numpy(np.int32)
-    return cls
-
-
-def place_rare(coded: DataFrame, cls: np.ndarray, words: int, pairs: np.ndarray, mid: DataFrame) -> DataFrame:
-    """``h, cls``: the class of every word of ``mid`` (h), each by one exchange move from
-    its own counts of the classes before and after it, over all training tokens."""
+            after[starts[1:] - 1] = k - 1
+            h = hashes[line]
+            if rare:
+                h[line < 0], _ = _line(b.column(1), np.uint64)
+            mine = (line >= core) | (rare & (line < 0))
+            at = [np.flatnonzero(mine & (x >= 0)) for x in (before, after)]
+            words, back = np.unique(np.concatenate([h[i] for i in at]), return_inverse=True)
+            sides = np.concatenate([before[at[0]], after[at[1]] + k])
+            key, n = np.unique(back * (2 * k) + sides, return_counts=True)
+            packed = np.empty(len(key), _ENTRY)
+            packed["side"], packed["n"] = key % (2 * k), n
+            ends = np.searchsorted(key, np.arange(len(words) + 1) * (2 * k)) * _ENTRY.itemsize
+            counts = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), counts], names=["h", "counts"])
+    return coded.where("NOT held_out").select("ids", "rare").mapInArrow(run, "h long, counts binary")
+
+
+def place(rows: DataFrame, pairs: np.ndarray, default: int) -> DataFrame:
+    """``h, cls``: one exchange move of every word of ``rows`` (``neighbours``), each by its own counts over the
+    whole corpus. Ties go to the smaller class."""
     k = len(pairs)
-    shared = coded.sparkSession.sparkContext.broadcast((cls, *_fits(pairs)))
+    shared = rows.sparkSession.sparkContext.broadcast(_fits(pairs))
+
+    def moves(words, side, n):
+        """Classes of 0.. by (word, side, n) entries, a thousand words at a time."""
+        fits, won = shared.value, []
+        for lo in range(0, int(words[-1]) + 1 if len(words) else 0, 1000):
+            i, j = np.searchsorted(words, (lo, lo + 1000))
+            size = min(1000, int(words[-1]) + 1 - lo)
+            own = np.bincount((words[i:j] - lo) * (2 * k) + side[i:j], n[i:j], size * 2 * k).reshape(size, 2 * k)
+            fit = own @ fits  # whole numbers far below 2 ** 53: exact
+            fit[:, k - 1] = -np.inf  # the end's own
+            won.append(np.where(own.any(1), fit.argmax(1), default))
+        return np.concatenate(won) if won else np.zeros(0, np.int64)
 
-    def near(batches):
+    def run(batches):
         import pyarrow as pa
-        cls = shared.value[0]
+        held_h, held = np.zeros(0, np.int64), np.zeros(0, _ENTRY)  # the last word: its rows may go on
+
+        def batch(h, entries_h, entries):
+            words = np.searchsorted(h, entries_h)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(moves(words, entries["side"], entries["n"].astype(np.float64)), pa.int32())],
+                                              names=["h", "cls"])
         for b in batches:
-            line, starts = _line(b.column(0))
-            rare = line >= words
-            if not rare.any():
+            parts = [np.frombuffer(x.as_buffer(), _ENTRY) for x in b.column(1)]
+            h = np.repeat(b.column(0).to_numpy(), [len(x) for x in parts])
+            h, entries = np.concatenate([held_h, h]), np.concatenate([held, *parts])
+            if not len(h):
                 continue
-            c = cls[line]
-            before, _ = _before(c, starts, k - 1)
-            after = np.full(len(c), k - 1, c.dtype)
-            after[:-1] = c[1:]
-            raw = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)])
-            u, back = np.unique(raw, return_inverse=True)
-            m = 2 * (k + 1)
-            at = np.concatenate([back * m + before[rare] % (k + 1), back * m + k + 1 + after[rare] % (k + 1)])
-            at, n = np.unique(at, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u[at // m]), pa.array(at % m, pa.int32()), pa.array(n, pa.int64())],
-                                             names=["h", "side", "n"])
-
-    def best(batches):
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:
+                yield batch(np.unique(h[:cut]), h[:cut], entries[:cut])
+            held_h, held = _merged(h[cut:], entries[cut:], k)
+        if len(held_h):
+            yield batch(held_h[:1], held_h, held)
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, cls int")
+
+
+def _merged(h: np.ndarray, entries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of one word summed by side, so that a word's rows take no more room than one (counts beyond
+    32 bits stay entries of their own)."""
+    if len(h) <= 4 * k:
+        return h, entries
+    sums = np.bincount(entries["side"], entries["n"].astype(np.float64), 2 * k)
+    out = []
+    for side in np.flatnonzero(sums):
+        left = int(sums[side])
+        while left:
+            out.append((side, min(left, (1 << 32) - 1)))
+            left -= out[-1][1]
+    return np.full(len(out), h[0]), np.array(out, _ENTRY)
+
+
+def _pairs(coded: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
+    """Class bigram counts over all training documents; tokens without a class are left out."""
+    shared = coded.sparkSession.sparkContext.broadcast(cls)
+
+    def keys(line, starts):
+        c = np.where(line >= 0, shared.value[line], -1).astype(np.int64)
+        one, _ = _before(c, starts, k - 1)
+        return (one * k + c)[(c >= 0) & (one >= 0)]
+    return _tally(coded, keys, k * k).reshape(k, k)
+
+
+def cluster(coded: DataFrame, lexicon: Lexicon, vocab: DataFrame, classes: int = CLASSES, core: int = CORE,
+            rounds: int = ROUNDS) -> tuple[np.ndarray, DataFrame]:
+    """Classes of the frequent words by id, and ``h, c, cls`` of all other words of ``vocab`` (a table)."""
+    core = min(core, lexicon.words)
+
+    def near(line, starts):
+        one, _ = _before(line, starts, 0)
+        ok = (line >= 0) & (line < core) & (one >= 0) & (one < core)
+        return one[ok].astype(np.int64) * core + line[ok]
+    cls = np.full(lexicon.words, -1, np.int32)
+    cls[:core] = exchange(_tally(coded, near, core * core).reshape(core, core), classes)
+    for left in range(rounds, 0, -1):
+        pairs = _pairs(coded, cls, classes)
+        default = int(np.argmax(np.append(pairs.sum(0)[:-1], -1)))
+        moved = saved(place(neighbours(coded, cls, lexicon, classes, core, rare=left == 1), pairs, default), "op3-classes")
+        frequent = moved.join(F.broadcast(_as_table(coded, lexicon, core)), "h").select("h", "cls").toPandas()  # 1 / LEAST at most
+        cls = cls.copy()
+        cls[lexicon.ids(frequent["h"].to_numpy(np.int64).view(np.uint64))] = frequent["cls"].to_numpy(np.int32)
+    cls[cls < 0] = default  # frequent words without a frequent neighbour
+    others = vocab.join(F.broadcast(_as_table(coded, lexicon, 0)), "h", "left_anti")
+    rare = others.join(moved, "h", "left").select("h", "c", F.coalesce("cls", F.lit(default)).cast("int").alias("cls"))
+    return cls, saved(rare, "op3-words")
+
+
+def _as_table(coded: DataFrame, lexicon: Lexicon, start: int) -> DataFrame:
+    """``h`` of the frequent words from id ``start`` on."""
+    import pandas as pd
+    return coded.sparkSession.createDataFrame(pd.DataFrame({"h": lexicon.hashes[start:].view(np.int64)}), "h long")
+
+
+def classed(coded: DataFrame, lexicon: Lexicon, cls: np.ndarray, rare: DataFrame, whole: float) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, base_score, emit, classes`` of every row of ``coded``: a class byte for
+    each token (``UNKNOWN`` for a word that training never saw), and the sum of log10 counts of the known ones."""
+    shared = coded.sparkSession.sparkContext.broadcast((cls, lexicon.counts))
+    id_type = coded.schema["doc_id"].dataType.simpleString()
+    sums = "n_tokens long, n_known long, base_score double, emit double"
+
+    def frequent(batches):
         import pyarrow as pa
-        fits = np.vstack(shared.value[1:])
-        fits[:, k - 1] = -np.inf  # the end's own
+        cls, counts = shared.value
+        seen = counts > 0
+        base, emit = np.log10((counts + 0.1) / whole), np.log10(np.maximum(counts, 1))
+        kinds = np.where(seen, cls, UNKNOWN).astype(np.uint8)
         for b in batches:
-            won = np.empty(b.num_rows, np.int32)
-            for i, row in enumerate(b.column(1)):
-                side, n = (row.values.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
-                won[i] = (n @ fits[side]).argmax()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(won)], names=["h", "cls"])
-    seen = coded.where("NOT held_out AND length(rare) > 0").select("ids", "rare").mapInArrow(near, "h long, side int, n long")
-    rows = (seen.join(mid, "h", "left_semi").groupBy("h", "side").agg(F.sum("n").alias("n"))
-            .groupBy("h").agg(F.collect_list(F.struct("side", "n")).alias("row")))  # 2 (k + 1) entries at most
-    return saved(rows.mapInArrow(best, "h long, cls int"), "op3-rare-classes")
-
-
-def reclass(coded: DataFrame, rare_cls: DataFrame, words: int) -> DataFrame:
-    """``coded`` with each token of a word of ``rare_cls`` (h, cls) as the id of its class,
-    ``words + ENDINGS + cls``."""
-    id_type = coded.schema["doc_id"].dataType.simpleString()
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                line, starts = _line(part.column(3))
+                known = line >= 0
+                c = np.where(known, kinds[line], OPEN).astype(np.uint8)
+                n = np.diff(np.append(starts, len(line)))
+                found = [np.add.reduceat(np.where(known, x[line], 0), starts) for x in (seen.astype(np.int64), base, emit)]
+                ends = np.append(0, np.cumsum(n)).tolist()
+                raw = c.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), part.column(2), pa.array(n, pa.int64()), *map(pa.array, found),
+                     pa.array([raw[i:j] for i, j in zip(ends, ends[1:])], pa.binary()), part.column(4)],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "emit", "classes", "rare"])
 
     def each(batches):
         import pyarrow as pa
@@ -305,93 +367,64 @@ def reclass(coded: DataFrame, rare_cls: DataFrame, words: int) -> DataFrame:
     def put(batches):
         import pyarrow as pa
         for b in batches:
-            ids = []
-            for x, raw, found in zip(b.column(2), b.column(3), b.column(5)):
-                line = np.frombuffer(x.as_buffer(), np.int32)
+            known, base, emit, classes = (b.column(j).to_pylist() for j in (3, 4, 5, 6))
+            for i, (raw, found) in enumerate(zip(b.column(7), b.column(8))):
+                raw = np.frombuffer(raw.as_buffer(), np.int64)
+                if not len(raw):
+                    continue
+                count, kind = np.zeros(len(raw)), np.full(len(raw), UNKNOWN, np.uint8)
                 if found.is_valid:
-                    h, c = (found.values.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
+                    h, c, of = (found.values.field(j).to_numpy(zero_copy_only=False) for j in (0, 1, 2))
                     order = np.argsort(h)
-                    h, c = h[order], c[order]
-                    raw = np.frombuffer(raw.as_buffer(), np.int64)
-                    at = np.minimum(np.searchsorted(h, raw), len(h) - 1)
-                    own, line = h[at] == raw, line.copy()
-                    line[np.flatnonzero(line >= words)[own]] = words + ENDINGS + c[at[own]]
-                ids.append(line.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), b.column(3), b.column(4)],
-                                             names=["doc_id", "held_out", "ids", "rare", "row"])
+                    at = np.minimum(np.searchsorted(h[order], raw), len(h) - 1)
+                    own = h[order][at] == raw
+                    count[own], kind[own] = c[order][at[own]], of[order][at[own]]
+                line = np.frombuffer(classes[i], np.uint8).copy()
+                line[line == OPEN] = kind
+                known[i] += int((count > 0).sum())
+                base[i] += float(np.log10((count + 0.1) / whole).sum())
+                emit[i] += float(np.log10(np.maximum(count, 1)).sum())
+                classes[i] = line.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(2), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                 pa.array(emit, pa.float64()), pa.array(classes, pa.binary())],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emit", "classes"])
     found = (coded.where("length(rare) > 0").select("row", "rare").mapInArrow(each, "row long, h long")
-             .join(rare_cls, "h").groupBy("row").agg(F.collect_list(F.struct("h", "cls")).alias("found")))
-    both = coded.join(found, "row", "left").select("doc_id", "held_out", "ids", "rare", "row", "found")
-    return saved(both.mapInArrow(put, f"doc_id {id_type}, held_out boolean, ids binary, rare binary, row long"),
-                 "op3-classed", "zstd")
-
-
-def _counts(coded: DataFrame, cls: np.ndarray, k: int, order: int) -> np.ndarray:
-    """Counts of class n-grams of ``order`` 2 or 3; tokens without a class are left out."""
-    shared = coded.sparkSession.sparkContext.broadcast(cls)
-
-    def keys(line, starts):
-        c = shared.value[line].astype(np.int64)
-        one, two = _before(c, starts, k - 1)
-        ok = (c >= 0) & (one >= 0) & ((two >= 0) if order == 3 else True)
-        return ((two * k if order == 3 else 0) * k + one * k + c)[ok]
-    return _tally(coded, keys, k ** order).reshape((k,) * order)
+             .join(rare, "h").groupBy("row").agg(F.collect_list(F.struct("h", "c", "cls")).alias("found")))  # words of one document
+    docs = coded.select("row", "doc_id", "held_out", "ids", "rare").mapInArrow(
+        frequent, f"row long, doc_id {id_type}, held_out boolean, {sums}, classes binary, rare binary")
+    both = docs.join(found, "row", "left").select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "emit", "classes", "rare", "found")
+    return saved(both.mapInArrow(put, f"doc_id {id_type}, held_out boolean, {sums}, classes binary"), "op3-classed", "zstd")
 
 
 class Model:
-    """Log10 transition table, word and class counts."""
+    """Log10 transition table by the two classes before, with each class's share for one of its tokens."""
 
-    def __init__(self, cls: np.ndarray, tri: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        k = len(tri)
+    def __init__(self, tri: np.ndarray, total: int, distinct: int, unknown_class: int):
         bi, uni = tri.sum(0), tri.sum((0, 1))
         p1 = uni / max(1.0, uni.sum())
         p2 = (bi + STRENGTH * p1) / (bi.sum(1, keepdims=True) + STRENGTH)
         p3 = (tri + STRENGTH * p2) / (tri.sum(2, keepdims=True) + STRENGTH)
-        self.cls, self.k, self.seen = cls, k, counts > 0
-        whole = total + 0.1 * (distinct + 1)
-        self.unknown = 0.1 / whole
+        self.k, self.unknown_class = len(tri), unknown_class
+        self.unknown = 0.1 / (total + 0.1 * (distinct + 1))
         with np.errstate(divide="ignore"):
             # within a class a word has its share of the class's tokens
             self.step = np.log10(p3) + np.log10(1 - self.unknown if total else 1.0) - np.log10(np.maximum(uni, 1))
-            self.word = np.where(self.seen, np.log10(counts), 0.0)
-        self.base = np.log10((counts + 0.1) / whole)
-        self.log_unknown, self.whole = float(np.log10(self.unknown)), whole
+        self.log_unknown = float(np.log10(self.unknown))
 
 
-def grown(base: int, total: int) -> int:
-    """``base``, and from ``FEWEST / LEAST`` training tokens on as the fourth root of their number."""
-    return int(base * max(1.0, total * LEAST / FEWEST) ** 0.25)
+def transitions(docs: DataFrame, k: int) -> np.ndarray:
+    """Class trigram counts over all training documents of ``classed``."""
+    def keys(line, starts):
+        c = line.astype(np.int64)
+        one, two = _before(c, starts, k - 1)
+        return (two * k + one) * k + c
+    return _tally(docs, keys, k ** 3, "classes", np.uint8).reshape(k, k, k)
 
 
-def train(coded: DataFrame, lexicon: Lexicon, counts: np.ndarray, total: int, distinct: int, mid: DataFrame | None = None,
-          classes: int | None = None, core: int | None = None, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model, and the documents with the classes of the words of ``mid`` in their ids."""
-    classes = classes or grown(CLASSES, total)
-    core = min(core or grown(CORE, total), lexicon.words)
-
-    def near(line, starts):
-        one, _ = _before(line, starts, 0)
-        ok = (line < core) & (one < core)
-        return one[ok].astype(np.int64) * core + line[ok]
-    cls = np.concatenate([np.full(lexicon.size, -1, np.int32), np.arange(classes, dtype=np.int32)])
-    cls[:core] = exchange(_tally(coded, near, core * core).reshape(core, core), classes)
-    for left in range(rounds, 0, -1):
-        pairs = _counts(coded, cls, classes, 2)
-        if mid is not None and left == 1:
-            coded = reclass(coded, place_rare(coded, cls, lexicon.words, pairs, mid), lexicon.words)
-            pairs = _counts(coded, cls, classes, 2)
-        cls = place(coded, cls, core, lexicon.size, pairs)
-        if mid is not None and left > 1:  # no evidence until the words of ``mid`` have left their endings
-            cls[lexicon.words:lexicon.size] = -1
-    # an ending that training never saw: the class of the most frequent word
-    cls[cls < 0] = cls[min(1, lexicon.words - 1)]
-    return Model(cls, _counts(coded, cls, classes, 3), counts, total, distinct), coded
-
-
-def score(coded: DataFrame, model: Model, words: int, vocab: DataFrame) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, base_score, score`` of every row."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
-    id_type = coded.schema["doc_id"].dataType.simpleString()
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (``classed``) with ``score`` in place of ``emit`` and ``classes``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
@@ -399,76 +432,40 @@ def score(coded: DataFrame, model: Model, words: int, vocab: DataFrame) -> DataF
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
-                line, starts = _line(part.column(3))
-                c = m.cls[line]
+                line, starts = _line(part.column(6), np.uint8)
+                known = line != UNKNOWN
+                c = np.where(known, line, m.unknown_class).astype(np.int64)
                 one, two = _before(c, starts, m.k - 1)
-                step = m.step[two, one, c]
-                known = line < words
-                at = np.minimum(line, words - 1)
-                base = np.where(known, m.base[at], 0.0)
-                full = np.where(known, step + m.word[at], 0.0)
-                n = np.diff(np.append(starts, len(line)))
-                seen = [np.add.reduceat(x, starts) for x in ((known & m.seen[at]).astype(np.int64), base, full)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), part.column(0), pa.array(n, pa.int64()),
-                     *map(pa.array, seen)], names=names)
-                row, h, count, moves = [], [], [], []
-                for j, (s, size, raw) in enumerate(zip(starts, n, part.column(4))):
-                    raw = np.frombuffer(raw.as_buffer(), np.int64)
-                    if len(raw):
-                        u, back = np.unique(raw, return_inverse=True)
-                        row.append(np.full(len(u), j))
-                        h.append(u)
-                        count.append(np.bincount(back))
-                        moves.append(np.bincount(back, weights=step[s:s + size][~known[s:s + size]]))
-                if row:
-                    row, h, count, moves = map(np.concatenate, (row, h, count, moves))
-                    none = pa.nulls(len(h))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(row)), none.cast(part.schema.field(1).type), none.cast(pa.bool_()),
-                         pa.array(h), pa.array(count, pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()),
-                         pa.array(moves)], names=names)
-    names = ["row", "doc_id", "held_out", "h", "n", "known", "base", "full"]
-    # a row for each document (its frequent words; h is its row number, spread out
-    # and never matched), and one for each rare word of it
-    parts = coded.select("row", "doc_id", "held_out", "ids", "rare").mapInArrow(
-        run, f"row long, doc_id {id_type}, held_out boolean, h long, n long, known long, base double, full double")
-    rare = F.col("known").isNull()
-    c = F.when(rare, F.coalesce("c", F.lit(0)))
-    seen = rare & (c > 0)
-    return (parts.join(vocab, "h", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
-        F.sum(F.when(~rare, F.col("n"))).alias("n_tokens"),
-        F.sum(F.when(seen, F.col("n")).otherwise(F.coalesce("known", F.lit(0)))).alias("n_known"),
-        F.sum(F.when(rare, F.col("n") * F.log10((c + 0.1) / model.whole)).otherwise(F.col("base"))).alias("base_score"),
-        F.sum(F.when(seen, F.col("full") + F.col("n") * F.log10(c)).when(rare, F.col("n") * model.log_unknown)
-              .otherwise(F.col("full"))).alias("score")).drop("row"))
-
-
-def score_texts(docs: DataFrame, train_where, least: float = LEAST, **options) -> DataFrame:
-    """Scores of every row of ``docs`` (doc_id, text) by a model of the rows that
-    ``train_where`` (a boolean column) selects; see ``score`` and ``train_tokens``."""
+                steps = np.add.reduceat(np.where(known, m.step[two, one, c], m.log_unknown), starts)
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(steps + part.column(5).to_numpy())], names=names)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:5]) + ", score double"
+    return docs.mapInArrow(run, schema)
+
+
+def score_texts(docs: DataFrame, train_where, least: float = LEAST, classes: int = CLASSES, **options) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens`` of every row of ``docs``
+    (doc_id, text) by a model of the rows that ``train_where`` (a boolean column) selects."""
+    if classes >= OPEN:
+        raise ValueError(f"fewer than {OPEN} classes: a class is a byte")
     ship(docs.sparkSession)
     docs = docs.select("doc_id", (~flag(train_where)).alias("held_out"), F.col("text").cast("binary").alias("text"))
     vocab = saved(vocabulary(docs.where("NOT held_out")), "op3-vocabulary")
     sums = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums.n or 0), int(sums.v)
-    frequent = vocab.where(F.col("c") >= max(least * total, FEWEST)).toPandas()  # 1 / least at most
+    end = int(np.array([HashCache()[END]], np.uint64).view(np.int64)[0])  # is clustered however rare it is
+    frequent = vocab.where((F.col("c") >= least * total) | (F.col("h") == end)).toPandas()  # 1 / least + 1 at most
     lexicon = Lexicon(list(zip(frequent["h"].tolist(), frequent["c"].tolist())))
-    known = dict(zip((frequent["h"].to_numpy(np.int64).view(np.uint64)).tolist(), frequent["c"].tolist()))
-    counts = np.zeros(lexicon.words)
-    counts[lexicon.order] = [known.get(h, 0) for h in lexicon.sorted.tolist()]
-    if not counts[0] and total:  # the end is clustered however rare it is
-        end = int(lexicon.sorted[np.flatnonzero(lexicon.order == 0)[0]].astype(np.int64))
-        counts[0] = vocab.where(F.col("h") == end).first().c
     coded = encode(docs, lexicon)
     if total:
-        mid = vocab.where((F.col("c") >= FEWEST) & (F.col("c") < least * total)).select("h")
-        some = least * total > FEWEST and not mid.isEmpty()
-        model, coded = train(coded, lexicon, counts, total, distinct, mid if some else None, **options)
+        cls, rare = cluster(coded, lexicon, vocab, classes, **options)
     else:
-        model = Model(np.zeros(lexicon.size, np.int32), np.ones((1, 1, 1)), counts, 0, 0)
-    return score(coded, model, lexicon.words, vocab).withColumn("train_tokens", F.lit(total).cast("long"))
+        cls, rare = np.zeros(lexicon.words, np.int32), vocab.withColumn("cls", F.lit(0))
+    lined = classed(coded, lexicon, cls, rare, total + 0.1 * (distinct + 1))
+    tri = transitions(lined, classes) if total else np.ones((classes,) * 3)
+    most = rare.groupBy("cls").count().orderBy(F.desc("count"), "cls").first()  # of ``classes`` rows
+    scored = score(lined, Model(tri, total, distinct, int(most.cls) if most else 0))
+    return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def op3_classlm(spark, sf_dir):

@@ -68,6 +68,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def even_share(column: str, sizes: dict, most: float) -> Column:
+    """The share of the rows of each value of ``column`` to take (``sizes``: rows by value), so that about ``most`` are
+    taken in all: of each value as many, or all of a rarer one, whose rest the others share."""
+    each = most / max(1, len(sizes))
+    spare = sum(max(0.0, each - n) for n in sizes.values())
+    large = {v: n for v, n in sizes.items() if n > each}
+    share = F.lit(1.0)
+    for value, n in large.items():
+        share = F.when(F.col(column) == value, min(1.0, (each + spare / len(large)) / n)).otherwise(share)
+    return share
+
+
+class Boxed:
+    """A table's other columns put away while an operator works on the ``needed`` ones, so that no
+    column of a caller can clash with the operator's own names: ``docs`` has the needed columns and
+    one struct; ``open(df)`` gives all columns back as they were."""
+
+    def __init__(self, docs: DataFrame, *needed: str):
+        self.columns, self.name = docs.columns, "box"
+        others = [c for c in docs.columns if c not in needed]
+        self.fields = {c: f"{self.name}.c{i}" for i, c in enumerate(others)}
+        box = F.struct(*(docs[_quoted(c)].alias(f"c{i}") for i, c in enumerate(others)), F.lit(None).cast("int").alias("end"))
+        self.docs = docs.select(*(docs[_quoted(c)] for c in needed), box.alias(self.name))
+
+    def open(self, df: DataFrame, *more: Column) -> DataFrame:
+        return df.select(*(F.col(self.fields.get(c, c)).alias(c) for c in self.columns), *more)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 class HashCache(dict):
     """Word (bytes) -> 64-bit hash, kept per task up to a size bound."""
 

@@ -23,6 +23,7 @@ table gives no shard and no rows; with too few samples for a dictionary an empty
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
@@ -49,7 +50,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 #: Pieces whose pre-tokens are plain to see: printable ASCII and Latin-1 letters.
 _PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
-#: The tokenizer file's own pre-token pattern over the lower case of such pieces, and the space between them.
+#: What a tokenizer file must say for plain pieces to be taken apart here: how it normalises, splits and marks
+#: the ends of words (fixed values). Any other file is encoded by the tokenizer alone.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "end_of_word_suffix": "</w>",
+}
+#: That pattern over the lower case of plain pieces, and the space between them.
 _PARTS = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ ]+")
 
 
@@ -67,7 +79,7 @@ class Encoder:
     """Whole texts to id arrays. The tokenizer's pre-tokenizer never joins
     characters across ASCII white space, so Arrow numbers the pieces between it, each
     distinct one is encoded once a chunk, and the ids of the texts are gathered
-    from those of their pieces. Plain pieces are taken apart into pre-tokens; these
+    from those of their pieces. If the file says that it splits as ``_KNOWN`` does, plain pieces are taken apart into pre-tokens; these
     are kept up to a size bound, and new ones are encoded many at a time as one
     text: the end-of-word mark of the vocabulary tells where each ends."""
 
@@ -83,8 +95,9 @@ class Encoder:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        probe = self._ids(["A'b c,d"])[0]
-        self.plain = probe.size == 6 and bool(self.ends[probe].all())
+        said = json.loads(self.tokenizer.to_str())
+        said["end_of_word_suffix"] = said["model"].get("end_of_word_suffix")
+        self.plain = all(said.get(k) == v for k, v in _KNOWN.items())
         self.parts: dict[str, bytes] = {}
 
     @classmethod
@@ -269,7 +282,9 @@ class Shard:
 def read_shards(manifest: DataFrame, tokenizer: str, id_type: str = "bigint") -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
     before = F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")  # a row per shard
-    todo = manifest.select("path", before.alias("base")).repartition("path")
+    # a task a shard by name: the table of shards is small, and would be taken together by its size
+    todo = manifest.select("part", "path", before.alias("base"))
+    todo = todo.repartitionByRange(max(1, manifest.count()), "part").select("path", "base")
 
     def run(batches):
         import zlib

@@ -12,14 +12,15 @@ documents fall into blocks by a hash (about ``block_docs`` documents of all
 sources share a block number); each pass over the
 source takes its blocks in another order, as far as the source's share of the
 budget reaches: whole passes, then whole blocks, then documents of one block
-while their tokens fit (the one that crosses the end is taken). Only block
+while their tokens fit (the one that crosses the end is taken). No source is read more than ``max_repeats``
+times: a budget beyond that many passes of everything is not used up. Only block
 totals are ever ordered per source, and documents only within a block. Without a
 budget the smallest one is taken that keeps every document once.
 
 Tokens of a document are its white-space words, and one end. Defined cases: a null source is
 a source; null and empty texts have one token; repeated rows are documents each
 (equal ones enter a partial pass together); one source or an empty table give
-weight 1 or no rows; columns whose names begin with ``__`` are refused.
+weight 1 or no rows; other columns may have any name, but ``mix`` refuses the four that it adds.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import flag, saved, table
+from .common import Boxed, flag, saved, table
 
 TARGET_ENTROPY, MAX_REPEATS, BLOCK_DOCS, GRID, ROUNDS = 0.98, 1.5, 10_000, 16, 6
 
@@ -39,31 +40,46 @@ def tokens():
     return (F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1).cast("long")
 
 
-def exponent(sources: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> float:
+def exponent(sources: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS,
+             budget: int | None = None) -> float:
     """The exponent for ``source, tokens``: the larger one of what the entropy
-    asks for and what the repetition limit allows."""
+    asks for and what the repetition limit allows under the budget (without one,
+    under the smallest that keeps every document once)."""
     top = sources.agg(F.count("*").alias("k"), F.sum("tokens").alias("t"), F.min("tokens").alias("least"),
                       F.max("tokens").alias("most")).first()
     if not top.k or top.k == 1:
         return 1.0
-    # with every document kept once the largest source has one pass, and the
-    # smallest (most / least) ** (1 - a) passes
     spread = math.log(top.most / top.least)
-    limit = 1.0 if max_repeats <= 1 else max(0.0, 1 - math.log(max_repeats) / spread) if spread > 0 else 0.0
-    lo, hi, goal = 0.0, 1.0, target_entropy * math.log(top.k)
+    if budget is None:
+        # with every document kept once the largest source has one pass, and the
+        # smallest (most / least) ** (1 - a) passes
+        limit = 1.0 if max_repeats <= 1 else max(0.0, 1 - math.log(max_repeats) / spread) if spread > 0 else 0.0
+    goal = target_entropy * math.log(top.k)
     share = F.log(F.col("tokens") / float(top.t))
-    for _ in range(ROUNDS):
-        grid = [lo + (hi - lo) * i / GRID for i in range(GRID + 1)]
-        got = sources.agg(*[f for i, a in enumerate(grid) for f in (
-            F.sum(F.exp(share * a)).alias(f"z{i}"), F.sum(F.exp(share * a) * share * a).alias(f"e{i}"))]).first()
-        entropy = [math.log(got[f"z{i}"]) - got[f"e{i}"] / got[f"z{i}"] for i in range(GRID + 1)]
-        # entropy falls as the exponent grows: the last one that still reaches the goal
-        at = max((i for i in range(GRID + 1) if entropy[i] >= goal - 1e-12), default=0)
-        if at == GRID:
-            lo = hi
-            break
-        lo, hi = grid[at], grid[at + 1]
-    return max(lo, limit)
+    least = math.log(top.least / top.t)
+
+    def search(keeps) -> tuple[float, float]:
+        """Where ``keeps(exponent, z, entropy)``, true for small exponents, ceases to hold, as
+        (last that holds, first that does not); all of a grid's sums are one aggregate."""
+        lo, hi = 0.0, 1.0
+        for _ in range(ROUNDS):
+            grid = [lo + (hi - lo) * i / GRID for i in range(GRID + 1)]
+            got = sources.agg(*[f for i, a in enumerate(grid) for f in (
+                F.sum(F.exp(share * a)).alias(f"z{i}"), F.sum(F.exp(share * a) * share * a).alias(f"e{i}"))]).first()
+            z = [got[f"z{i}"] for i in range(GRID + 1)]
+            held = [i for i, a in enumerate(grid) if keeps(a, z[i], math.log(z[i]) - got[f"e{i}"] / z[i])]
+            at = max(held, default=-1)
+            if at < 0:
+                return 0.0, 0.0
+            if at == GRID:
+                return hi, hi
+            lo, hi = grid[at], grid[at + 1]
+        return lo, hi
+    # entropy falls as the exponent grows: the last one that still reaches the goal
+    wanted = search(lambda a, z, entropy: entropy >= goal - 1e-12)[0]
+    if budget is not None:  # the smallest source has the most passes, fewer as the exponent grows
+        limit = search(lambda a, z, entropy: budget / top.t * math.exp(least * (a - 1)) / z > max_repeats)[1]
+    return max(wanted, limit)
 
 
 def weights(sources: DataFrame, alpha: float) -> DataFrame:
@@ -77,8 +93,15 @@ def mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: fl
     """``docs`` with ``__n`` (tokens), ``__p`` (pass), ``__w`` (the source's weight)
     and ``__at``: a row for each time a document is read; ``__at`` in [0, 1) orders
     the mixed stream."""
-    if any(c.startswith("__") for c in docs.columns):
-        raise ValueError("column names beginning with __ are the operator's own")
+    if {"__n", "__p", "__w", "__at"} & set(docs.columns):
+        raise ValueError("__n, __p, __w and __at are the operator's own columns")
+    boxed = Boxed(docs, "doc_id", "source", "text")
+    mixed = _mixed(boxed.docs, target_entropy, max_repeats, budget, seed, block_docs)
+    return boxed.open(mixed, F.col("__mix_tokens").alias("__n"), F.col("__mix_pass").alias("__p"), F.col("weight").alias("__w"),
+                      F.col("__mix_place").alias("__at"))
+
+
+def _mixed(docs: DataFrame, target_entropy: float, max_repeats: float, budget: int | None, seed: int, block_docs: int) -> DataFrame:
     blocks = max(1, -(-docs.count() // block_docs))  # a column-less scan
     lot = F.xxhash64(F.lit(seed), "doc_id", "text")
     src, block, at = "__mix_source", "__mix_block", "__mix_lot"
@@ -88,12 +111,14 @@ def mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: fl
     totals = saved(sized.groupBy(src, block).agg(F.sum("__mix_tokens").alias("t"), F.count("*").alias("n")),
                    "op2-blocks")
     per = saved(totals.groupBy(src).agg(F.sum("t").alias("tokens"), F.sum("n").alias("docs")), "op2-sources")
-    shares = weights(per, exponent(per, target_entropy, max_repeats))
+    shares = weights(per, exponent(per, target_entropy, max_repeats, budget))
     if budget is None:  # the smallest budget under which no source has less than one pass
         asked = (shares.agg(F.max(F.col("tokens") / F.col("weight"))).first()[0] or 0.0) * (1 + 1e-12)
     else:
         asked = float(budget)
     quota = F.floor(F.col("weight") * asked)
+    if budget is not None:  # what no exponent allows is cut
+        quota = F.least(quota, F.floor(F.col("tokens") * float(max_repeats)))
     plan = saved(shares.select(src, "weight", "tokens", quota.alias("quota"))
                  .withColumn("passes", F.floor(F.col("quota") / F.col("tokens")))
                  .withColumn("rest", F.col("quota") - F.col("passes") * F.col("tokens")), "op2-plan")
@@ -121,8 +146,7 @@ def mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: fl
     return (sized.join(plan, src).join(ends, [src, block], "left")
             .withColumn("__mix_last", flag(last)).where("passes > 0 OR __mix_last")
             .withColumn("__mix_pass", F.explode(reads))
-            .select(*(sized[c] for c in docs.columns), F.col("__mix_tokens").alias("__n"), F.col("__mix_pass").alias("__p"),
-                    F.col("weight").alias("__w"), place.alias("__at")))
+            .select(*(sized[c] for c in docs.columns), "__mix_tokens", "__mix_pass", "weight", place.alias("__mix_place")))
 
 
 def op2_mixing(spark, sf_dir):
@@ -133,5 +157,7 @@ def op2_mixing(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: documents repeated by their source's weight; none is lost."""
-    return mix(docs).select(*docs.columns)
+    """Pipeline stage: documents repeated by their source's weight; none is lost. Columns of any
+    name come through as they are."""
+    boxed = Boxed(docs, "doc_id", "source", "text")
+    return boxed.open(_mixed(boxed.docs, TARGET_ENTROPY, MAX_REPEATS, None, 0, BLOCK_DOCS))

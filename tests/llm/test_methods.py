@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
-from vantage.llm import ann, classlm, decontam, mixing, neardup, secrets, tokens, urls
+from vantage.llm import ann, classlm, decontam, mixing, neardup, resample, secrets, spelling, tokens, urls, warc
 from vantage.llm.components import components
 from vantage.llm.queries import QUERIES
 
@@ -403,3 +403,228 @@ def test_decontamination_stage_decides_by_row(spark, tmp):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = decontam.stage(spark, docs, tmp).collect()
     assert {tuple(r) for r in got} == {(None, "clean"), (7, "clean too"), (8, None), (None, None)} and len(got) == 4
+
+
+def test_a_budget_keeps_the_repetition_limit(spark):
+    rows = [(i, "big" if i < 900 else f"s{i % 5}", "word " * (5 + i % 7)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    own = Counter()
+    for _, s, t in rows:
+        own[s] += len(t.split()) + 1
+    whole = sum(own.values())
+    for budget in (whole // 3, whole, int(1.4 * whole), 4 * whole):
+        got = mixing.mix(docs, max_repeats=1.5, budget=budget, block_docs=20)
+        read = {r.source: r.t for r in got.groupBy("source").agg(F.sum("__n").alias("t")).collect()}
+        assert all(t <= 1.5 * own[s] + 12 for s, t in read.items())  # the document that crosses the end is taken
+        assert abs(sum(read.values()) - min(budget, int(1.5 * whole))) <= 12 * len(own)
+        # a plain search of the exponent: the smallest on a grid within the limit, or what the entropy asks for
+        if budget < 1.5 * whole:
+            def passes(a):
+                z = sum(t ** a for t in own.values())
+                return max(budget * t ** a / z / t for t in own.values())
+            limit = min(a / 1000 for a in range(1001) if passes(a / 1000) <= 1.5)
+            def entropy(a):
+                p = [t ** a / sum(x ** a for x in own.values()) for t in own.values()]
+                return -sum(x * math.log(x) for x in p)
+            wanted = max(a / 1000 for a in range(1001) if entropy(a / 1000) >= 0.98 * math.log(len(own)))
+            alpha = max(limit, wanted)
+            sums = sum(t ** alpha for t in own.values())
+            assert all(abs(read[s] - budget * own[s] ** alpha / sums) < 15 + 0.003 * budget for s in own)
+
+
+def page(i, url, *links):
+    return (i, url, "".join(f'<a class=x href="{x}">y</a>' for x in links))
+
+
+def test_links_of_every_kind(spark):
+    pages = spark.createDataFrame([
+        (1, "http://a.org/x", "<BASE target=_top href='//Base.org/dir/'><a href=rel>r</a> <a href='?q'>q</a><a href=mailto:x@y.z>m</a>"),
+        (2, "http://b.org/x", '<a href="/own">o</a><a\nhref = "https://C.org:80/p?u=//no.org">c</a> <link rel=x href=//d.org><a data-href="http://no.org">'),
+        (3, "http://c.org/", "<a href='it.html'>i</a> text href=http://no.org <a href=\"javascript:go('//no.org')\">j</a>")],
+        "page_id long, url string, html string")
+    assert {(r.src, r.dst, r.n) for r in urls.host_links(pages).collect()} == {
+        ("a.org", "base.org", 2), ("b.org", "c.org:80", 1), ("b.org", "d.org", 1)}
+
+
+def test_propagation_matches_power_iteration(spark):
+    r = random.Random(5)
+    hosts = [f"h{i}.example.{'net' if i % 6 == 0 else 'org' if i % 3 else 'com'}" for i in range(24)]
+    rows = [page(i, f"http://{hosts[i % 20]}/{'fr' if i % 4 == 0 else 'x'}/{i}", *(f"http://{h}/" for h in r.choices(hosts, k=r.randint(0, 3))))
+            for i in range(60)]  # four hosts are link targets alone, some pages have no links
+    rows.append(page(60, "http://bad.com/", "http://evil.net/"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: (r.trust, r.distrust, r.verdict) for r in urls.judge(pages).collect()}
+    assert got["bad.com"][2] == "block"  # links to a blocked host that is not in the table itself
+    links = Counter()
+    for _, url, html in rows:
+        for x in html.split('href="')[1:]:
+            a, b = url.split("/")[2], x.split("/")[2]
+            links[a, b] += a != b
+    every = sorted({h for _, url, _ in rows for h in [url.split("/")[2]]} | {h for p in links for h in p})
+    at, n = {h: i for i, h in enumerate(every)}, len(every)
+    m = np.zeros((n, n))
+    for (a, b), k in links.items():
+        m[at[a], at[b]] += k
+    allowed = Counter(u.split("/")[2] for _, u, _ in rows if u.split("/")[2].endswith("org") and u.split("/")[3].startswith("fr"))
+    good = np.array([float(allowed[h]) for h in every])
+    bad = np.array([float(h.endswith(".net")) for h in every])
+    for k, (links_, seeds) in enumerate(((m, good), (m.T, bad))):
+        s = seeds / seeds.sum()
+        out = links_.sum(1)
+        x = s.copy()
+        for _ in range(400):
+            x = 0.15 * s + 0.85 * (x[out == 0].sum() * s + (x[out > 0] / out[out > 0]) @ links_[out > 0])
+        assert all(abs(v[k] - x[at[h]]) < 1e-3 / n for h, v in got.items())
+
+
+def test_token_files_match_the_tokenizer(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(6)
+    got = tokens.write_and_read(spark, docs)
+    rows = got.orderBy("start").collect()
+    enc = tokens.Encoder.of(tokens.tokenizer_path())
+    at = 0
+    for r, d in zip(rows, docs.orderBy("doc_id").collect()):
+        ids = np.array([*enc.tokenizer.encode(d.text or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    folder = tokens.qualified(spark, tokens.shared_path(spark, "shards"))
+    wide = tokens.saved(docs, "wide")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = tokens.write_shards(wide, folder, tokens.tokenizer_path())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    shards = manifest.count()
+    read = tokens.read_shards(manifest, tokens.tokenizer_path()).groupBy(F.spark_partition_id().alias("p")).count().count()
+    assert shards > 2 and read == shards  # a task a shard
+
+
+def test_a_tokenizer_of_another_kind_is_not_retraced(tmp_path):
+    import json
+    with open(tokens.tokenizer_path()) as f:
+        said = json.load(f)
+    said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("[\\p{N}]", "[\\p{N}]+")
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said))
+    enc = tokens.Encoder(str(path))
+    assert not enc.plain
+    texts = ["a 12 b123's", "x9"]
+    assert enc(texts) == [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids + [1], enc.dtype).tobytes() for t in texts]
+
+
+def test_radix_ranks_match_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(resample, "BLOCK_BITS", 4)  # many blocks
+    r = random.Random(2)
+    rows = [(i, r.choice([0, 5, -(1 << 40), r.randint(-9999, 9999)]), r.choice([None, -(1 << 62), 1 << 62, r.randint(0, 50)]), r.randint(0, 3))
+            for i in range(400)]
+    table = resample.saved(spark.createDataFrame(rows, "pos long, s long, a long, b long").repartition(5), "rows")
+    got = resample.radix_ranks(table, "s", ["a", "b"]).collect()
+    want = sorted(((-x.s, x.a is None, x.a or 0, x.b) for x in got))
+    assert sorted(x["rank"] for x in got) == list(range(1, 401))
+    assert [(-x.s, x.a is None, x.a or 0, x.b) for x in sorted(got, key=lambda x: x["rank"])] == want
+
+
+def test_longer_features_match_brute_force(spark):
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choices(["Ab", "c9", "é", "x-y", "z"], k=r.randint(0, 30)))) for i in range(60)]
+    aims = [" ".join(r.choices(["ab", "z"], k=20)) for _ in range(5)]
+    got = {x.doc_id: x for x in resample.resample(spark.createDataFrame(docs, "doc_id long, text string"),
+                                                  spark.createDataFrame([(t,) for t in aims], "text string"), longest=2).collect()}
+
+    def features(text):
+        import re
+        ws = re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower())
+        return [zlib.crc32(f.encode()) % 10_000 for f in ws + [" ".join(p) for p in zip(ws, ws[1:])]], len(ws)
+    s, t = (Counter(b for text in texts for b in features(text)[0]) for texts in ([d[1] for d in docs], aims))
+    n, m = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (n + 10_000) / ((s[b] + 1) * (m + 10_000))))
+    for i, text in docs:
+        assert (got[i].n_features, got[i].weight) == (len(features(text)[0]), sum(map(gain, features(text)[0])))
+    assert sum(x["rank"] is not None for x in got.values()) == sum(features(d[1])[1] >= 20 for d in docs) // 10
+
+
+def test_selected_records_are_read_by_coalesced_ranges(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i % 7}</p>" * (40 if i % 2 else 1)) for i in range(200)],
+                                  "page_id long, url string, html string").coalesce(1)
+    folder = warc.qualified(spark, warc.shared_path(spark, "archives"))
+    index = warc.write_archives(pages, folder, file_bytes=9000)
+    assert index.select("file").distinct().count() > 2  # files are rolled
+    import gzip as gz
+    for f in [r.file for r in index.select("file").distinct().collect()]:
+        whole = gz.open(f.removeprefix("file://")).read()  # any reader of gzip sees one archive
+        assert whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and whole.endswith(b"\r\n\r\n")
+    got = warc.read_records(index.where("page_id IN (3, 4, 5, 150)")).orderBy("page_id").collect()
+    assert [r.page_id for r in got] == [3, 4, 5, 150]
+    assert [r.url for r in got] == [f"http://h/{i}" for i in (3, 4, 5, 150)]
+    wanted = spark.createDataFrame([(i,) for i in (1, 15, 29, 2)], "page_id long")
+    payloads = {r.page_id: bytes(r.payload).decode() for r in warc.read_payloads(index, wanted).collect()}
+    assert payloads == {1: "<p>1</p>" * 40, 15: "<p>1</p>" * 40, 29: "<p>1</p>" * 40, 2: "<p>2</p>"}
+    assert warc._reads([(0, 10), (10, 5), (100, 5), (99999, 1)], 100) == [[(0, 10), (10, 5), (100, 5)], [(99999, 1)]]
+
+
+def test_broken_payloads_are_noticed(spark):
+    pages = spark.createDataFrame([(1, "http://h/", "text")], "page_id long, url string, html string")
+    index = warc.write_archives(pages, warc.qualified(spark, warc.shared_path(spark, "archives")), level=0)
+    r = index.first()
+    path = r.file.removeprefix("file://")
+    data = open(path, "rb").read()
+    member = warc.record(1, "http://h/", b"tExt", hashlib_of(b"text"), None, level=0)
+    with open(path, "wb") as f:
+        f.write(data[:r.offset] + member)
+    with pytest.raises(Exception, match="not the one that was written"):
+        warc.read_records(spark.createDataFrame([(r.file, r.offset, len(member))], "file string, offset long, length long")).collect()
+
+
+def hashlib_of(data):
+    import hashlib
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_heavy_payloads_leave_the_shuffle_join(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HEAVY", 3)
+    pages = spark.createDataFrame([(i, "u", ("same" if i % 2 else f"other{i % 10}") * 50) for i in range(100)], "page_id long, url string, html string")
+    got = {r.page_id: r.refers_to for r in warc.write_and_read(spark, pages).collect()}
+    assert got == {i: (None if i < 10 and (i == 1 or i % 2 == 0) else 1 if i % 2 else i % 10) for i in range(100)}
+
+
+def test_spelling_matches_brute_force(spark):
+    r = random.Random(8)
+    base = ["".join(r.choices("abé", k=r.randint(7, 10))) for _ in range(30)]
+    found = {}
+    for w in base:
+        found[w] = r.randint(2, 3000)
+        for _ in range(6):
+            i, c = r.randrange(len(w)), r.choice("abé")
+            v = r.choice([w[:i] + w[i + 1:], w[:i] + c + w[i + 1:], w[:i] + c + w[i:], c + w, w + c])
+            found.setdefault(v, r.randint(2, 60))
+    words = spelling.saved(spark.createDataFrame(list(found.items()), "word string, n long"), "words")
+
+    def near(a, b):
+        if a == b or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+    forms, n_near = {}, {}
+    for w in found:
+        others = [v for v in found if near(w, v)]
+        n_near[w] = len(others)
+        best = min(others, key=lambda v: (-found[v], v), default=None)
+        forms[w] = best if best is not None and found[best] >= 10 * found[w] else None
+
+    def root(w):
+        while forms[w]:
+            w = forms[w]
+        return w
+    got = spelling.group_variants(words).collect()
+    assert len(got) == len(found)
+    assert all((x.form, x.root, x.n, x.n_near, x.form_n) == (forms[x.word], root(x.word), found[x.word], n_near[x.word], found.get(forms[x.word]))
+               for x in got)
+    assert sum(n_near.values()) > 200 and sum(f is not None for f in forms.values()) > 50
+
+
+def test_roots_of_long_chains(spark):
+    chain = [(f"w{i:02d}", f"w{i + 1:02d}") for i in range(20)]
+    got = spelling.roots(spark.createDataFrame(chain, "word string, form string")).collect()
+    assert len(got) == 20 and {r.root for r in got} == {"w20"}

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, ship, table
+from .common import Boxed, mix64, saved, ship, table
 
 EDITS, EXACT_BELOW, WALKS, SAMPLES, PICKS, ITEMS, PIECE = 0.2, 10, 12, 8, 3, 20_000, 100
 _WORD = re.compile(r"[^\W_]+")
@@ -230,8 +230,10 @@ def op5_decontam(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Pipeline stage: documents that contain a benchmark item go, each by its own text
-    (known by its SHA-256), whatever its id: null ids and repeated ids too."""
+    (known by its SHA-256), whatever its id: null ids and repeated ids too. Columns of any name come
+    through as they are."""
+    boxed = Boxed(docs, "text")
     key = F.sha2(F.col("text").cast("binary"), 256)
     hits = saved(contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
                  .select(F.col("doc_id").alias("text_key")).distinct(), "op5-hits")
-    return docs.join(hits, key == F.col("text_key"), "left_anti").select(*docs.columns)
+    return boxed.open(boxed.docs.join(hits, key == F.col("text_key"), "left_anti"))

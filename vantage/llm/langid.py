@@ -7,7 +7,7 @@ first length of which any n-gram is known scores the word by their mean. The
 language with the largest sum wins (ties: the smaller name).
 
 The model is fitted on a bounded sample of labelled rows (``max_rows`` in
-expectation, by a hash of the id). It keeps the words and n-grams that make up
+expectation, by a hash of the id; of each language as many, or all of a rarer one). It keeps the words and n-grams that make up
 at least ``least`` of a language's words or n-grams, so at most ``1/least`` of
 each per language and length, whatever the corpus: that bound is what makes the
 broadcast safe.
@@ -26,12 +26,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, flag, saved, ship, table
+from .common import crc_mod, even_share, flag, saved, ship, table
 
 MAX_ROWS, LEAST, LONGEST = 20_000, 1e-5, 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters (Unicode L) of a text; the pattern's runs may hold other numerals (``²``, ``½``) too."""
+    runs = _WORD.findall(text)
+    if "".join(runs).isalpha() or not runs:
+        return runs
+    return "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
+
+
 def grams(word: str, n: int) -> list[str]:
     if n == 1:
         return list(word)
@@ -42,16 +50,16 @@ def grams(word: str, n: int) -> list[str]:
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, least: float = LEAST) -> tuple[list[str], dict]:
     """Languages and ``(n, gram) -> log frequencies``; n = 0 holds whole words."""
     rows = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    share = min(1.0, max_rows / max(1, rows.count()))
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     lot = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(lot < share).select("lang", "text")
+    sample = rows.where(lot < even_share("lang", sizes, max_rows)).select("lang", "text")
 
     def count(batches):
         import pyarrow as pa
         for b in batches:
             seen: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[lang].update(_WORD.findall(text.lower()))
+                seen[lang].update(letter_runs(text.lower()))
             for lang, words in seen.items():
                 found: Counter = Counter()
                 for w, c in words.items():
@@ -135,7 +143,7 @@ def identify(docs: DataFrame, langs: list[str], model: dict, keep: list[str]) ->
         for b in batches:
             pred, score = [], []
             for t in b.column(cols.index("text")):
-                words = _WORD.findall((t.as_py() or "").lower())
+                words = letter_runs((t.as_py() or "").lower())
                 if not words or not names:
                     pred.append("und")
                     score.append(0.0)

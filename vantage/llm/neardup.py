@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashCache, ascii_words, mix64, saved, ship, table
+from .common import Boxed, HashCache, ascii_words, mix64, saved, ship, table
 from .components import components
 
 HASHES, SKETCH_WORDS, SET_WORDS = 256, 8, 16
@@ -219,7 +219,9 @@ def op4_neardup(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Pipeline stage: one document of each group stays, at shingles of five words
-    and a similarity of 0.8. Documents without a word, or without an id, stay too."""
+    and a similarity of 0.8. Documents without a word, or without an id, stay too.
+    Columns of any name come through as they are (only ids and texts are looked at)."""
     found = near_duplicates(docs, size=5, percent=80, bands=42, rows=6)
     gone = found.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    boxed = Boxed(docs, "doc_id")
+    return boxed.open(boxed.docs.join(gone, "doc_id", "left_anti"))

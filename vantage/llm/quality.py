@@ -7,14 +7,14 @@ unigrams and bigrams of either stream, hashed to ``2**bits`` slots; the value of
 a slot is the square root of its count, and a text's values have unit length.
 
 Training reads a bounded sample (``max_rows`` labelled rows in expectation, by a
-hash of the id) in up to ``BLOCKS`` even blocks of ``BLOCK_ROWS`` or more. Each block runs FTRL-proximal over its
-rows; the model is the mean of the blocks' weights (parameter mixing), at most
+hash of the id; of each label as many, or all of a rarer one) in up to ``BLOCKS`` even blocks of ``BLOCK_ROWS``
+or more, each in a task of its own. A block runs FTRL-proximal over its rows; the model is the mean of the blocks' weights (parameter mixing), at most
 ``2**bits`` floats, which is what is broadcast.
 
 Defined cases: null and empty texts have the bias feature only and get a score
 too; repeated rows are scored each; repeated labels of an id count once (the
 larger label holds); null labels and ids do not train; without any training row
-every score is 0.5; extra columns of ``docs`` are kept by ``keep`` alone.
+every score is 0.5; extra columns of ``docs`` are kept by ``keep`` alone, where ``score`` and ``predicted`` are refused.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, flag, mix64, ship, table
+from .common import Boxed, crc_mod, even_share, flag, mix64, ship, table
 
 BITS, BLOCKS, BLOCK_ROWS, MAX_ROWS, EPOCHS, THRESHOLD = 18, 8, 2500, 20_000, 5, 0.3
 _SHAPE = [(re.compile(r"[^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*"), "x"), (re.compile(r"[^\W\d_]+"), "X"),
@@ -41,7 +41,7 @@ class _Words(dict):
         from xxhash import xxh3_64_intdigest
         if len(self) >= 300_000:
             self.clear()
-        shape = word[:24]
+        shape = word
         for pat, sign in _SHAPE:
             shape = pat.sub(sign, shape)
         v = self[word] = (xxh3_64_intdigest(word.lower()), xxh3_64_intdigest("\x00" + shape))
@@ -86,19 +86,27 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     """Mean of the blocks' FTRL weights (float32, ``2**bits``)."""
     marks = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
              .groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")))
-    n = marks.count()
-    share = min(1.0, max_rows / max(1, n))
+    sizes = {r.quality: r["count"] for r in marks.groupBy("quality").count().collect()}  # a row per label
+    n = sum(sizes.values())
     blocks = min(BLOCKS, max(1, min(n, max_rows) // BLOCK_ROWS))
     lot = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = (docs.select("doc_id", "text").join(marks.where(lot < share), "doc_id")
-              .select("text", "quality", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")))
+    sample = (docs.select("doc_id", "text").join(marks.where(lot < even_share("quality", sizes, max_rows)), "doc_id")
+              .select("text", "quality", F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.lit(5), "doc_id").alias("lot"),
+                      F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         words = _Words()
-        rows = rows.assign(lot=rows.doc_id.astype("int64") * 2654435761 % 4294967296).sort_values(["lot", "doc_id"])
+        rows = rows.sort_values(["lot", "doc_id", "text", "quality"])
         seen = [(*features(t, words, bits), int(y)) for t, y in zip(rows.text, rows.quality)]
         return pd.DataFrame({"n": [len(seen)], "w": [ftrl(seen, bits).astype("<f4").tobytes()]})
-    fitted = sample.repartition(blocks, "block").groupBy("block").applyInPandas(fit, "n long, w binary").collect()  # one row a block
+    # a block a task: dealt by range, as a hash would put several into one
+    dealt = sample.repartitionByRange(blocks, "block").sortWithinPartitions("block")
+
+    def blocks_of(batches):
+        rows = pd.concat([*batches, pd.DataFrame(columns=["text", "quality", "doc_id", "lot", "block"])])
+        for _, some in rows.groupby("block"):
+            yield fit(some)
+    fitted = dealt.mapInPandas(blocks_of, "n long, w binary").collect()  # one row a block
     if not fitted:
         return np.zeros(1 << bits, np.float32)
     return np.average([np.frombuffer(r.w, "<f4") for r in fitted], axis=0,
@@ -129,6 +137,8 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float = THRESHOLD,
              max_rows: int = MAX_ROWS) -> DataFrame:
     """``keep``, ``score`` and ``predicted`` of every document."""
+    if {"score", "predicted"} & set(keep):
+        raise ValueError("score and predicted are the operator's own columns")
     ship(docs.sparkSession)
     scored = score(docs, train(docs, labels, max_rows), keep)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -145,6 +155,7 @@ def op1_quality(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: documents that the classifier rejects go."""
-    kept = classify(docs, training_labels(table(spark, sf_dir, "labels")), docs.columns)
-    return kept.where("predicted = 1").select(*docs.columns)
+    """Pipeline stage: documents that the classifier rejects go. Columns of any name come through as they are."""
+    boxed = Boxed(docs, "doc_id", "text")
+    kept = classify(boxed.docs, training_labels(table(spark, sf_dir, "labels")), boxed.docs.columns)
+    return boxed.open(kept.where("predicted = 1"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 from dataclasses import dataclass, field
 from types import MappingProxyType
 from typing import Any, Iterable, Mapping
@@ -292,8 +293,43 @@ def count_rows(markers: DataFrame, frames) -> DataFrame:
         *[F.max(m).alias(m) for m in meta], F.sum("__w").cast("bigint").alias("n_rows"))
 
 
+def footer_counts(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """``location, n_rows`` of Parquet tables from their footers: one scan over all of their files that reads no
+    column, so a catalog of any number of tables is one job. Paths must not lie within each other."""
+    roots = {qualified_path(spark, p): p for p in paths}
+    rows = spark.read.schema(T.StructType([])).parquet(*roots)
+    files = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    # a file's table is the path it is or lies under: looked up by its beginnings of the lengths that tables have
+    depths = sorted({p.count("/") + 1 for p in roots})
+    file = F.regexp_replace("file", "^([a-z0-9+.-]+:)/+(?!/)", "$1/")
+    starts = F.array(*(F.substring_index(file, "/", d) for d in depths))
+    known = spark.createDataFrame([(re.sub("^([a-z0-9+.-]+:)/+", r"\1/", p), given) for p, given in roots.items()], "key string, location string")
+    found = files.select("n", F.explode(F.array_distinct(starts)).alias("key")).join(known, "key")
+    return (known.select("location", F.lit(0).cast("long").alias("n")).unionByName(found.select("location", "n"))
+            .groupBy("location").agg(F.sum("n").alias("n_rows")))
+
+
+def qualified_path(spark: SparkSession, path: str) -> str:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+
+
 def with_row_counts(spark: SparkSession, catalog: Catalog) -> DataFrame:
-    """Catalog tables plus a row count each (0 for an empty table)."""
-    frames = [(conn.name, t, catalog.scan(conn.name, t))
-              for conn in catalog.connections for t in catalog.table_names(conn.name)]
-    return count_rows(catalog.tables(), frames)
+    """Catalog tables plus a row count each (0 for an empty table): Parquet tables together from their
+    footers, others by a column-less scan each."""
+    plain, frames = {}, []
+    for conn in catalog.connections:
+        for t in catalog.table_names(conn.name):
+            path = conn.file_tables().get(t) if conn.source == "parquet" and not conn.options.get("read_options") else None
+            if path and not any(path != p and (path.startswith(p.rstrip("/") + "/") or p.startswith(path.rstrip("/") + "/")) for p in plain):
+                plain.setdefault(path, []).append((conn.name, t))
+            else:
+                frames.append((conn.name, t, catalog.scan(conn.name, t)))
+    tables = catalog.tables()
+    if not plain:
+        return count_rows(tables, frames)
+    slow = {(c, t) for c, t, _ in frames}
+    is_slow = F.struct("connection", "table").isin([F.struct(F.lit(c), F.lit(t)) for c, t in slow]) if slow else F.lit(False)
+    counts = footer_counts(spark, plain)
+    out = tables.where(~is_slow).join(counts, "location").select(*tables.columns, "n_rows")
+    return out.unionByName(count_rows(tables.where(is_slow), frames)) if slow else out

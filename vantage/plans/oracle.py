@@ -118,6 +118,15 @@ ORACLE_SQL = {
     "materialise_structure": _structure(),
     "export_csv": "SELECT * FROM orders",
     "export_documents_csv": "SELECT * FROM documents",
+    "bucketed_hot_join": (
+        "SELECT o.o_orderstatus, l.l_returnflag, COUNT(*) AS n_lines, CAST(SUM(CAST(l.l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty "
+        "FROM (SELECT CASE WHEN l_orderkey % 3 = 0 THEN (SELECT MIN(o_orderkey) FROM orders) ELSE l_orderkey END AS k, * FROM lineitem) l "
+        "JOIN orders o ON o.o_orderkey = l.k GROUP BY ALL"),
+    "search_skipping": (
+        "SELECT doc_id, lang, source, n_chars FROM documents WHERE contains(lower(text), 'license') "
+        "OR contains(lower(lang), 'license') OR contains(lower(source), 'license')"),
+    "uploads_replaced": (
+        "SELECT o_orderkey, o_orderstatus, o_totalprice + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS o_totalprice FROM orders"),
     "snapshot_refresh": (
         "SELECT 1 AS version, o_orderkey, o_orderstatus, o_totalprice FROM orders UNION ALL "
         "SELECT 2, o_orderkey, o_orderstatus, o_totalprice + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END FROM orders"),

@@ -40,8 +40,8 @@ def warehouse(spark: SparkSession, sf_dir: str, tables=TABLES) -> Catalog:
     """A parquet connection ``warehouse`` over the given tables: a fork of one
     long-lived catalog per session and folder, so each table is listed and its
     schema resolved once, as a catalog in a running viewer would."""
-    key = (session_key(spark), sf_dir, tuple(tables))
-    if key not in _BASE:
+    key = (session_key(spark), sf_dir, tuple(tables), *(_files(spark, f"{sf_dir}/{t}.parquet") for t in tables))
+    if key not in _BASE:  # listed again when the files change
         cat = Catalog(spark)
         cat.register("warehouse", "parquet", files=[f"{sf_dir}/{t}.parquet" for t in tables])
         _BASE[key] = cat
@@ -63,8 +63,8 @@ def with_crm(spark: SparkSession, sf_dir: str, typed: bool = True) -> Catalog:
     connection that exists beside the warehouse). ``typed`` gives the CSV
     tables their schemas; otherwise they read as strings, as the viewer does."""
     cat = warehouse(spark, sf_dir)
-    key = (session_key(spark), sf_dir)
-    if key not in _CRM:
+    key = (session_key(spark), sf_dir, *(_files(spark, f"{sf_dir}/{t}.parquet") for t in ("customer", "nation")))
+    if key not in _CRM:  # copied again when the files change
         _CRM[key] = (_staged(spark, cat.scan("warehouse", "customer"), "csv", "customer"),
                      _staged(spark, cat.scan("warehouse", "nation"), "csv", "nation"))
     cust, nat = _CRM[key]
@@ -482,6 +482,66 @@ def bucketed_join(spark, sf_dir):
                  F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("qty")))
 
 
+def bucketed_hot_join(spark, sf_dir):
+    """K1 with a hot key: a third of lineitem moved to one order, both sides bucketed with the hot key spread
+    over salts, joined without a shuffle."""
+    from vantage.operators import hotkeys
+    cat = warehouse(spark, sf_dir)
+    o, li = cat.scan("warehouse", "orders"), cat.scan("warehouse", "lineitem")
+    first = o.agg(F.min("o_orderkey")).first()[0]
+    moved = li.select(F.when(F.col("l_orderkey") % 3 == 0, F.lit(first)).otherwise(F.col("l_orderkey")).alias("o_orderkey"),
+                      "l_linenumber", "l_quantity", "l_returnflag")
+    left, right = hotkeys.materialise_pair(moved, o.select("o_orderkey", "o_orderstatus"), "o_orderkey", 16)
+    return (hotkeys.join_pair(left, right, "o_orderkey").groupBy("o_orderstatus", "l_returnflag")
+            .agg(F.count(F.lit(1)).alias("n_lines"),
+                 F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("qty")))
+
+
+def search_skipping(spark, sf_dir):
+    """T5 with a skipping index: documents copied into several files, their trigrams indexed, and the
+    search run over the files that may hold the text."""
+    from vantage.operators import skipping
+    docs = warehouse(spark, sf_dir).scan("warehouse", "documents")
+    base = shared_path(spark, "skipping")
+    # texts of one source and language lie together, so that files differ in what they hold
+    docs.repartitionByRange(16, "lang", "source", "doc_id").write.parquet(f"{base}/documents")
+    index = skipping.build(spark, f"{base}/documents", f"{base}/index", ["text", "lang", "source"])
+    found = skipping.search_files(spark, f"{base}/documents", index, "license", ["text", "lang", "source"])
+    return found.select("doc_id", "lang", "source", "n_chars")
+
+
+def uploads_replaced(spark, sf_dir):
+    """C8 + K1 over time: orders uploaded as files by status, streamed into a versioned copy; then the files of
+    the pending orders are uploaded again (prices one higher) and take the places of the first."""
+    from vantage.operators import snapshots
+    from vantage.streaming import ingest_replacing, watch
+    cat = warehouse(spark, sf_dir)
+    orders = cat.scan("warehouse", "orders")
+    root = shared_path(spark, "uploads")
+    target = f"{root}/copy"
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    files = max(2, orders.count() // 50_000)
+
+    def upload(number, df, status):
+        """Files of stable names, as an upload would have: Spark writes them, and they are put under their names."""
+        staged = f"{root}/staged/{number}{status}"
+        sinks.export(df.where(F.col("o_orderstatus") == status).repartition(files, "o_orderkey"), staged, fmt="parquet")
+        fs.mkdirs(p(f"{root}/orders/{number}"))
+        for f in fs.listStatus(p(staged)):
+            name = f.getPath().getName()
+            if name.startswith("part-"):
+                fs.rename(f.getPath(), p(f"{root}/orders/{number}/{status}-{name.split('-')[1]}.parquet"))
+    cat.register("uploads", "parquet", files=[f"{root}/orders"])
+    for status in ("F", "O", "P"):
+        upload(1, orders, status)
+    ingest_replacing(watch(cat, "uploads", "orders", schema=orders.schema), target, name=root.rsplit("/", 1)[-1])
+    upload(2, orders.withColumn("o_totalprice", F.col("o_totalprice") + 1), "P")
+    ingest_replacing(watch(cat, "uploads", "orders", schema=orders.schema), target, name=root.rsplit("/", 1)[-1])
+    return snapshots.latest(spark, target).read().select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_parquet": scan_parquet,
     "scan_csv": scan_csv,
@@ -535,6 +595,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_documents_csv": export_documents_csv,
     "bucketed_join": bucketed_join,
     "snapshot_refresh": snapshot_refresh,
+    "bucketed_hot_join": bucketed_hot_join,
+    "search_skipping": search_skipping,
+    "uploads_replaced": uploads_replaced,
     "create_from_join": create_from_join,
 }
 for _name in WORKSHEET_SQL:

@@ -188,6 +188,15 @@ class Worksheet:
         self.catalog = catalog
         self.spark = catalog.spark
         self._frames: set[str] = set()
+        self._reduced: dict[tuple[str, str], DataFrame] = {}
+
+    def reduce(self, connection: str, table: str, column: str, keys: str | DataFrame) -> None:
+        """From now on this worksheet reads of the table only rows whose ``column`` is among ``keys`` (a query
+        or DataFrame of one column, evaluated now): pushed into the table's scan, so a database sends
+        no others. For tables that an inner or semi join on that column ties to those keys."""
+        from vantage.plans.reduction import reduced
+        found = self.run(keys) if isinstance(keys, str) else keys
+        self._reduced[connection, table] = reduced(self.catalog.scan(connection, table), column, found)
 
     def register(self, tables: Iterable[tuple[str, str]]) -> dict[str, str]:
         """A view ``connection__table`` per table, plus the bare table name when
@@ -196,7 +205,9 @@ class Worksheet:
         counts = Counter(t for _, t in tables)
         made = {}
         for conn, table in tables:
-            df = self.catalog.scan(conn, table)
+            df = self._reduced.get((conn, table))
+            if df is None:
+                df = self.catalog.scan(conn, table)
             full = view_name(conn, table)
             df.createOrReplaceTempView(full)
             made[full] = f"{conn}.{table}"

@@ -628,3 +628,43 @@ def test_roots_of_long_chains(spark):
     chain = [(f"w{i:02d}", f"w{i + 1:02d}") for i in range(20)]
     got = spelling.roots(spark.createDataFrame(chain, "word string, form string")).collect()
     assert len(got) == 20 and {r.root for r in got} == {"w20"}
+
+
+def test_more_codecs():
+    import bz2
+    import lzma
+
+    import zstandard
+    secret = "password=Zx81kQpL0 and token: abcDEF99"
+    for pack in (bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress,
+                 lambda b: bz2.compress(lzma.compress(b)), lambda b: zstandard.ZstdCompressor().compress(gzip.compress(b)),
+                 lambda b: b.decode().encode("utf-16-le"), lambda b: b.decode().encode("utf-16-be"), lambda b: b.decode().encode("utf-16")):
+        coded = base64.b64encode(pack(secret.encode())).decode()
+        text = f"data {coded} end"
+        base, spans = secrets.find(text)
+        assert base == [] and {k for _, _, k in spans} == {"assign"}, pack
+        assert all(5 <= a < b <= 5 + len(coded) for a, b, _ in spans)
+    big = "x" * 3_000_000 + " " + secret  # scanned to its end, in parts
+    for pack in (bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        assert secrets.find(base64.b64encode(pack(big.encode())).decode())[1]
+    for pack in (bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):  # cut off or damaged: no crash
+        raw = pack((secret * 50).encode())
+        secrets.find(base64.b64encode(raw[:len(raw) // 2]).decode())
+        secrets.find(base64.b64encode(raw[:20] + b"!!!!" + raw[24:]).decode())
+    assert secrets.find("password&equals;Zx81kQpL0 &nosuch; &amp;")[1] == [(0, 25, "assign")]
+
+
+def test_base_spans_match_brute_force(spark):
+    import hashlib
+    import re
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    pats = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+            ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
+    want = {}
+    for d in docs.collect():
+        found = [(m.start(), i, k, m.end()) for i, (k, p, ok) in enumerate(pats) for m in p.finditer(d.text or "") if ok(m)]
+        want[d.doc_id] = [f"{k}:{a}:{b}" for a, _, k, b in sorted(found)]
+    for r in QUERIES["op6_secrets"](spark, SF).collect():
+        base = want[r.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in base) for k in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(filter(None, r.spans.split(",")))

@@ -1,10 +1,10 @@
 """Secret scans (operator 6): a worklist of decoded layers, each rescanned.
 
 The text itself is the first layer. A layer yields further ones: the layer with
-its URL escapes unwrapped, with its Unicode escapes unwrapped, and one for each
-printable stretch that a base64 run decodes to at any of its four alignments (the run may
-begin with other letters of the alphabet), or that a zlib or gzip stream in it inflates to,
-streams in streams included. Runs on lines one after another are taken one by one and joined.
+its URL escapes unwrapped, with its Unicode escapes and HTML entities unwrapped, and one for each
+printable stretch, UTF-8 or ASCII in UTF-16, that a base64 run decodes to at any of its four alignments (the run may
+begin with other letters of the alphabet), or that a zlib, gzip, bzip2, xz or zstandard stream in it inflates to,
+streams in streams included. A stream is known by its head: bare deflate has none and is not read. Runs on lines one after another are taken one by one and joined.
 Stretches of fewer than ``SHORTEST`` characters hold no secret and no layer with one. Every layer carries for each of its characters the span of the original
 text it came from, so a hit in any layer is reported in code points of the
 original. The worklist ends at a fixpoint: a layer whose content and place were
@@ -23,11 +23,14 @@ empty list); repeated rows are scanned each.
 from __future__ import annotations
 
 import base64
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from bisect import bisect_right
 from collections import deque
+from html.entities import html5
 from itertools import chain
 
 import numpy as np
@@ -42,14 +45,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})"
-                      r"|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+                      r"|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|&([A-Za-z][A-Za-z0-9]{1,31};)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)+={0,2}")
 _RUN = b"\r\n=+/_-" + bytes(c for c in range(128) if chr(c).isalnum())
 SHORTEST = 12  # "token:" and 6 more
 _PRINTABLE = re.compile("[^\x00-\x08\x0E-\x1F\x7F\udc80-\udcff]{%d,}" % SHORTEST)
-_HEAD = re.compile(b"|".join([rb"\x1f\x8b\x08", *(re.escape(bytes([a, b])) for a in range(8, 128, 16) for b in range(256)
-                                                  if (a << 8 | b) % 31 == 0 and not b & 32)]))  # gzip, zlib
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){%d,}|(?:\x00[\t\n\r\x20-\x7e]){%d,}" % (SHORTEST, SHORTEST))
+_BZIP2, _XZ, _ZSTD, _XZ_MEMORY = rb"BZh[1-9]1AY&SY", rb"\xfd7zXZ\x00", rb"\x28\xb5\x2f\xfd", 256 << 20
+_HEAD = re.compile(b"|".join([rb"\x1f\x8b\x08", _BZIP2, _XZ, _ZSTD, *(re.escape(bytes([a, b])) for a in range(8, 128, 16) for b in range(256)
+                                                  if (a << 8 | b) % 31 == 0 and not b & 32)]))  # and zlib
 PART, OVERLAP, OPEN = 1 << 20, 1 << 12, 16 << 20
 
 
@@ -120,30 +125,60 @@ def _unwrap_unicode(layer: _Layer) -> _Layer | None:
                 i += n
             pieces.append((m.start(), m.end(), "".join(chars), spans))
         else:
+            if m[6]:
+                if m[6] in html5:
+                    pieces.append((m.start(), m.end(), html5[m[6]], [(0, len(m[0]))] * len(html5[m[6]])))
+                continue
             u = int(m[4]) if m[4] else int(m[1] or m[3] or m[5], 16)
             if u < 0x110000 and not 0xD800 <= u < 0xE000:
                 pieces.append((m.start(), m.end(), chr(u), [(0, len(m[0]))]))
     return _replaced(layer, pieces) if pieces else None
 
 
+def _decoder(head: bytes):
+    """A decoder for the stream that begins with ``head``, and the errors of a damaged one."""
+    if re.match(_BZIP2, head):
+        return bz2.BZ2Decompressor(), OSError
+    if re.match(_XZ, head):
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=_XZ_MEMORY), lzma.LZMAError
+    if re.match(_ZSTD, head):
+        import zstandard
+        return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(), zstandard.ZstdError
+    return zlib.decompressobj(47), zlib.error  # zlib or gzip
+
+
+def _step(d, rest):
+    """The pieces that a few bytes more inflate to."""
+    if isinstance(d, type(zlib.decompressobj())):
+        while True:
+            out = d.decompress(rest, 1 << 16)
+            rest = d.unconsumed_tail
+            yield out
+            if d.eof or not rest and len(out) < 1 << 16:
+                return
+    if not hasattr(d, "needs_input"):  # zstandard gives at most what a few blocks hold
+        yield d.decompress(bytes(rest))
+        return
+    yield d.decompress(rest, 1 << 16)
+    while not d.eof and not d.needs_input:
+        yield d.decompress(b"", 1 << 16)
+
+
 def _inflate(chunks, state: dict):
-    """What a zlib or gzip stream inflates to, piece by piece; ``state`` tells how it ended."""
-    d = zlib.decompressobj(47)  # zlib or gzip, by its head
+    """What a compressed stream inflates to, piece by piece; ``state`` tells how it ended."""
+    d, errors = None, ()
     try:
         for c in chunks:
             for i in range(0, len(c), 256):  # small steps: damage costs no more than one
-                rest = c[i:i + 256]
-                while True:
-                    out = d.decompress(rest, 1 << 16)
-                    rest = d.unconsumed_tail
+                if d is None:
+                    d, errors = _decoder(bytes(c[:16]))
+                for out in _step(d, c[i:i + 256]):
                     if out:
                         yield out
-                    if d.eof:
-                        state["end"] = True
-                        return
-                    if not rest and len(out) < 1 << 16:
-                        break
-    except zlib.error:
+                if d.eof:
+                    state["end"] = True
+                    return
+    except errors:
         state["damaged"] = True
 
 
@@ -194,6 +229,9 @@ def _stretches(raw: bytes):
             width[(point >= 0xDC80) & (point <= 0xDCFF)] = 1
             ends = np.cumsum(width)
         yield m[0], (ends - width)[m.start():m.end()], ends[m.start():m.end()]
+    for m in _WIDE.finditer(raw) if b"\0" in raw else ():
+        at = m.start() + 2 * np.arange(len(m[0]) // 2)
+        yield m[0].replace(b"\0", b"").decode(), at, at + 2
 
 
 def _unwrap_base64(layer: _Layer):
@@ -231,7 +269,7 @@ def _places(m: re.Match) -> np.ndarray:
     return m.start() + np.flatnonzero((code != 10) & (code != 13))
 
 
-_HINT = re.compile(r"%[0-9A-Fa-f]{2}|\\u|\\x|&#|[A-Za-z0-9+/_-]{16}")
+_HINT = re.compile(r"%[0-9A-Fa-f]{2}|\\u|\\x|&#|&[A-Za-z][A-Za-z0-9]*;|[A-Za-z0-9+/_-]{16}")
 
 
 def _unwrapped(layer: _Layer):

@@ -668,3 +668,31 @@ def test_base_spans_match_brute_force(spark):
         base = want[r.doc_id]
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in base) for k in ("assign", "access", "hex"))
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(filter(None, r.spans.split(",")))
+
+
+@pytest.mark.parametrize("length", [5, 6, 7, 8, 9])
+def test_short_items_with_an_edit(spark, length):
+    r = random.Random(length)
+    items, docs = [], []
+    for i in range(40):
+        words = [f"i{i}w{j}" for j in range(length)]
+        items.append((i, " ".join(words)))
+        at, kind = r.randrange(length), i % 3
+        words[at:at + 1] = [["other"], [], [words[at], "more"]][kind]
+        docs.append((i, " ".join(r.choices(WORDS, k=30) + words + r.choices(WORDS, k=30))))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.contaminated(docs, items, exact_below=5).where("doc_id = item_id AND distance <= 1").count()
+    assert found >= 38, found
+    # by default an item that short is found without an edit alone (an added word at its end is none)
+    assert decontam.contaminated(docs, items).where("distance > 0").count() == 0
+
+
+def test_groups_of_copies_meet_their_rows(spark):
+    from vantage.llm.common import meet
+    rows = [(i, 0 if i % 3 == 0 else i % 40) for i in range(900)]
+    left = spark.createDataFrame(rows, "id long, k long")
+    right = left.groupBy("k").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    low = {k: min(i for i, x in rows if x == k) for _, k in rows}
+    for share in (1, 3, 1000):
+        got = meet(left, right, "k", share).select("id", "k", "low").collect()
+        assert sorted(map(tuple, got)) == sorted((i, k, low[k]) for i, k in rows)

@@ -68,6 +68,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def meet(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, which has each key once and ``n``, the rows of ``left`` that have it. Keys with
+    1 / ``share`` of the rows or more (``share`` of them at most) meet their rows in a broadcast join, the
+    others in a shuffle that then has no large group."""
+    total = left.count()
+    heavy = F.broadcast(right.where(F.col("n") * share >= total).drop("n"))
+    light = right.where(F.col("n") * share < total).drop("n")
+    return left.join(heavy, key).unionByName(left.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
 def even_share(column: str, sizes: dict, most: float) -> Column:
     """The share of the rows of each value of ``column`` to take (``sizes``: rows by value), so that about ``most`` are
     taken in all: of each value as many, or all of a rarer one, whose rest the others share."""

@@ -22,7 +22,8 @@ Words are runs of letters and digits, lower-cased; whole texts are scanned. Item
 are taken ``ITEMS`` at a time: that bounds what is broadcast, whatever the benchmark's size.
 
 Defined cases: null and empty texts contain nothing; items without words match
-nothing, items of fewer than ``EXACT_BELOW`` words only without an edit; repeated rows and items are
+nothing, items of fewer than ``exact_below`` words only without an edit (by default 10; with 5, items of 5 to 9
+words are found with one edited word too, of which clean texts may well hold some); repeated rows and items are
 reported each; null ids are reported as null; an empty table on either side gives no rows.
 """
 
@@ -96,14 +97,14 @@ def best_part(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
 class Items:
     """Search tables of at most ``ITEMS`` items."""
 
-    def __init__(self, rows: list[tuple], edits: float):
+    def __init__(self, rows: list[tuple], edits: float, exact_below: int = EXACT_BELOW):
         seqs = [words_of(t) for _, t in rows]
         often = Counter(w for s in seqs for w in s)
         self.vocab = {w: i + 1 for i, w in enumerate(sorted(often))}
         keep = [(r[0], np.array([self.vocab[w] for w in s], np.int32), s) for r, s in zip(rows, seqs) if s]
         self.ids = [k for k, _, _ in keep]
         self.seqs = [s for _, s, _ in keep]
-        self.limit = [0 if len(s) < EXACT_BELOW else int(edits * len(s)) for s in self.seqs]
+        self.limit = [0 if len(s) < exact_below else int(edits * len(s)) for s in self.seqs]
         anchors, pieces, self.item, self.offset = defaultdict(list), [], [], []
         for n, (_, seq, ws) in enumerate(keep):
             cuts = np.linspace(0, len(ws), -(-len(ws) // PIECE) + 1).astype(int).tolist()
@@ -146,7 +147,7 @@ class Items:
         return spots[np.concatenate(hits)] if hits else spots
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, exact_below: int = EXACT_BELOW) -> DataFrame:
     """``doc_id, item_id, distance, similarity, first_word, last_word`` (exclusive)
     of the best place of every item in every document that contains it."""
     spark = docs.sparkSession
@@ -159,7 +160,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
     out = None
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in some], edits))
+        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in some], edits, exact_below))
 
         def run(batches, shared=shared):
             import pyarrow as pa

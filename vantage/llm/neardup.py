@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Boxed, HashCache, ascii_words, mix64, saved, ship, table
+from .common import ascii_words, Boxed, HashCache, meet, mix64, saved, ship, table
 from .components import components
 
 HASHES, SKETCH_WORDS, SET_WORDS = 256, 8, 16
@@ -158,15 +158,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
     sig = saved(sketches(docs, size, bands, rows), "op4-sketches")
     whole = sig.where("doc_id IS NOT NULL AND fp IS NOT NULL")
     # one node for each different set
-    classes = saved(whole.groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    classes = saved(whole.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"))
                     .withColumn("node", F.monotonically_increasing_id()), "op4-classes")
-    member = saved(whole.select("doc_id", "fp").join(classes.select("fp", "node"), "fp")
+    member = saved(meet(whole.select("doc_id", "fp"), classes.select("fp", "node", "n"), "fp")
                    .select("doc_id", "node").distinct(), "op4-members")
     # an id with several texts stands for several classes: they are linked through it
     several = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     same_id = member.join(several.select("doc_id", "a"), "doc_id").where("node <> a").select(
         F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
     words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS + SET_WORDS)]
+    classes = classes.drop("n")
     nodes = saved(whole.withColumnRenamed("fp", "f").join(classes, (F.col("f") == F.col("fp")) & (F.col("doc_id") == F.col("doc")))
                   .dropDuplicates(["node"]).select("node", "bands", F.col("n_shingles").alias("sn"), *words), "op4-nodes")
     sketch = nodes.drop("bands")
@@ -204,8 +205,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, bands: in
                   .unionByName(confirmed(met, sets, percent)), "op4-links")
     root = components(links)
     of = saved(rooted(member), "op4-rooted")
-    smallest = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = saved(of.join(smallest, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id")),
+    smallest = saved(of.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "op4-smallest")
+    component = saved(meet(of, smallest, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id")),
                       "op4-components")
     return (sig.select("doc_id", "n_shingles").join(component, "doc_id", "left")
             .withColumn("component_id", F.coalesce("component_id", "doc_id"))

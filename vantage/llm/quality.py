@@ -90,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     n = sum(sizes.values())
     blocks = min(BLOCKS, max(1, min(n, max_rows) // BLOCK_ROWS))
     lot = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = (docs.select("doc_id", "text").join(marks.where(lot < even_share("quality", sizes, max_rows)), "doc_id")
+    picked = F.broadcast(marks.where(lot < even_share("quality", sizes, max_rows)))  # max_rows ids and labels: no text is shuffled
+    sample = (docs.select("doc_id", "text").join(picked, "doc_id")
               .select("text", "quality", F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.lit(5), "doc_id").alias("lot"),
                       F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")))
 

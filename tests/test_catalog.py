@@ -77,3 +77,18 @@ def test_columns(spark):
     cat = Catalog.from_specs(spark, SPECS)
     got = [(r.table, r.position, r.column_name, r.data_type) for r in cat.columns().collect() if r.table == "region"]
     assert got == [("region", 1, "r_regionkey", "int"), ("region", 2, "r_name", "string")]
+
+
+def test_footer_counts_of_odd_paths(spark, tmp):
+    """Blanks and umlauts in paths, folders within folders, globs, an empty table, two connections to one file."""
+    o = spark.read.parquet(f"{SF}/orders.parquet")
+    for k, path in enumerate(("a b/tä%ble", "plain", "plain/inner", "zero")):
+        o.where(f"o_orderkey <= {[10, 20, 30, -1][k]}").repartition(3).write.mode("append").parquet(f"{tmp}/{path}")
+    cat = Catalog(spark)
+    cat.register("x", "parquet", files=[f"{tmp}/a b/tä%ble", f"{tmp}/zero", f"{SF}/nation.parquet"])
+    cat.register("y", "parquet", files=[f"{SF}/nation.parquet", f"{SF}/regio*.parquet"])
+    cat.register("z", "parquet", files=[f"{tmp}/plain", f"{tmp}/plain/inner"])
+    got = {(r.connection, r.table): r.n_rows for r in with_row_counts(spark, cat).collect()}
+    keys = {k: o.where(f"o_orderkey <= {k}").count() for k in (10, 20, 30)}
+    assert got == {("x", "tä%ble"): keys[10], ("x", "zero"): 0, ("x", "nation"): 25, ("y", "nation"): 25, ("y", "regio*"): 5,
+                   ("z", "plain"): keys[20], ("z", "inner"): keys[30]}

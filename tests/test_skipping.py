@@ -72,7 +72,8 @@ def test_a_column_that_is_not_indexed(spark, tmp, texts):
 
 def test_documents(spark, tmp):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    docs.repartition(6).write.parquet(f"{tmp}/docs")
-    index = skipping.build(spark, f"{tmp}/docs", f"{tmp}/docs-index")
-    got = skipping.search_files(spark, f"{tmp}/docs", index, "license", ["text", "lang", "source"])
+    path = f"{tmp}/do c+s%41ä"
+    docs.repartition(6).write.parquet(path)
+    index = skipping.build(spark, path, f"{tmp}/docs-index")
+    got = skipping.search_files(spark, path, index, "license", ["text", "lang", "source"])
     assert rows(got, "doc_id") == rows(search(docs, "license", ["text", "lang", "source"]), "doc_id")

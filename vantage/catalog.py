@@ -297,7 +297,7 @@ def footer_counts(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """``location, n_rows`` of Parquet tables from their footers: one scan over all of their files that reads no
     column, so a catalog of any number of tables is one job. Paths must not lie within each other."""
     roots = {qualified_path(spark, p): p for p in paths}
-    rows = spark.read.schema(T.StructType([])).parquet(*roots)
+    rows = spark.read.schema(T.StructType([])).parquet(*roots.values())
     files = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
     # a file's table is the path it is or lies under: looked up by its beginnings of the lengths that tables have
     depths = sorted({p.count("/") + 1 for p in roots})
@@ -310,8 +310,9 @@ def footer_counts(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
 
 
 def qualified_path(spark: SparkSession, path: str) -> str:
+    """The path as ``_metadata.file_path`` writes it: qualified, and quoted as a URI."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString().rstrip("/")
 
 
 def with_row_counts(spark: SparkSession, catalog: Catalog) -> DataFrame:
@@ -321,7 +322,7 @@ def with_row_counts(spark: SparkSession, catalog: Catalog) -> DataFrame:
     for conn in catalog.connections:
         for t in catalog.table_names(conn.name):
             path = conn.file_tables().get(t) if conn.source == "parquet" and not conn.options.get("read_options") else None
-            if path and not any(path != p and (path.startswith(p.rstrip("/") + "/") or p.startswith(path.rstrip("/") + "/")) for p in plain):
+            if path and not set(path) & set("*?[{") and not any(path != p and (path.startswith(p.rstrip("/") + "/") or p.startswith(path.rstrip("/") + "/")) for p in plain):
                 plain.setdefault(path, []).append((conn.name, t))
             else:
                 frames.append((conn.name, t, catalog.scan(conn.name, t)))

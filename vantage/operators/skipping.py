@@ -14,6 +14,7 @@ driver, as they do in any file listing.
 from __future__ import annotations
 
 from typing import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def search_files(spark: SparkSession, path: str, index: str, text: str, columns:
                  case_sensitive: bool = False) -> DataFrame:
     """``shaping.search`` of the table ``path``, opening only files that may hold a match."""
     schema = spark.read.parquet(path).schema
-    files = [r.file for r in candidates(spark, path, index, text, columns).collect()]
+    files = [unquote(r.file) for r in candidates(spark, path, index, text, columns).collect()]  # listed as URIs
     if not files:
         return spark.createDataFrame([], schema)
     return search(spark.read.schema(schema).option("basePath", path).parquet(*sorted(files)), text, columns, case_sensitive)

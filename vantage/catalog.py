@@ -296,14 +296,14 @@ def count_rows(markers: DataFrame, frames) -> DataFrame:
 def footer_counts(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """``location, n_rows`` of Parquet tables from their footers: one scan over all of their files that reads no
     column, so a catalog of any number of tables is one job. Paths must not lie within each other."""
-    roots = {qualified_path(spark, p): p for p in paths}
+    roots = {re.sub("^([a-z0-9+.-]+:)/+", r"\1/", qualified_path(spark, p)): p for p in paths}
     rows = spark.read.schema(T.StructType([])).parquet(*roots.values())
     files = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
     # a file's table is the path it is or lies under: looked up by its beginnings of the lengths that tables have
     depths = sorted({p.count("/") + 1 for p in roots})
     file = F.regexp_replace("file", "^([a-z0-9+.-]+:)/+(?!/)", "$1/")
     starts = F.array(*(F.substring_index(file, "/", d) for d in depths))
-    known = spark.createDataFrame([(re.sub("^([a-z0-9+.-]+:)/+", r"\1/", p), given) for p, given in roots.items()], "key string, location string")
+    known = spark.createDataFrame(list(roots.items()), "key string, location string")
     found = files.select("n", F.explode(F.array_distinct(starts)).alias("key")).join(known, "key")
     return (known.select("location", F.lit(0).cast("long").alias("n")).unionByName(found.select("location", "n"))
             .groupBy("location").agg(F.sum("n").alias("n_rows")))

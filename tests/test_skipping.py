@@ -3,6 +3,7 @@
 import os
 import random
 import shutil
+import time
 
 import pytest
 
@@ -77,3 +78,25 @@ def test_documents(spark, tmp):
     index = skipping.build(spark, path, f"{tmp}/docs-index")
     got = skipping.search_files(spark, path, index, "license", ["text", "lang", "source"])
     assert rows(got, "doc_id") == rows(search(docs, "license", ["text", "lang", "source"]), "doc_id")
+
+
+def test_bitmaps_hold_the_trigrams(spark, tmp):
+    texts = ["Ab c\nabc", "\U0001f600ab\U0001f600\U0001f600z", "ab", "", None, "x" * 9 + "\u0085 é"]
+    spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.parquet(f"{tmp}/t")
+    index = skipping.build(spark, f"{tmp}/t", f"{tmp}/index")
+    grams = {t[i:i + 3] for t in (t.lower() for t in texts if t) for i in range(len(t) - 2)}
+    bits = spark.createDataFrame([(g,) for g in grams], "gram string").selectExpr(f"pmod(xxhash64(gram), {skipping.BITS}) bit")
+    found = {(r.part - 1) * skipping.PART_BITS + 8 * i + j for r in spark.read.parquet(index).where("part IS NOT NULL").collect()
+             for i, byte in enumerate(r.bitmap) for j in range(8) if byte >> j & 1}
+    assert found == {r.bit for r in bits.collect()}
+    assert {len(r.bitmap) for r in spark.read.parquet(index).where("part IS NOT NULL").collect()} == {skipping.PART_BITS // 8}
+
+
+def test_a_long_text_takes_time_in_proportion(spark, tmp):
+    r = random.Random(3)
+    text = "".join(r.choices("abcdefgh ", k=600_000)) + " Needle"
+    spark.createDataFrame([(1, text), (2, "short")], "id int, text string").coalesce(1).write.parquet(f"{tmp}/long")
+    began = time.monotonic()
+    index = skipping.build(spark, f"{tmp}/long", f"{tmp}/index", ["text"])
+    assert time.monotonic() - began < 20  # minutes when each trigram was sought from the text's start
+    assert rows(skipping.search_files(spark, f"{tmp}/long", index, "needle", ["text"]), "id") == [(1,)]

@@ -7,7 +7,7 @@ their size and time are those that were indexed: a file that is new or was repla
 A bitmap has ``BITS`` bits by column (32 kB); two trigrams may share a bit, which costs a read and never a match.
 
 Built and asked with Spark's own functions: trigrams are generated and folded into bitmaps within the
-tasks, which send one row per file, column and bitmap part. The names of the files to read come to the
+tasks, which send one row per file, column and 64 bits of a bitmap. The names of the files to read come to the
 driver, as they do in any file listing.
 """
 
@@ -26,10 +26,8 @@ BITS, PART_BITS, GRAM = 1 << 18, 1 << 15, 3  # Spark's bitmaps have parts of 32,
 
 
 def _grams(text):
-    """Distinct trigrams of a text column."""
-    n = F.length(text)
-    at = F.when(n >= GRAM, F.sequence(F.lit(1), n - (GRAM - 1)))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(GRAM))))
+    """Trigrams of a text column, all found in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * GRAM}))."))
 
 
 def _bit(gram):
@@ -45,9 +43,14 @@ def build(spark: SparkSession, path: str, index: str, columns: Sequence[str] | N
     cells = df.select(*meta, F.explode(F.array(*(F.struct(F.lit(i).alias("column"), F.lower(ref(c).cast("string")).alias("text"))
                                                  for i, c in enumerate(names)))).alias("cell"))
     bits = (cells.select("file", "bytes", "modified", "cell.column", F.explode(_grams(F.col("cell.text"))).alias("gram"))
-            .select("file", "bytes", "modified", "column", (_bit(F.col("gram")) + 1).alias("bit")))  # Spark's bitmaps count from 1
-    rows = (bits.groupBy("file", "bytes", "modified", "column", F.expr("bitmap_bucket_number(bit)").alias("part"))
-            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bitmap")))
+            .select("file", "bytes", "modified", "column", _bit(F.col("gram")).alias("bit")))
+    # first into words of 64 bits, which a hash aggregate holds (bitmaps would be sorted, a row for each trigram)
+    words = (bits.groupBy("file", "bytes", "modified", "column", (F.expr(f"bit div {PART_BITS}") + 1).alias("part"),
+                          F.expr(f"int(bit % {PART_BITS} div 64)").alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, int(56 - bit % 64 div 8 * 8 + bit % 8))")).alias("bits")))
+    digits = F.aggregate(F.array_sort(F.collect_list(F.struct("word", "bits"))), F.lit(""),
+                         lambda done, w: F.concat(F.rpad(done, w.word * 16, "0"), F.lpad(F.hex(w.bits), 16, "0")))
+    rows = words.groupBy("file", "bytes", "modified", "column", "part").agg(F.unhex(F.rpad(digits, PART_BITS // 4, "0")).alias("bitmap"))
     every = listing(spark, path).select("file", "bytes", "modified", F.lit(None).cast("int").alias("column"),
                                         F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("bitmap"))
     named = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")

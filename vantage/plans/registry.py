@@ -504,7 +504,8 @@ def search_skipping(spark, sf_dir):
     docs = warehouse(spark, sf_dir).scan("warehouse", "documents")
     base = shared_path(spark, "skipping")
     # texts of one source and language lie together, so that files differ in what they hold
-    docs.repartitionByRange(16, "lang", "source", "doc_id").write.parquet(f"{base}/documents")
+    files = max(16, docs.count() // 10_000)
+    docs.repartitionByRange(files, "lang", "source", "doc_id").write.parquet(f"{base}/documents")
     index = skipping.build(spark, f"{base}/documents", f"{base}/index", ["text", "lang", "source"])
     found = skipping.search_files(spark, f"{base}/documents", index, "license", ["text", "lang", "source"])
     return found.select("doc_id", "lang", "source", "n_chars")

@@ -4,11 +4,15 @@ import base64
 import gzip
 import math
 import random
+import tracemalloc
 import urllib.parse
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +340,72 @@ def test_moves_match_a_brute_force_count(spark):
     assert vocab.count() == len(counts) + 1
 
 
+class Caught:
+    """Stands in for a table: ``run`` is what its tasks would run."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+    broadcast = staticmethod(lambda value: SimpleNamespace(value=value))
+    where = select = groupBy = agg = lambda self, *_: self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def toPandas(self):
+        return pd.DataFrame({"key": [], "n": []})
+
+
+def coded_batch(docs, length, words=3000, seed=5):
+    """A batch as ``encode`` makes it, of ``words`` frequent words and as many rare ones, and its lexicon."""
+    r = np.random.default_rng(seed)
+    lex = classlm.Lexicon([(int(h), 9) for h in r.integers(1, 1 << 63, words - 1)])
+    ids = [np.append(np.where(x < lex.words, x, classlm.RARE), 0).astype(np.int32) for x in r.integers(1, 2 * words, (docs, length))]
+    rare = [(r.integers(1, words, int((x < 0).sum())).astype(np.uint64) << np.uint64(51)).tobytes() for x in ids]
+    return lex, pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(rare, pa.binary())],
+                                           names=["ids", "rare"])
+
+
+def test_class_model_counts_a_large_batch_in_bounded_room(spark):
+    """Room goes with ``TOKENS`` and the counts, not with the tokens of an Arrow batch."""
+    lex, batch = coded_batch(3000, 500)
+    k, size = 8, 1000
+    cls = (np.arange(lex.words) % (k - 1)).astype(np.int32)
+    near, pairs = Caught(), Caught()
+    classlm.neighbours(near, cls, lex, k, size, True)
+    classlm._pairs(pairs, cls, k)
+    for table, most in ((near, 60e6), (pairs, 30e6)):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in table.run([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+
+
+def test_class_model_sums_counts_of_blocks(monkeypatch):
+    """Small blocks and rooms give the counts of a plain walk over the tokens."""
+    lex, batch = coded_batch(60, 40, words=50)
+    k, core = 8, 10
+    cls = np.append(np.arange(lex.words - 1) % (k - 1), -1).astype(np.int32)
+    cls[0] = k - 1
+    want = Counter()
+    for x, rare in zip(batch.column(0), batch.column(1)):
+        ids, left = np.frombuffer(x.as_py(), np.int32).tolist(), iter(np.frombuffer(rare.as_py(), np.uint64).tolist())
+        c = [k - 1, *(int(cls[i]) if i >= 0 else -1 for i in ids), k - 1]
+        for at, i in enumerate(ids):
+            h = int(lex.hashes[i]) if i >= 0 else next(left)
+            if i < 0 or i >= core:
+                want.update([(h, c[at])] * (c[at] >= 0) + [(h, k + c[at + 2])] * (c[at + 2] >= 0))
+    for most, held in ((1, 1), (50, 300), (500, 4000), (1 << 18, 1 << 22)):
+        monkeypatch.setattr(classlm, "TOKENS", most)
+        monkeypatch.setattr(classlm, "HELD", held)
+        table, got = Caught(), Counter()
+        classlm.neighbours(table, cls, lex, k, core, True)
+        for b in table.run([batch.slice(0, 7), batch.slice(7), batch.slice(0, 0)]):
+            for h, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got.update({(h % (1 << 64), int(e["side"])): int(e["n"]) for e in np.frombuffer(counts, classlm._ENTRY)})
+        assert got == want
+
+
 @pytest.mark.parametrize("length", [250, 500, 1000])
 def test_long_items_at_the_limit_are_found(spark, length):
     r = random.Random(length)

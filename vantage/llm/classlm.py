@@ -47,6 +47,7 @@ LEAST, CORE, CLASSES, ROUNDS, STRENGTH = 1e-6, 1000, 32, 2, 50.0
 END = b"\n"  # no word holds white space
 RARE = -1  # the id of every word that is not frequent
 UNKNOWN, OPEN = 255, 254  # class bytes: a word that training never saw; a rare word before the join
+TOKENS, HELD = 1 << 18, 1 << 22  # a task counts so many tokens at a time, and holds so many counts
 _ENTRY = np.dtype([("side", "u1"), ("n", "<u4")])
 
 
@@ -104,11 +105,29 @@ def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return saved(coded.withColumn("row", F.monotonically_increasing_id()), "op3-encoded", "zstd")
 
 
+def _flat(column, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column one after another, and how many each row has."""
+    import pyarrow as pa
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64 if pa.types.is_large_binary(column.type) else np.int32) if at else np.zeros(1, np.int32)
+    at = at[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    if not len(at) or at[0] == at[-1]:
+        return np.zeros(0, dtype), np.zeros(len(column), np.int64)
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]].view(dtype), np.diff(at) // np.dtype(dtype).itemsize
+
+
 def _line(column, dtype=np.int32) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a block one after another, and where each document begins."""
-    parts = [np.frombuffer(x.as_buffer(), dtype) for x in column]
-    n = np.array([len(p) for p in parts], np.int64)
-    return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.cumsum(n) - n
+    line, n = _flat(column, dtype)
+    return line, np.cumsum(n) - n
+
+
+def _blocks(batch, dtype=np.int32):
+    """Slices of a batch, whole documents each, of about ``TOKENS`` ids of its first column (one document at least)."""
+    _, starts = _line(batch.column(0), dtype)
+    cuts = [*np.flatnonzero(np.diff(starts // TOKENS, prepend=-1)).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield batch.slice(lo, hi - lo)
 
 
 def _before(line: np.ndarray, starts: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +148,9 @@ def _tally(coded: DataFrame, keys, size: int, column: str = "ids", dtype=np.int3
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            k, n = np.unique(keys(*_line(b.column(0), dtype)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+            for part in _blocks(b, dtype):
+                k, n = np.unique(keys(*_line(part.column(0), dtype)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
     got = coded.where("NOT held_out").select(column).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     got, out = got.toPandas(), np.zeros(size)
     out[got["key"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
@@ -199,34 +219,75 @@ def _fits(pairs: np.ndarray) -> np.ndarray:
     return np.rint(np.vstack([into, out.T]) * (1 << 20))
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]], k: int):
+    """One entry ``h, side, n`` for each word and side of ``parts``, by h and side as each of them is: an eighth of
+    the words after the other."""
+    for lo in range(8):
+        some = []
+        for h, side, n in parts:
+            i, j = np.searchsorted(h, np.uint64(lo << 61)), (np.searchsorted(h, np.uint64(lo + 1 << 61)) if lo < 7 else len(h))
+            some.append((h[i:j], side[i:j], n[i:j]))
+        h, side, n = map(np.concatenate, zip(*some))
+        if not len(h):
+            continue
+        order = np.argsort(h, kind="stable")  # merges sorted runs
+        h = h[order]
+        key = np.cumsum(np.append(False, h[1:] != h[:-1])) * (2 * k) + side[order]
+        inner = np.argsort(key, kind="stable")
+        first = _starts(key[inner])
+        yield h[inner[first]], side[order[inner[first]]], np.add.reduceat(n[order[inner]], first)
+
+
 def neighbours(coded: DataFrame, cls: np.ndarray, lexicon: Lexicon, k: int, core: int, rare: bool) -> DataFrame:
     """``h, counts``: packed counts of the classes before (side 0 to k-1) and after (k to 2k-1) the frequent
     words from id ``core`` on, and with ``rare`` also the rare words; a row for each block and word."""
     shared = coded.sparkSession.sparkContext.broadcast((cls, lexicon.hashes))
 
-    def run(batches):
-        import pyarrow as pa
+    def counted(part):
+        """``h, side, n`` of a few documents, by h and side."""
         cls, hashes = shared.value
+        line, starts = _line(part.column(0))
+        c = np.where(line >= 0, cls[line], -1)
+        before, _ = _before(c, starts, k - 1)
+        after = np.full(len(c), k - 1, c.dtype)
+        after[:-1] = c[1:]
+        after[starts[1:] - 1] = k - 1
+        h = hashes[line]
+        if rare:
+            h[line < 0], _ = _line(part.column(1), np.uint64)
+        mine = (line >= core) | (rare & (line < 0))
+        at = [np.flatnonzero(mine & (x >= 0)) for x in (before, after)]
+        words, back = np.unique(np.concatenate([h[i] for i in at]), return_inverse=True)
+        sides = np.concatenate([before[at[0]], after[at[1]] + k])
+        key, n = np.unique(back * (2 * k) + sides, return_counts=True)
+        return words[key // (2 * k)], (key % (2 * k)).astype(np.uint8), n.astype(np.uint32)
+
+    def batch(h, side, n):
+        import pyarrow as pa
+        first = _starts(h)
+        packed = np.empty(len(h), _ENTRY)
+        packed["side"], packed["n"] = side, n
+        ends = (np.append(first, len(h)) * _ENTRY.itemsize).astype(np.int32)
+        counts = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), counts], names=["h", "counts"])
+
+    def run(batches):
         for b in batches:
-            line, starts = _line(b.column(0))
-            c = np.where(line >= 0, cls[line], -1)
-            before, _ = _before(c, starts, k - 1)
-            after = np.full(len(c), k - 1, c.dtype)
-            after[:-1] = c[1:]
-            after[starts[1:] - 1] = k - 1
-            h = hashes[line]
-            if rare:
-                h[line < 0], _ = _line(b.column(1), np.uint64)
-            mine = (line >= core) | (rare & (line < 0))
-            at = [np.flatnonzero(mine & (x >= 0)) for x in (before, after)]
-            words, back = np.unique(np.concatenate([h[i] for i in at]), return_inverse=True)
-            sides = np.concatenate([before[at[0]], after[at[1]] + k])
-            key, n = np.unique(back * (2 * k) + sides, return_counts=True)
-            packed = np.empty(len(key), _ENTRY)
-            packed["side"], packed["n"] = key % (2 * k), n
-            ends = np.searchsorted(key, np.arange(len(words) + 1) * (2 * k)) * _ENTRY.itemsize
-            counts = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed)])
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), counts], names=["h", "counts"])
+            held = []
+            for part in _blocks(b):
+                held.append(counted(part))
+                if sum(len(x[0]) for x in held) > HELD:
+                    held = list(_summed(held, k))
+                    if sum(len(x[0]) for x in held) > HELD // 2:
+                        yield from (batch(*x) for x in held)
+                        held = []
+            if held:
+                yield from (batch(*x) for x in _summed(held, k))
     return coded.where("NOT held_out").select("ids", "rare").mapInArrow(run, "h long, counts binary")
 
 
@@ -257,9 +318,8 @@ def place(rows: DataFrame, pairs: np.ndarray, default: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(moves(words, entries["side"], entries["n"].astype(np.float64)), pa.int32())],
                                               names=["h", "cls"])
         for b in batches:
-            parts = [np.frombuffer(x.as_buffer(), _ENTRY) for x in b.column(1)]
-            h = np.repeat(b.column(0).to_numpy(), [len(x) for x in parts])
-            h, entries = np.concatenate([held_h, h]), np.concatenate([held, *parts])
+            entries, n = _flat(b.column(1), _ENTRY)
+            h, entries = np.concatenate([held_h, np.repeat(b.column(0).to_numpy(), n)]), np.concatenate([held, entries])
             if not len(h):
                 continue
             cut = int(np.searchsorted(h, h[-1]))
